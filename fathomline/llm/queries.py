@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
 from .decontaminate import digest, find_contamination
+from .packing import pack_documents
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_benchmark_decontamination(spark, sf_dir):
@@ -11,7 +18,7 @@ def op9_benchmark_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_benchmark_decontamination,)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict:
