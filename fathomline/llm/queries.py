@@ -7,18 +7,27 @@ import public_tokenizers
 from .common import table
 from .decontaminate import digest, find_contamination
 from .packing import pack_documents
+from .wavelet import read_shards, write_shards
 
 
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_wavelet_token_output(spark, sf_dir):
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op9_benchmark_decontamination(spark, sf_dir):
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_best_fit_packing, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (
+        op5_best_fit_packing,
+        op6_wavelet_token_output,
+        op9_benchmark_decontamination,
+    )}
 
 
 def oracle_sql() -> dict:
