@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,37 +52,52 @@ def residue(column: str, modulus: int) -> Column:
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 65_536
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list:
-    """(doc_id, text, label) of at most `rows` labelled documents, picked by a hash of doc_id, ids
-    whose crc32 leaves 0 modulo 5 never among them. The picked labels are bounded by `rows`, so they
-    are broadcast and the text is never shuffled. Documents longer than `chars` are not learned from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list:
+    """(doc_id, text, label) of at most `rows` labelled documents, picked by a hash of doc_id; ids whose
+    crc32 leaves `held_out` modulo `modulus` are never among them. The picked labels are bounded by
+    `rows`, so they are broadcast and no text is shuffled. Longer texts than `chars` aren't learned from,
+    which bounds what reaches the driver."""
     picked = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (residue("doc_id", 5) != 0))
-        .select("doc_id", F.col(label).cast("int").alias("y"))
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (residue("doc_id", modulus) != held_out))
+        .select("doc_id", F.col(label).alias("y"))
         .orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id", "y")
         .limit(rows)
     )
-    found = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= chars))
-        .join(F.broadcast(picked), "doc_id")
-        .limit(2 * rows)
-    )
-    return sorted(((r.doc_id, r.text, r.y) for r in found.collect()), key=lambda r: (r[0], r[1], r[2]))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").limit(2 * rows)
+    return sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0], r[1], r[2]))
 
 
-class Memo(dict):
-    """A bounded memo: unknown keys are computed by `make`. trim() empties it between documents once it
-    holds more than `limit` keys, so a worker's memory does not grow with the corpus."""
+class VectorMemo(dict):
+    """Chunk to row of `matrix`; `make` gives an unknown chunk's vector. trim() empties it between documents
+    once nearly full, so a worker's memory does not grow with the corpus. A document with more distinct
+    chunks than there is room for makes the matrix grow for as long as it lasts."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, width: int, limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
+        self.matrix = np.zeros((1024, width), np.float32)
 
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
+    def __missing__(self, chunk):
+        row = self[chunk] = len(self)
+        if row >= len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[row] = self.make(chunk)
+        return row
 
-    def trim(self) -> None:
+    def rows(self, chunks: list) -> np.ndarray:
         if len(self) > self.limit:
             self.clear()
+            self.matrix = self.matrix[:1024]
+        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+
+
+_KEPT: dict = {}
+
+
+def per_worker(token: str, make):
+    """make(), once per worker process for a token; only the latest token's value is kept."""
+    if token not in _KEPT:
+        _KEPT.clear()
+        _KEPT[token] = make()
+    return _KEPT[token]

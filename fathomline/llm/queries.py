@@ -6,6 +6,7 @@ import public_tokenizers
 
 from .common import table
 from .decontaminate import digest, find_contamination
+from .langid import identify
 from .packing import pack_documents
 from .wavelet import read_shards, write_shards
 
@@ -22,11 +23,16 @@ def op9_benchmark_decontamination(spark, sf_dir):
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op5_best_fit_packing,
         op6_wavelet_token_output,
         op9_benchmark_decontamination,
+        op10_language_id,
     )}
 
 
