@@ -69,26 +69,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 
 class VectorMemo(dict):
-    """Chunk to row of `matrix`; `make` gives an unknown chunk's vector. trim() empties it between documents
-    once nearly full, so a worker's memory does not grow with the corpus. A document with more distinct
-    chunks than there is room for makes the matrix grow for as long as it lasts."""
+    """Chunk to row of `matrix`. `key` names what decides a chunk's vector (chunks of one key share a row),
+    `make` gives a key's vector. Both are forgotten between documents once there are more than `limit`, so
+    a worker's memory does not grow with the corpus, only with the longest document."""
 
-    def __init__(self, make, width: int, limit: int = 300_000):
+    def __init__(self, make, width: int, limit: int = 300_000, key=None):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.key, self.shared = make, limit, key, {}
         self.matrix = np.zeros((1024, width), np.float32)
 
     def __missing__(self, chunk):
-        row = self[chunk] = len(self)
-        if row >= len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[row] = self.make(chunk)
+        key = self.key(chunk) if self.key else chunk
+        row = self.shared.get(key)
+        if row is None:
+            row = self.shared[key] = len(self.shared)
+            if row >= len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[row] = self.make(key)
+        self[chunk] = row
         return row
 
     def rows(self, chunks: list) -> np.ndarray:
         if len(self) > self.limit:
             self.clear()
-            self.matrix = self.matrix[:1024]
+            if len(self.shared) > self.limit // 4:
+                self.shared.clear()
+                self.matrix = self.matrix[:1024].copy()
         return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
 
 

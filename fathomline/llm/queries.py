@@ -8,6 +8,7 @@ from .common import table
 from .decontaminate import digest, find_contamination
 from .langid import identify
 from .packing import pack_documents
+from .quality import score_quality
 from .wavelet import read_shards, write_shards
 
 
@@ -19,6 +20,10 @@ def op6_wavelet_token_output(spark, sf_dir):
     return read_shards(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_quality_classifier(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_benchmark_decontamination(spark, sf_dir):
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -31,6 +36,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op5_best_fit_packing,
         op6_wavelet_token_output,
+        op8_quality_classifier,
         op9_benchmark_decontamination,
         op10_language_id,
     )}
