@@ -9,9 +9,14 @@ from .decontaminate import digest, find_contamination
 from .langid import identify
 from .packing import pack_documents
 from .quality import score_quality
+from .toxicity import digest as toxicity_digest
 from .wavelet import read_shards, write_shards
 
 
+def op1_toxicity_crf(spark, sf_dir):
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,6 +39,7 @@ def op10_language_id(spark, sf_dir):
 
 def queries() -> dict:
     return {f.__name__: f for f in (
+        op1_toxicity_crf,
         op5_best_fit_packing,
         op6_wavelet_token_output,
         op8_quality_classifier,
