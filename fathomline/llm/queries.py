@@ -9,6 +9,7 @@ from .decontaminate import digest, find_contamination
 from .langid import identify
 from .packing import pack_documents
 from .quality import score_quality
+from .secrets import scan_secrets
 from .toxicity import digest as toxicity_digest
 from .wavelet import read_shards, write_shards
 
@@ -17,6 +18,10 @@ def op1_toxicity_crf(spark, sf_dir):
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +45,7 @@ def op10_language_id(spark, sf_dir):
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_toxicity_crf,
+        op2_secret_scan,
         op5_best_fit_packing,
         op6_wavelet_token_output,
         op8_quality_classifier,
