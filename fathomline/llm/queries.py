@@ -8,6 +8,7 @@ from .common import table
 from .decontaminate import digest, find_contamination
 from .langid import identify
 from .packing import pack_documents
+from .pii import digest as pii_digest
 from .quality import score_quality
 from .secrets import scan_secrets
 from .toxicity import digest as toxicity_digest
@@ -22,6 +23,10 @@ def op2_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_sanitisation(spark, sf_dir):
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,6 +51,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_toxicity_crf,
         op2_secret_scan,
+        op3_pii_sanitisation,
         op5_best_fit_packing,
         op6_wavelet_token_output,
         op8_quality_classifier,
