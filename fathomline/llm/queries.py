@@ -7,6 +7,7 @@ import public_tokenizers
 from .common import table
 from .decontaminate import digest, find_contamination
 from .langid import identify
+from .near_dedup import digest as near_dedup_digest
 from .packing import pack_documents
 from .pii import digest as pii_digest
 from .quality import score_quality
@@ -35,6 +36,10 @@ def op6_wavelet_token_output(spark, sf_dir):
     return read_shards(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op7_minhash_near_dedup(spark, sf_dir):
+    return near_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +59,7 @@ def queries() -> dict:
         op3_pii_sanitisation,
         op5_best_fit_packing,
         op6_wavelet_token_output,
+        op7_minhash_near_dedup,
         op8_quality_classifier,
         op9_benchmark_decontamination,
         op10_language_id,
