@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import kdtree
 from .common import table
 from .decontaminate import digest, find_contamination
 from .langid import identify
@@ -28,6 +29,10 @@ def op3_pii_sanitisation(spark, sf_dir):
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_kdtree_topk(spark, sf_dir):
+    return kdtree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,6 +62,7 @@ def queries() -> dict:
         op1_toxicity_crf,
         op2_secret_scan,
         op3_pii_sanitisation,
+        op4_kdtree_topk,
         op5_best_fit_packing,
         op6_wavelet_token_output,
         op7_minhash_near_dedup,
@@ -67,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_kdtree_topk": kdtree.ORACLE_SQL}
