@@ -263,8 +263,8 @@ def digest(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Da
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs, with its own columns, without the rows that are predicted toxic."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    clean = tag_toxicity(docs, model or learn(docs, labels), keep).where("predicted = 0")
+    clean = tag_toxicity(docs, model, keep).where("predicted = 0")
     return clean.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
