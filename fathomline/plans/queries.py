@@ -12,7 +12,10 @@ from . import analyze
 from .oracle import SQL
 
 C = F.col
-AT = F.lit(analyze.AS_OF).cast("date")
+
+
+def _at():
+    return F.lit(analyze.AS_OF).cast("date")
 
 
 def flagship(spark, sf_dir):
@@ -132,7 +135,7 @@ def _edges(spark, sf_dir):
 
 
 def current_edges(spark, sf_dir):
-    return graph.current_edges(_edges(spark, sf_dir), AT, analyze.TTL_DAYS).select("edge_id", "consumer")
+    return graph.current_edges(_edges(spark, sf_dir), _at(), analyze.TTL_DAYS).select("edge_id", "consumer")
 
 
 def edge_upsert(spark, sf_dir):
@@ -277,7 +280,7 @@ def _rules(spark, sf_dir):
         F.when(C("event_id") % 2 == 0, F.lit("2001-01-01").cast("date")).alias("next_expires_at"), C("ts").alias("at"), "event_id",
     )
     rules = relation(spark, sf_dir, "rules").withColumn("version", F.when(C("version") % 5 == 3, 3).otherwise(1))
-    return governance.suppression_states(rules, events, AT, F.lit(1))
+    return governance.suppression_states(rules, events, _at(), F.lit(1))
 
 
 def suppression_state(spark, sf_dir):

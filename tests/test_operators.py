@@ -260,3 +260,13 @@ def test_llm_is_not_needed():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert "llm" not in f.read_text(), f
+
+
+def test_entry_point_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(tables.__file__).parents[2]
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
