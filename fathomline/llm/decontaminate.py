@@ -168,3 +168,22 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) ->
     keep = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     clean = find_contamination(docs, items, keep, width).where(F.size("item_ids") == 0)
     return clean.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The columns of the contract; hit_offsets, which SQL cannot give, is compared by tests.
+ORACLE_SQL = f"""
+WITH items AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+keys AS (
+    SELECT DISTINCT item_id, least(len(w), {WIDTH}) AS n, array_to_string(w[i : i + least(len(w), {WIDTH}) - 1], ' ') AS k
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+places AS (
+    SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS k
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM keys) WHERE len(w) >= n)
+), hits AS (SELECT doc_id, item_id, i, p.n FROM places p JOIN keys USING (n, k)),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY 1),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

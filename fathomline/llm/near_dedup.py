@@ -302,3 +302,20 @@ def drop_near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PER
     if not again.isEmpty():
         rows = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
     return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+    WHERE 100 * k >= 85 * (p.n + q.n - k)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+root AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.r, w.doc_id) AS component_id, w.doc_id = coalesce(root.r, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
+"""
