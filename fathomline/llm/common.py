@@ -92,7 +92,7 @@ class VectorMemo(dict):
     def rows(self, chunks: list) -> np.ndarray:
         if len(self) > self.limit:
             self.clear()
-            if len(self.shared) > self.limit // 4:
+            if len(self.shared) > self.limit // 2:
                 self.shared.clear()
                 self.matrix = self.matrix[:1024].copy()
         return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))

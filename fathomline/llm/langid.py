@@ -58,28 +58,34 @@ class Model:
             self.grams[n] = self._table(counted)
 
     @staticmethod
-    def _table(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
+    def _table(counts: list[Counter]) -> dict[str, list[float]]:
         total = sum(counts, Counter())
         keys = sorted(k for k, n in total.items() if n >= SUPPORT)
         seen = np.array([[c[k] for k in keys] for c in counts], np.float32).reshape(len(counts), len(keys))
         logs = np.log((seen + SMOOTHING) / (seen.sum(1, keepdims=True) + SMOOTHING * max(1, len(keys))))
         logs -= logs.max(0, keepdims=True) if len(counts) else 0
-        return {k: i for i, k in enumerate(keys)}, np.ascontiguousarray(logs.T)
+        return dict(zip(keys, logs.T.tolist(), strict=True))
 
-    def word(self, word: str) -> np.ndarray:
-        known, logs = self.words
-        if word in known:
-            return logs[known[word]]
+    def word(self, word: str) -> list[float]:
+        if word in self.words:
+            return self.words[word]
         for n in range(LONGEST, 0, -1):
-            known, logs = self.grams[n]
+            known = self.grams[n]
             if found := [known[g] for g in grams(word, n) if g in known]:
-                return logs[found].mean(0)
-        return np.zeros(len(self.languages), np.float32)
+                return [sum(v) / len(found) for v in zip(*found, strict=True)]
+        return [0.0] * len(self.languages)
 
-    def chunk(self, chunk: str) -> np.ndarray:
-        """Summed scores of the words of a chunk between white space, and their number."""
-        words = words_of(chunk)
-        return np.append(sum(map(self.word, words), np.zeros(len(self.languages), np.float32)), len(words))
+    @staticmethod
+    def key(chunk: str) -> str:
+        """A chunk between white space without case and the mark that ends it."""
+        return (chunk[:-1] if chunk[-1] in ".,;:!?" else chunk).lower()
+
+    def vector(self, chunk: str) -> list[float]:
+        """Summed scores of a chunk's words, and their number."""
+        words = [chunk] if chunk.isalpha() else words_of(chunk)
+        if len(words) == 1:
+            return [*self.word(words[0]), 1.0]
+        return [*map(sum, zip(*map(self.word, words), strict=True)), len(words)] if words else [0.0] * (len(self.languages) + 1)
 
     def predict(self, text: str | None, memo: VectorMemo) -> tuple[str, float]:
         rows = memo.rows(text.split()) if text and self.languages else ()
@@ -94,7 +100,7 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
     def memo(self) -> VectorMemo:
-        return VectorMemo(self.chunk, len(self.languages) + 1)
+        return VectorMemo(self.vector, len(self.languages) + 1, key=self.key)
 
 
 def learn(docs: DataFrame) -> Model:
