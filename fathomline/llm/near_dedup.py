@@ -7,10 +7,11 @@ Documents are linked where 100 * |intersection| >= 85 * |union|.
 Equal sets are one node, so copies cost nothing further. Nodes meet in MinHash bands. Within a band's bucket
 their odd sketches are compared: MinHash samples folded into a parity bitmap, whose exclusive or counts the
 samples that differ. What passes is confirmed on the full sets, which are recomputed for the nodes in
-question alone. A bucket proposes stars, not all pairs; a second round proposes links between the
-components that are left, from a few nodes of each; and a last round, wherever those few were not all,
-proposes every pair between components. So a link is missed only if no band brings its documents together
-(under one in a million at the threshold) and is not needed to connect them.
+question alone. A bucket proposes stars, not all pairs. A second round covers every pair between the
+components that are left: few are confirmed one by one, and a bucket with many of them is compared block
+against block on the full sets, which gives links that connect it and never a row a pair. So a link is
+missed only if no band brings its documents together (under one in a million at the threshold) or its
+sketches differ by more than five standard deviations.
 
 Rows of one doc_id may differ in text: they are nodes of their own, but where one of them is the document
 that stays of its group, drop_near_duplicates() keeps that row alone. Repeated rows get repeated results. Null
@@ -32,8 +33,9 @@ WORDS, PERCENT, BANDS, BAND, BITS = 3, 85, 25, 5, 512
 #: Differing bits up to which a pair is confirmed on its sets: five standard deviations over what pairs at
 #: the threshold have.
 NEAR_BITS = 76
-#: Nodes of each component that speak for it in the second round; rows of a bucket compared at a time.
-SPEAKERS, BLOCK = 8, 4096
+#: Pairs between components, for each node of a bucket, beyond which the bucket is compared by blocks; sets of
+#: a group of two blocks; items in up to so many of its sets are counted pair by pair.
+PAIRS_PER_NODE, BLOCK, RARE = 2, 4096, 24
 #: Bits of the filter that says which documents' sets are wanted: 2 MiB, whatever the corpus.
 FILTER_BITS = 1 << 24
 
@@ -99,41 +101,39 @@ def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return rows.mapInArrow(made, "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, sketch binary")
 
 
-_PAIR = "a binary, b binary, partial boolean"
+_PAIR = "a binary, b binary, key long"
 
 
-def _compare(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, group: np.ndarray, speakers: int | None, percent: int) -> tuple[set, bool]:
-    """Pairs of a bucket that its sketches let pass, and whether some pairs of different groups were left
-    out. speakers None: stars around leaders; otherwise pairs between groups, from so many of each."""
-    pairs, partial = set(), False
+def _stars(nodes: np.ndarray, near) -> list[tuple]:
+    """Each node with the first leader it is near to, in order; a node near to none leads."""
+    pairs, left = [], np.arange(len(nodes))
+    while len(left) > 1:
+        found = near(left[0], left[1:])
+        pairs += [(nodes[left[0]], nodes[i], None) for i in found]
+        left = left[1:][~np.isin(left[1:], found)]
+    return pairs
 
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        bits = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1, dtype=np.int64)
-        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        return others[(bits <= NEAR_BITS) & (100 * low >= percent * high)]
 
-    if speakers is None:
-        left = np.arange(len(nodes))
-        while len(left) > 1:
-            found = near(left[0], left[1:])
-            pairs.update((nodes[left[0]], nodes[i]) for i in found)
-            left = left[1:][~np.isin(left[1:], found)]
-        return pairs, partial
-    names, inverse = np.unique(group, return_inverse=True)
-    if len(names) == 1:
-        return pairs, partial
-    for g in range(len(names)):
-        mine, others = np.flatnonzero(inverse == g), np.flatnonzero(inverse != g)
-        partial |= len(mine) > speakers
-        for i in mine[:speakers]:
-            pairs.update((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in near(i, others))
-    return pairs, partial
+def _between(key: int, nodes: np.ndarray, group: np.ndarray, near) -> list[tuple]:
+    """Pairs of different components that the sketches let pass; where these outgrow the bucket, its nodes
+    that have any instead, each once with the key, for comparing block by block."""
+    pairs, asked = [], np.zeros(len(nodes), bool)
+    for i in range(len(nodes)):
+        others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        found = near(i, others)
+        asked[i] |= len(found) > 0
+        asked[found] = True
+        if len(pairs) <= PAIRS_PER_NODE * len(nodes):
+            pairs += [(nodes[i], nodes[j], None) for j in found]
+    if len(pairs) > PAIRS_PER_NODE * len(nodes):
+        return [(n, None, key) for n in nodes[asked]]
+    return pairs
 
 
-def _propose(members: DataFrame, speakers: int | None, percent: int) -> DataFrame:
-    """Pairs (a < b) to confirm, from members(key, node, n, sketch, component) of buckets. A bucket is read
-    in blocks; what a block's leaders or speakers are is kept for the blocks after it."""
-    order = members.select("key", "node", "n", "sketch", "component").repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.lit(speakers or 0)))
+def _propose(members: DataFrame, stars: bool, percent: int) -> DataFrame:
+    """Pairs (a < b) to confirm, or nodes (a, key) to compare by blocks, from members(key, node, n, sketch,
+    component) of buckets."""
+    order = members.select("key", "node", "n", "sketch", "component").repartition("key").sortWithinPartitions("key", F.xxhash64("node"))
 
     def scanned(batches):
         kept = None
@@ -141,8 +141,8 @@ def _propose(members: DataFrame, speakers: int | None, percent: int) -> DataFram
             nodes = np.array(b.column(1).to_pylist(), object)
             part = (b.column(0).to_numpy(), nodes, b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(nodes), -1), np.array(b.column(4).to_pylist(), object))
             kept = part if kept is None else tuple(np.concatenate(x) for x in zip(kept, part, strict=True))
-            cut = int(np.searchsorted(kept[0], kept[0][-1])) if (np.diff(kept[0]) >= 0).all() else 0
-            if len(kept[0]) - cut > 16 * BLOCK:  # a bucket without end: compare what is there, keep its leaders
+            cut = int(np.argmax(kept[0] == kept[0][-1]))
+            if stars and len(kept[0]) - cut > 16 * BLOCK:  # stars only propose: the next round covers what a cut leaves
                 done, kept = kept, tuple(x[cut : cut + BLOCK] for x in kept)
             else:
                 done, kept = tuple(x[:cut] for x in kept), tuple(x[cut:] for x in kept)
@@ -153,22 +153,101 @@ def _propose(members: DataFrame, speakers: int | None, percent: int) -> DataFram
     def compared(rows):
         keys, nodes, sizes, sketches, group = rows
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, np.int64)
-        pairs, partial = set(), False
+        out = set()
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            n, k = sizes[s:e], sketches[s:e]
+
+            def near(i: int, others: np.ndarray, n=n, k=k) -> np.ndarray:
+                bits = np.bitwise_count(k[others] ^ k[i]).sum(1, dtype=np.int64)
+                low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+                return others[(bits <= NEAR_BITS) & (100 * low >= percent * high)]
+
             if e - s > 1:
-                found, missed = _compare(nodes[s:e], sizes[s:e], sketches[s:e], group[s:e], speakers, percent)
-                pairs |= found
-                partial |= missed
-        ordered = sorted((min(p), max(p)) for p in pairs if p[0] != p[1])
-        a, b = [x for x, _ in ordered], [x for _, x in ordered]
-        if partial:
-            a.append(None), b.append(None)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([x is None for x in a])], names=["a", "b", "partial"])
+                found = _stars(nodes[s:e], near) if stars else _between(int(keys[s]), nodes[s:e], np.unique(group[s:e], return_inverse=True)[1], near)
+                out.update((min(p[:2]), max(p[:2]), None) if p[2] is None else p for p in found)
+        if out:
+            a, b, k = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(k, pa.int64())], names=["a", "b", "key"])
 
     return order.mapInArrow(scanned, _PAIR).distinct()
 
 
+def _linked(sets: list, percent: int) -> np.ndarray:
+    """Which of these sets are linked, as a boolean matrix: intersections counted exactly, frequent items by
+    a matrix product and rare ones pair by pair."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    rows = np.repeat(np.arange(n), sizes)
+    _, columns, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    both = np.zeros((n, n), np.float32)
+    rare = df[columns] <= RARE
+    r, c = rows[rare], columns[rare]
+    for k in range(1, RARE):
+        same = np.flatnonzero(c[k:] == c[:-k])
+        if not len(same):
+            break
+        np.add.at(both, (r[same], r[same + k]), 1)
+        np.add.at(both, (r[same + k], r[same]), 1)
+    frequent = np.flatnonzero(df > RARE)
+    place = np.full(len(df), -1)
+    place[frequent] = np.arange(len(frequent))
+    r, c = rows[~rare], place[columns[~rare]]
+    for at in range(0, len(frequent), 2048):
+        x = np.zeros((n, min(2048, len(frequent) - at)), np.float32)
+        inside = (c >= at) & (c < at + 2048)
+        x[r[inside], c[inside] - at] = 1
+        both += x @ x.T
+    linked = 100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of a boolean matrix."""
+    left, out = np.ones(len(linked), bool), []
+    for i in range(len(linked)):
+        if left[i]:
+            left[i], todo = False, [i]
+            while todo:
+                k = todo.pop()
+                fresh = np.flatnonzero(linked[k] & left)
+                left[fresh] = False
+                out += [(k, j) for j in fresh.tolist()]
+                todo += fresh.tolist()
+    return out
+
+
+def _compare_blocks(docs: DataFrame, asked: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that connect asked(a, key) within each key, on the full sets. A bucket is dealt into blocks and
+    every two blocks meet in one group, so a task holds two blocks' sets, whatever the bucket's size."""
+    asked = materialise(asked.select(F.col("a").alias("node"), "key"), "dedup-blocks")
+    sets = _full_sets(docs, materialise(asked.select("node").distinct().join(nodes.select("node", "id"), "node"), "dedup-asked"), width)
+    counts = asked.groupBy("key").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
+    dealt = asked.join(counts, "key").withColumn("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", F.xxhash64("key", F.least("g", "h"), F.greatest("g", "h")).alias("pair"))
+
+    def compared(batches):
+        held: list = []
+        for b in batches:
+            for pair, node, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if held and held[0][0] != pair:
+                    yield links(held)
+                    held = []
+                held.append((pair, node, items.values.to_numpy()))
+        if held:
+            yield links(held)
+
+    def links(held):
+        found = _forest(_linked([x[2] for x in held], percent)) if len(held) > 1 else []
+        ends = [sorted((held[i][1], held[j][1])) for i, j in found]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    rows = dealt.join(materialise(sets, "dedup-sets"), "node").select("pair", "node", "items")
+    return materialise(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(compared, "a binary, b binary").distinct(), "dedup-links")
+
+
 def _wanted(ids: DataFrame) -> bytes:
     """A Bloom filter of a column of ids: FILTER_BITS bits, made up of words counted on the executors."""
 
@@ -252,30 +331,22 @@ def find_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     members = keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").select("key", "node")
     members = materialise(members.join(nodes.select("node", "n", "sketch"), "node"), "dedup-members")
-    links, tested, components = None, None, None
-    for speakers in (None, SPEAKERS, 1 << 62):
-        grouped = members.withColumn("component", F.col("node"))
-        if components is not None:
-            grouped = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        found = materialise(_propose(grouped, speakers, percent), "dedup-pairs")
-        partial = speakers is None or not found.where("partial").isEmpty()
-        pairs = found.where("not partial").select("a", "b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if pairs.isEmpty():
-            if partial and speakers is not None:
-                continue
-            if speakers is not None or found.isEmpty():
-                break
-        confirmed = _confirm(docs, pairs, nodes, width, percent)
-        links = confirmed if links is None else links.unionByName(confirmed)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not confirmed.isEmpty():
-            components = connected_components(links)
-        if not partial:
-            break
+    stars = materialise(_propose(members.withColumn("component", F.col("node")), True, percent), "dedup-pairs").select("a", "b")
+    links = _confirm(docs, stars, nodes, width, percent)
+    components = connected_components(links)
+    grouped = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = materialise(grouped, "dedup-grouped")
+    open_ = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    found = materialise(_propose(grouped.join(open_, "key", "left_semi"), False, percent), "dedup-pairs")
+    more = found.where("key is null").select("a", "b").join(stars, ["a", "b"], "left_anti")
+    more = _confirm(docs, more, nodes, width, percent)
+    asked = found.where("key is not null")
+    if not asked.isEmpty():
+        more = more.unionByName(_compare_blocks(docs, asked, nodes, width, percent))
+    if not more.isEmpty():
+        components = connected_components(links.unionByName(more))
     rows = signed.select("doc_id", "text_hash", "n_shingles", "node")
-    rows = rows.join(components, "node", "left") if components is not None else rows.withColumn("component", F.lit(None).cast("binary"))
+    rows = rows.join(components, "node", "left")
     rows = rows.withColumn("root", F.coalesce("component", "node"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

@@ -381,3 +381,38 @@ def test_decontamination_equals_brute_force(spark, odd):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(out[~out.contaminated].index)
     assert decontaminate.drop_contaminated(odd, items).count() == 10 and decontaminate.drop_contaminated(odd, items.limit(0)).count() == 10
     assert decontaminate.drop_contaminated(odd.limit(0), items).count() == 0
+
+
+def test_block_comparison_equals_brute_force(spark):
+    r = np.random.default_rng(8)
+    base = r.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = []
+    for _ in range(70):
+        s = base.copy()
+        at = r.integers(0, 60, int(r.integers(0, 14)))
+        s[at] = r.integers(0, 1 << 62, len(at)).astype(np.uint64)
+        sets.append(np.unique(s))
+    got = near_dedup._linked(sets, 85)
+    want = np.array([[i != j and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (got == want).all() and want.any()
+    forest = near_dedup._forest(got)
+    assert all(got[i, j] for i, j in forest) and len(forest) < len(sets)
+
+    words = [f"u{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_dedup.signatures(df).select("node", F.col("doc_id").alias("id"))
+    asked = signed.select(F.col("node").alias("a"), F.lit(5).cast("long").alias("key"))
+    links = near_dedup._compare_blocks(df, asked, signed, 3, 85)
+    assert near_dedup.connected_components(links).select("component").distinct().count() == 1
+
+
+def test_a_bucket_with_many_pairs_asks_for_blocks():
+    nodes = np.array([bytes([i]) for i in range(20)], object)
+    all_near = lambda i, others: others
+    group = np.arange(20) % 10
+    out = near_dedup._between(7, nodes, group, all_near)
+    assert all(b is None and key == 7 for _, b, key in out) and {a for a, _, _ in out} == set(nodes)
+    few = near_dedup._between(7, nodes, group, lambda i, others: others[:1])
+    assert all(key is None for _, _, key in few) and len(few) <= 2 * len(nodes)
+    assert len(near_dedup._stars(nodes, all_near)) == 19
