@@ -53,3 +53,9 @@ def test_closure_follows_every_edge(spark, folder):
         want |= dict.fromkeys(frontier, k)
     got = plans.invalidation_closure(spark, path).collect()
     assert {r.node: r.distance for r in got} == want and len(got) == len(want) > 10
+
+
+def test_closure_of_a_chain_longer_than_any_bound(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(70)] + [(0, 70)], "node long, depends_on long").coalesce(1)
+    got = graph.closure(spark.createDataFrame([(0,)], "node long"), chain).collect()
+    assert {r.node: r.distance for r in got} == {i: i for i in range(71)} and len(got) == 71
