@@ -20,7 +20,7 @@ def reject_toxic(spark, docs, sf_dir):
 
 
 def keep_one_of_each(spark, docs, sf_dir):
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def drop_test_questions(spark, docs, sf_dir):

@@ -11,7 +11,7 @@ question alone. A bucket proposes stars, not all pairs. A second round covers ev
 components that are left: few are confirmed one by one, and a bucket with many of them is compared block
 against block on the full sets, which gives links that connect it and never a row a pair. So a link is
 missed only if no band brings its documents together (under one in a million at the threshold) or its
-sketches differ by more than five standard deviations.
+sketches differ by more than five standard deviations. Bands and that bound follow from the threshold.
 
 Rows of one doc_id may differ in text: they are nodes of their own, but where one of them is the document
 that stays of its group, drop_near_duplicates() keeps that row alone. Repeated rows get repeated results. Null
@@ -20,6 +20,9 @@ text has no words. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
-#: Words of a shingle, threshold in percent, bands and MinHash samples of each, bits of the odd sketch.
+#: Words of a shingle, threshold in percent, least bands and most MinHash samples of each, bits of the odd sketch.
 WORDS, PERCENT, BANDS, BAND, BITS = 3, 85, 25, 5, 512
-#: Differing bits up to which a pair is confirmed on its sets: five standard deviations over what pairs at
-#: the threshold have.
-NEAR_BITS = 76
+#: Chance of a link at the threshold that no band may bring together, bands from which shorter ones are taken,
+#: standard deviations over the mean of pairs at the threshold up to which sketches let a pair pass.
+MISS, MOST_BANDS, DEVIATIONS = 1e-6, 64, 5.7
 #: Pairs between components, for each node of a bucket, beyond which the bucket is compared by blocks; sets of
 #: a group of two blocks; items in up to so many of its sets are counted pair by pair.
 PAIRS_PER_NODE, BLOCK, RARE = 2, 4096, 24
@@ -41,7 +44,29 @@ FILTER_BITS = 1 << 24
 
 _SAMPLES = BANDS * BAND
 _ODD = np.random.default_rng(85).integers(1, 1 << 63, _SAMPLES + 8, np.uint64) * np.uint64(2) + np.uint64(1)
-_MULTIPLIERS, _MIX = _ODD[:_SAMPLES], _ODD[_SAMPLES:]
+_MIX = _ODD[_SAMPLES:]
+
+
+@cache
+def _multipliers(n: int) -> np.ndarray:
+    more = np.random.default_rng(86).integers(1, 1 << 63, max(n - _SAMPLES, 0), np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.concatenate([_ODD[:_SAMPLES], more])[:n]
+
+
+@cache
+def plan(percent: int) -> tuple[int, int, int]:
+    """Bands, samples of each, and differing bits up to which a pair is confirmed on its sets, for a threshold.
+    A pair's bits are those in which an odd number of its differing samples, two each, fall together."""
+    share = min(max(percent / 100, 0.01), 1 - 1e-9)
+    for band in range(BAND, 0, -1):
+        bands = max(BANDS, math.ceil(math.log(MISS) / math.log1p(-(share**band))))
+        if bands <= MOST_BANDS:
+            break
+    balls = 2 * bands * band * (1 - share)
+    still = math.exp(-2 * balls / BITS)
+    odd = (1 - still) / 2
+    spread = 4 * bands * band * share * (1 - share) * still**2 + max(BITS * odd * (1 - odd) - balls * still**2, 0)
+    return bands, band, round(BITS * odd + DEVIATIONS * math.sqrt(spread))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,12 +91,13 @@ def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(s: np.ndarray) -> tuple[list[int], bytes]:
+def signature(s: np.ndarray, percent: int = PERCENT) -> tuple[list[int], bytes]:
     """Band keys and odd sketch of a set that is not empty."""
-    samples = (s[:, None] * _MULTIPLIERS).min(0)
-    grid = _mixed(samples.reshape(BANDS, BAND) * _MIX[:5])
-    keys = _mixed(grid.sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MIX[5])
-    places = (_mixed(samples + np.arange(_SAMPLES, dtype=np.uint64) * _MIX[6]) % np.uint64(BITS)).astype(np.int64)
+    bands, band, _ = plan(percent)
+    samples = (s[:, None] * _multipliers(bands * band)).min(0)
+    grid = _mixed(samples.reshape(bands, band) * _MIX[:band])
+    keys = _mixed(grid.sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _MIX[5])
+    places = (_mixed(samples + np.arange(bands * band, dtype=np.uint64) * _MIX[6]) % np.uint64(BITS)).astype(np.int64)
     parity = np.bincount(places, minlength=BITS) & 1
     return keys.astype(np.int64).tolist(), np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -80,7 +106,7 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (128-bit fingerprint of the set; null for none), bands, sketch."""
 
     def made(batches):
@@ -88,7 +114,7 @@ def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
             n, nodes, bands, sketches = [], [], [], []
             for text in b.column(2).to_pylist():
                 s = shingles(text, width)
-                keys, sketch = signature(s) if len(s) else (None, None)
+                keys, sketch = signature(s, percent) if len(s) else (None, None)
                 n.append(len(s))
                 nodes.append(_fingerprint(s) if len(s) else None)
                 bands.append(keys)
@@ -133,6 +159,7 @@ def _between(key: int, nodes: np.ndarray, group: np.ndarray, near) -> list[tuple
 def _propose(members: DataFrame, stars: bool, percent: int) -> DataFrame:
     """Pairs (a < b) to confirm, or nodes (a, key) to compare by blocks, from members(key, node, n, sketch,
     component) of buckets."""
+    near_bits = plan(percent)[2]
     order = members.select("key", "node", "n", "sketch", "component").repartition("key").sortWithinPartitions("key", F.xxhash64("node"))
 
     def scanned(batches):
@@ -160,7 +187,7 @@ def _propose(members: DataFrame, stars: bool, percent: int) -> DataFrame:
             def near(i: int, others: np.ndarray, n=n, k=k) -> np.ndarray:
                 bits = np.bitwise_count(k[others] ^ k[i]).sum(1, dtype=np.int64)
                 low, high = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-                return others[(bits <= NEAR_BITS) & (100 * low >= percent * high)]
+                return others[(bits <= near_bits) & (100 * low >= percent * high)]
 
             if e - s > 1:
                 found = _stars(nodes[s:e], near) if stars else _between(int(keys[s]), nodes[s:e], np.unique(group[s:e], return_inverse=True)[1], near)
@@ -324,7 +351,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 def find_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of each row; component_id is the smallest doc_id that links reach."""
-    signed = materialise(signatures(docs, width), "dedup-signatures")
+    signed = materialise(signatures(docs, width, percent), "dedup-signatures")
     # One row a distinct set, combined before the shuffle: a group of copies of any size is one node.
     nodes = signed.where("n_shingles > 0").groupBy("node", F.col("n_shingles").alias("n"), "bands", "sketch").agg(F.min("doc_id").alias("id"))
     nodes = materialise(nodes, "dedup-nodes")

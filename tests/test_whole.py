@@ -3,9 +3,11 @@
 import datetime as dt
 from collections import defaultdict
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
+import corpus_pipeline
+from fathomline.llm import near_dedup
 from fathomline.operators import graph
 from fathomline.plans import queries as plans
 
@@ -59,3 +61,25 @@ def test_closure_of_a_chain_longer_than_any_bound(spark):
     chain = spark.createDataFrame([(i + 1, i) for i in range(70)] + [(0, 70)], "node long, depends_on long").coalesce(1)
     got = graph.closure(spark.createDataFrame([(0,)], "node long"), chain).collect()
     assert {r.node: r.distance for r in got} == {i: i for i in range(71)} and len(got) == 71
+
+
+def test_the_plan_follows_the_threshold():
+    assert near_dedup.plan(85) == (25, 5, 76)
+    for percent in (30, 50, 70, 80, 85, 90, 99, 100):
+        bands, band, bits = near_dedup.plan(percent)
+        assert (1 - (percent / 100) ** band) ** bands < 1e-6 and bits <= near_dedup.BITS
+    r = np.random.default_rng(3)
+    for percent in (50, 80):
+        bands, band, bits = near_dedup.plan(percent)
+        for _ in range(200):
+            s = r.integers(0, 1 << 62, 300).astype(np.uint64)
+            (a, x), (b, y) = near_dedup.signature(s[: 3 * percent], percent), near_dedup.signature(s, percent)
+            assert set(a) & set(b) and np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum() <= bits
+
+
+def test_the_pipeline_drops_near_copies_with_a_block_added(spark):
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(100 * at + i, text(i, n)) for i in range(8) for at, n in enumerate((500, 600, 700))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # 500 and 600 words are linked (496/596), 600 and 700 (596/696) too.
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == list(range(8))
