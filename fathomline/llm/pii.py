@@ -5,11 +5,11 @@ for each kind; offsets follow from the texts between the matches and the matches
 The patterns start only where a run of their characters does (or where the last match ended) and never give
 characters back, so they find what the plain ones find in time linear in the text.
 
-The matched values are the protected entities. Words near a mention are its context, and the corpus says how
-strongly a word t reveals an entity e: with document counts n over all documents, PMI(e;t) =
+The matched values are the protected entities. All words of a document that mentions one are its context, and
+the corpus says how strongly a word t reveals an entity e: with document counts n over all documents, PMI(e;t) =
 log(N n(e,t) / n(e) n(t)) of the information IC(e) = log(N / n(e)) that identifying e takes. A word that
-reveals most of it is generalised, one that reveals nearly all is removed, in the contexts of that entity
-only; documents without a protected entity stay as they are. Words are judged on SUPPORT documents at least.
+reveals most of it is generalised, one that reveals nearly all is removed, wherever it stands in the
+documents that hold that entity; documents without a protected entity stay as they are. Words are judged on SUPPORT documents at least.
 
 Null text counts as empty: no spans. Rows of one doc_id and text get the same spans. Extra columns, whatever
 their names, are kept by sanitise() and ignored by the digest.
@@ -30,19 +30,21 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Code points of context on either side of a mention, least letters of a term.
-CONTEXT, LETTERS = 60, 3
+#: Least letters of a term.
+LETTERS = 3
 #: Documents with both term and entity needed to judge; share of the entity's information from which a term
 #: is generalised, and from which it is removed.
 SUPPORT, GENERALISE, REMOVE = 2, 0.7, 0.95
 #: Candidate terms broadcast to the corpus count at most; beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 200_000
-_WORD = r"\p{L}++"
+#: Stands for each code point of a base span; and whole words that touch none.
+_MASK = "\x01"
+_WORD = r"(?<![\p{L}\x01])\p{L}++(?!\x01)"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Start, end (exclusive) and value of every match, in code points."""
+def located(text: Column, pattern: str, wanted=lambda value: F.lit(True)) -> Column:
+    """Start, end (exclusive) and value of every wanted match, in code points."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
@@ -50,7 +52,7 @@ def located(text: Column, pattern: str) -> Column:
         start = acc["at"] + F.length(part["gap"])
         end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
         found = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value"))))
-        return F.struct(end.alias("at"), F.when(part["hit"].isNotNull(), found).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(part["hit"].isNotNull() & wanted(part["hit"]), found).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
@@ -96,16 +98,33 @@ def base_spans(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.concat(*(F.coalesce(e, empty) for e in each))).otherwise(empty)
 
 
-def _terms(text: Column, span: Column, spans: Column) -> Column:
-    """Words within CONTEXT of a mention that touch no base span and are not cut off by the window."""
-    left = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    right = F.least(span["end"] + CONTEXT, F.length(text))
-    moved = lambda base, words: F.transform(words, lambda w: F.struct((w["start"] + base).alias("start"), (w["end"] + base).alias("end"), F.lower(w["value"]).alias("term")))
-    before = moved(left, located(F.substring(text, left + 1, span["start"] - left), _WORD))
-    after = moved(span["end"], located(F.substring(text, span["end"] + 1, right - span["end"]), _WORD))
-    whole = lambda w: ((w["start"] > left) | (left == 0)) & ((w["end"] < right) | (right == F.length(text)))
-    free = lambda w: ~F.exists(spans, lambda s: (s["start"] <= w["end"]) & (w["start"] <= s["end"]))
-    return F.filter(F.concat(before, after), lambda w: whole(w) & free(w) & (F.length(w["term"]) >= LETTERS))
+def _merged(spans: Column) -> Column:
+    """Spans(start, end, kind) in order, overlapping ones as one, named for the first."""
+
+    def join(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
+        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] > s["start"]), longer).otherwise(F.concat(out, F.array(s)))
+
+    flat = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.aggregate(F.array_sort(flat), F.array().cast("array<struct<start:int,end:int,kind:int>>"), join)
+
+
+def _written(text: Column, merged: Column, word) -> Column:
+    """The text with word(span) in place of each of the merged spans, of which there is one at least."""
+
+    def piece(s: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(0)
+        return F.concat(F.substring(text, before + 1, s["start"] - before), word(s))
+
+    return F.concat(F.array_join(F.transform(merged, piece), ""), F.substring(text, F.element_at(merged, -1)["end"] + 1, F.length(text)))
+
+
+def _masked(held: DataFrame) -> DataFrame:
+    """Rows with base spans and their text as `masked`, whose words touch no base span; offsets stay."""
+    rows = held.withColumn("_merged", _merged(F.col("spans")))
+    masked = _written(F.translate("text", _MASK, " "), F.col("_merged"), lambda s: F.repeat(F.lit(_MASK), s["end"] - s["start"]))
+    return rows.withColumn("masked", masked).drop("_merged")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -116,33 +135,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.when(F.col("text").rlike("[0-9@]"), key)).withColumn("spans", base_spans(F.col("text")))
 
 
-def disclosing_spans(rows: DataFrame) -> DataFrame:
-    """key, added: for documents with protected entities, the spans of the terms that reveal them."""
-    mentions = (
-        rows.where(F.size("spans") > 0)
-        .dropDuplicates(["key"])
-        .withColumn("span", F.explode("spans"))
-        .select("key", F.xxhash64("span.kind", F.lower("span.value")).alias("entity"), _terms(F.col("text"), F.col("span"), F.col("spans")).alias("terms"))
-    )
-    mentions = materialise(mentions, "pii-mentions")
-    near = mentions.select("key", "entity", F.explode("terms").alias("t"))
-    pairs = near.select("key", "entity", F.col("t.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    pairs = materialise(pairs, "pii-pairs")
-    entities = mentions.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = pairs.select("term").distinct()
-    total = rows.count()
-    if candidates.count() <= BROADCAST_TERMS:
-        candidates = F.broadcast(candidates)
+def disclosing_terms(rows: DataFrame) -> DataFrame:
+    """key, shares: for documents with protected entities, the terms that reveal one of them, and how much."""
+    entity = F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))
+    term = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("masked", F.lit(_WORD), F.lit(0)), F.lower)), lambda t: F.length(t) >= LETTERS)
+    mentions = _masked(rows.where(F.size("spans") > 0).dropDuplicates(["key"]))
+    mentions = materialise(mentions.select("key", F.array_distinct(entity).alias("entities"), term.alias("terms")), "pii-mentions")
+    held = mentions.select("key", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    entities = materialise(entities, "pii-entities")
+    candidates = mentions.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("term")
+    candidates = materialise(candidates, "pii-candidates")
+    total = float(max(rows.count(), 1))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
     words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    terms = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / F.col("n_entity") / F.col("n_term"))
-    judged = pairs.join(entities, "entity").join(terms, "term").select("entity", "term", F.when(information > 0, pmi / information).otherwise(0.0).alias("share"))
+    terms = words.join(small(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # n_both is n_entity at most, so a term in more documents than this reveals too little of the entity.
+    most = lambda n: F.lit(total ** (1 - GENERALISE) * (1 + 1e-9)) * F.pow(n, F.lit(GENERALISE))
+    widest = F.broadcast(entities.agg(F.max("n_entity").alias("widest")))
+    terms = materialise(terms.join(widest).where(F.col("n_term") <= most(F.col("widest"))).drop("widest"), "pii-terms")
+    met = mentions.select("key", F.explode("terms").alias("term")).join(small(terms), "term")
+    met = met.join(held.join(small(entities), "entity"), "key").where(F.col("n_term") <= most(F.col("n_entity")))
+    met = materialise(met.select("key", "entity", "term", "n_entity", "n_term"), "pii-pairs")
+    judged = met.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    information = F.log2(F.lit(total) / F.col("n_entity"))
+    pmi = F.log2(F.lit(total) * F.col("n_both") / F.col("n_entity") / F.col("n_term"))
+    judged = judged.select("entity", "term", F.when(information > 0, pmi / information).otherwise(0.0).alias("share"))
     judged = judged.where(F.col("share") >= GENERALISE)
-    found = near.select("key", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")).join(judged, ["entity", "term"])
-    span = F.struct("start", "end", F.when(F.col("share") >= REMOVE, 5).otherwise(4).alias("kind"))
-    # A document's spans only: bounded by the document, and counted once where two entities share a word.
-    return found.groupBy("key", "start", "end").agg(F.max("share").alias("share")).groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    # A document's terms only: bounded by the document, and once where two entities share a word.
+    found = met.select("key", "entity", "term").join(judged, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    return found.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
 
 
 LABELS = (*KINDS, "generalise", "remove")
@@ -151,9 +173,13 @@ LABELS = (*KINDS, "generalise", "remove")
 def _with_added(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without base spans, and rows with them and their added spans; only the latter are shuffled."""
     rows = _keyed(docs)
-    added = disclosing_spans(rows)
+    terms = disclosing_terms(rows)
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    held = rows.where(F.size("spans") > 0).join(added, "key", "left").withColumn("added", F.coalesce("added", none))
+    held = _masked(rows.where(F.size("spans") > 0)).join(terms, "key", "left")
+    share = lambda value: F.try_element_at("shares", F.lower(value))
+    found = located(F.col("masked"), _WORD, lambda value: share(value).isNotNull())
+    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(share(s["value"]) >= REMOVE, 5).otherwise(4).alias("kind")))
+    held = held.withColumn("added", F.when(F.col("shares").isNotNull(), found).otherwise(none)).drop("masked", "shares")
     return rows.where(F.size("spans") == 0).withColumn("added", none), held
 
 
@@ -175,22 +201,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     nothing, n_chars (if there) follows. Overlapping spans are replaced as one, named for the first."""
     clean, held = _with_added(docs)
     flat = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    spans = F.array_sort(F.concat(flat("spans"), flat("added")))
-
-    def join(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] > s["start"]), longer).otherwise(F.concat(out, F.array(s)))
-
-    merged = F.aggregate(spans, F.array().cast("array<struct<start:int,end:int,kind:int>>"), join)
     words = F.array(*(F.lit(f"[{k}]") for k in KINDS), F.lit("[word]"), F.lit(""))
-    held = held.withColumn("merged", merged)
-    piece = lambda s, i: F.concat(
-        F.substring("text", F.when(i > 0, F.get("merged", i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get("merged", i - 1)["end"]).otherwise(0)),
-        F.element_at(words, s["kind"] + 1),
-    )
-    tail = F.substring("text", F.element_at("merged", -1)["end"] + 1, F.length("text"))
-    held = held.withColumn("written", F.concat(F.array_join(F.transform("merged", piece), ""), tail))
+    held = held.withColumn("merged", _merged(F.concat(flat("spans"), flat("added"))))
+    held = held.withColumn("written", _written(F.col("text"), F.col("merged"), lambda s: F.element_at(words, s["kind"] + 1)))
     out = clean.select("row", F.col("original").alias("written"), F.lit(False).alias("changed")).unionByName(held.select("row", "written", F.lit(True).alias("changed")))
     column = {"text": F.col("written").alias("text")}
     if "n_chars" in docs.columns:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fathomline.llm import near_dedup
+from fathomline.llm import near_dedup, pii
 from fathomline.operators import graph
 from fathomline.plans import queries as plans
 
@@ -83,3 +83,16 @@ def test_the_pipeline_drops_near_copies_with_a_block_added(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     # 500 and 600 words are linked (496/596), 600 and 700 (596/696) too.
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == list(range(8))
+
+
+def test_pii_terms_are_judged_and_removed_all_over_the_document(spark):
+    filler = " ".join(f"common{c}" for c in "abcdefghijklmnop")
+    texts = [f"Zorblax wrote from joe@x.org {filler} then zorblax {filler} (Zorblax) and Quuxly Zorblax+1 ZorblaxJoe joe@x.orgé" for _ in range(3)]
+    texts += [f"{filler} wrote then and item{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = pii.digest(docs).where("doc_id = 1").first().spans.split(",")
+    removed = [texts[1][int(a) : int(b)] for k, a, b in (s.split(":") for s in spans) if k == "remove"]
+    assert removed.count("Zorblax") == 3 and removed.count("zorblax") == 1 and {"Quuxly", "ZorblaxJoe"} <= set(removed)
+    assert not {"wrote", "then", "and", "common"} & set(removed)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "orblax" not in clean[1] and "Quuxly" not in clean[1] and clean[10] == texts[10]
