@@ -14,6 +14,8 @@ LANGUAGES = {
     ".mjs": "javascript", ".mts": "typescript", ".php": "php", ".proto": "protobuf", ".py": "python", ".rb": "ruby", ".rs": "rust", ".sh": "shell",
     ".sql": "sql", ".swift": "swift", ".toml": "toml", ".ts": "typescript", ".tsx": "typescript", ".txt": "text", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml",
 }
+#: Size beyond which a file is not read: 2 MiB, the default of the published generator.
+MAXIMUM = 2 * 1024 * 1024
 VENDORED = ["node_modules", "vendor", "third_party", "third-party", ".git"]
 GENERATED = ["dist", "build", "coverage", ".next", "target"]
 GENERATED_ENDS = [".min.js", ".min.css", ".generated.ts", ".g.ts", ".pb.go"]

@@ -194,11 +194,11 @@ def artifact_reuse(spark, sf_dir):
 
 
 def artifact_classify(spark, sf_dir):
-    return artifacts.classify(relation(spark, sf_dir, "artifacts"), 6000).select("path", "classification", "language", "line_count", "content_hash")
+    return artifacts.classify(relation(spark, sf_dir, "artifacts"), artifacts.MAXIMUM).select("path", "classification", "language", "line_count", "content_hash")
 
 
 def coverage_rollup(spark, sf_dir):
-    return artifacts.coverage(artifacts.classify(relation(spark, sf_dir, "artifacts"), 6000), ["repository"])
+    return artifacts.coverage(artifacts.classify(relation(spark, sf_dir, "artifacts"), artifacts.MAXIMUM), ["repository"])
 
 
 def extraction_state(spark, sf_dir):

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fathomline.llm import near_dedup, pii
@@ -96,3 +97,15 @@ def test_pii_terms_are_judged_and_removed_all_over_the_document(spark):
     assert not {"wrote", "then", "and", "common"} & set(removed)
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "orblax" not in clean[1] and "Quuxly" not in clean[1] and clean[10] == texts[10]
+
+
+def test_only_files_beyond_two_mebibytes_are_oversized(spark, tmp_path):
+    sizes = {21: 2 * 1024 * 1024 + 1, 22: 6001, 33: 2 * 1024 * 1024, 32: 10}
+    rows = spark.createDataFrame([(i, "s") for i in sizes], "doc_id long, source string").withColumn("text", F.expr("repeat('x', " + "CASE doc_id " + " ".join(f"WHEN {i} THEN {n}" for i, n in sizes.items()) + " END)"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: r for r in plans.artifact_classify(spark, str(tmp_path)).collect()}
+    assert got["src/f21.md"].classification == "oversized" and got["src/f21.md"].content_hash is None and got["src/f21.md"].line_count is None
+    for path in ("src/f22.ts", "src/f32.md", "src/f33.ts"):
+        assert (got[path].classification, got[path].line_count) == ("source", 1) and got[path].content_hash
+    total = plans.coverage_rollup(spark, str(tmp_path)).first()
+    assert (total.limited, total.processed, total.lines) == (1, 3, 3)
