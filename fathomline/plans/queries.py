@@ -279,7 +279,7 @@ def _rules(spark, sf_dir):
         C("user_id").alias("rule_id"), F.when(C("event_type") == "error", "revoked").otherwise("renewed").alias("state"), F.lit(None).cast("date").alias("next_review_at"),
         F.when(C("event_id") % 2 == 0, F.lit("2001-01-01").cast("date")).alias("next_expires_at"), C("ts").alias("at"), "event_id",
     )
-    rules = relation(spark, sf_dir, "rules").withColumn("version", F.when(C("version") % 5 == 3, 3).otherwise(1))
+    rules = relation(spark, sf_dir, "all_rules").withColumn("version", F.when(C("version") % 5 == 3, 3).otherwise(1))
     return governance.suppression_states(rules, events, _at(), F.lit(1))
 
 
@@ -294,8 +294,7 @@ def suppression_audit(spark, sf_dir):
 def suppression_match(spark, sf_dir):
     edges, _ = analyze.joined(spark, sf_dir)
     rows = edges.select(C("edge_id").alias("fingerprint"), C("contract_kind").alias("kind"), "producer", "consumer")
-    rules = _rules(spark, sf_dir).where("scope <> 'workspace' or rule_id > 1400")
-    return governance.match_suppressions(rows, rules).groupBy("rule_id", "suppressed").agg(F.count("*").alias("n"))
+    return governance.match_suppressions(rows, _rules(spark, sf_dir)).groupBy("rule_id", "suppressed").agg(F.count("*").alias("n"))
 
 
 def scope_prepare(spark, sf_dir):
@@ -311,7 +310,7 @@ def authorization(spark, sf_dir):
 
 
 def disclosure(spark, sf_dir):
-    facts = relation(spark, sf_dir, "rules").select(C("rule_id"), C("consumer").alias("repository"), (C("rule_id") % 3).alias("revision"), C("scope"))
+    facts = relation(spark, sf_dir, "all_rules").select(C("rule_id"), C("consumer").alias("repository"), (C("rule_id") % 3).alias("revision"), C("scope"))
     out = governance.disclose(facts, C("scope") != "workspace", C("repository") - C("repository") % 2, F.lit(1))
     return out.select("rule_id", "allowed", "omitted")
 

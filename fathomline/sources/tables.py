@@ -87,6 +87,8 @@ BINDINGS = {
                date_add_days(CAST('1999-06-01' AS DATE), CAST(c_custkey % 1200 AS INT)) AS expires_at
         FROM {customer} WHERE c_custkey % 5 <> 0 OR c_custkey % 100 = 0""",
 }
+#: Rules of all customers; the comparing SQL still binds `rules`, which leaves 19 percent out.
+BINDINGS["all_rules"] = BINDINGS["rules"].rsplit(" WHERE ", 1)[0]
 _HOLE = re.compile(r"\{(\w+)\}")
 
 

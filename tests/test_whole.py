@@ -1,7 +1,8 @@
 """Queries and operators do the whole job: brute force over small tables, without the filters of old."""
 
 import datetime as dt
-from collections import defaultdict
+import os
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fathomline.llm import near_dedup, pii
 from fathomline.operators import graph
+from fathomline.plans import analyze
 from fathomline.plans import queries as plans
+from fathomline.sources.tables import table
 
+SF = "/root/testdata/sf0.01"
 N = 23
 
 
@@ -109,3 +113,16 @@ def test_only_files_beyond_two_mebibytes_are_oversized(spark, tmp_path):
         assert (got[path].classification, got[path].line_count) == ("source", 1) and got[path].content_hash
     total = plans.coverage_rollup(spark, str(tmp_path)).first()
     assert (total.limited, total.processed, total.lines) == (1, 3, 3)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_every_active_rule_of_every_customer_is_matched(spark):
+    rules = plans._rules(spark, SF).collect()
+    assert sorted(r.rule_id for r in rules) == sorted(r[0] for r in table(spark, SF, "customer").select("c_custkey").collect())
+    active = sorted((r for r in rules if r.state == "active"), key=lambda r: r.rule_id)
+    holds = {"workspace": lambda r, e: True, "kind": lambda r, e: r.kind == e.contract_kind, "producer": lambda r, e: r.producer == e.producer, "consumer": lambda r, e: r.consumer == e.consumer}
+    edges = analyze.joined(spark, SF)[0].select("contract_kind", "producer", "consumer").collect()
+    want = Counter(next((r.rule_id for r in active if holds[r.scope](r, e)), None) for e in edges)
+    got = {r.rule_id: r.n for r in plans.suppression_match(spark, SF).collect()}
+    assert got == want and any(r.scope == "workspace" and r.rule_id <= 1400 for r in active)
+    assert plans.disclosure(spark, SF).count() == len(rules)
