@@ -28,7 +28,10 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A whole run of key characters; an equals sign belongs to it as padding at its end, not between name and value.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?+|[A-Za-z0-9+/_-]{1,19}+=++(?![A-Za-z0-9+/_-]))")
+#: Least length of a run, padding included.
+LEAST = 20
 #: Kinds in the order of their spans; the battery adds those of the second row.
 KINDS = ("assign", "access", "hex")
 ADDED = {"hex": "random_hex", "base32": "random_base32", "base64": "random_base64"}
@@ -123,7 +126,7 @@ def random_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str
     found, tested = [], 0
     for m in _RUN.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for _, s, e in taken):
+        if end - start < LEAST or any(s < end and start < e for _, s, e in taken):
             continue
         tested += 1
         inferred = infer_encoding(m[0])

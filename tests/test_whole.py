@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathomline.llm import near_dedup, pii
+from fathomline.llm import near_dedup, pii, secrets
 from fathomline.operators import graph
 from fathomline.plans import analyze
 from fathomline.plans import queries as plans
@@ -126,3 +127,17 @@ def test_every_active_rule_of_every_customer_is_matched(spark):
     got = {r.rule_id: r.n for r in plans.suppression_match(spark, SF).collect()}
     assert got == want and any(r.scope == "workspace" and r.rule_id <= 1400 for r in active)
     assert plans.disclosure(spark, SF).count() == len(rules)
+
+
+def test_random_values_after_a_name_are_found():
+    r = random.Random(5)
+    symbols = secrets.ALPHABETS["base64"][:62]
+    for form in ("AWS_KEY={}", "AUTH={} next", "https://x.org/a?user=7&sig={}&n=1", "AWS_KEY={}=="):
+        found = 0
+        for _ in range(60):
+            value = "".join(r.choice(symbols) for _ in range(40))
+            text = form.format(value)
+            at, end = text.index(value), text.index(value) + 40 + 2 * text.endswith("==")
+            found += ("random_base64", at, end) in secrets.scan(text)[1]
+        assert found >= 50, (form, found)
+    assert secrets.scan("NAME=internationalization_of_the_thing")[1] == []
