@@ -2,8 +2,8 @@
 
 Merging is done by tiktoken with ranks taken from the same file, several times faster than the library
 itself. A vocabulary whose merges are listed in the order of their ids gives the same ids either way; that
-order is verified when a file is loaded, and the library still encodes every text with letters beyond the
-Latin blocks or with separators on which the two disagree about white space.
+order is verified when a file is loaded, and the library still encodes every text that holds the string of an
+added token, which becomes that token's id, or has letters beyond the Latin blocks or separators on which the two disagree about white space.
 """
 
 from __future__ import annotations
@@ -68,6 +68,9 @@ class Encoder:
     def __init__(self, path: str, word_ends: bool, limit: int = 600_000):
         self.path, self.word_ends, self.limit, self.library = path, word_ends, limit, None
         ranks = _ranks(path, "</w>" if word_ends else "")
+        with open(path, encoding="utf-8") as f:
+            added = [re.escape(t["content"]) for t in json.load(f).get("added_tokens") or []]
+        self.added = re.compile("|".join(added) or r"(?!)", re.I)
         if word_ends:
             self.pieces = _Pieces(ranks)
         else:
@@ -78,13 +81,14 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-            self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.added.search(text):
+            return self.by_library(text)
         if not text.isascii() and _LIBRARY.search(text) or text.isascii() and not text.isprintable() and _LIBRARY.search(text):
             return self.by_library(text)
         if not self.word_ends:

@@ -6,11 +6,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fathomline.llm import near_dedup, pii, secrets
+from fathomline.llm import near_dedup, pii, secrets, tokens
 from fathomline.operators import graph
 from fathomline.plans import analyze
 from fathomline.plans import queries as plans
@@ -141,3 +143,12 @@ def test_random_values_after_a_name_are_found():
             found += ("random_base64", at, end) in secrets.scan(text)[1]
         assert found >= 50, (form, found)
     assert secrets.scan("NAME=internationalization_of_the_thing")[1] == []
+
+
+def test_added_tokens_in_a_text_have_their_ids():
+    texts = ["a<|endoftext|>b", "<|startoftext|> one <|endoftext|>", "<|ENDOFTEXT|> x", "é <|endoftext|> ü", "<|endoftext|", "plain text"]
+    for name, ends in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        path = public_tokenizers.path(name)
+        plain, mine = Tokenizer.from_file(path), tokens.Encoder(path, ends)
+        assert [t for t in texts if np.frombuffer(mine.encode(t), "<u4").tolist() != plain.encode(t, add_special_tokens=False).ids] == []
+        assert plain.token_to_id("<|endoftext|>") in np.frombuffer(mine.encode(texts[0]), "<u4")
