@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The folder named by spark.checkpoint.dir; in a local session without one (tests), a folder of our own.
+    On a cluster a local folder would be another one on each machine, so there it must be named."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = f"file://{tempfile.mkdtemp(prefix='fathomline-')}"
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -28,15 +34,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(("file:", shared_dir(spark))):
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more; other folders are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf, root = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), shared_dir(spark)
+        under = jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            if path.getParent().toUri().getPath() == under:
+                path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,24 +55,82 @@ def residue(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-#: Bounds of a training sample: rows, and characters of any one of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 65_536
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list:
-    """(doc_id, text, label) of at most `rows` labelled documents, picked by a hash of doc_id; ids whose
-    crc32 leaves `held_out` modulo `modulus` are never among them. The picked labels are bounded by
-    `rows`, so they are broadcast and no text is shuffled. Longer texts than `chars` aren't learned from,
-    which bounds what reaches the driver."""
-    picked = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (residue("doc_id", modulus) != held_out))
-        .select("doc_id", F.col(label).alias("y"))
-        .orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id", "y")
-        .limit(rows)
-    )
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").limit(2 * rows)
-    return sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0], r[1], r[2]))
+#: Bounds of a training sample: rows, and characters of all of them together.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 1 << 26
+_DRAWS = 1 << 30
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, each: bool = False
+) -> list:
+    """(doc_id, text, label) of at most `rows` labelled documents (of each label, if `each`), the first by a
+    hash of doc_id; ids whose crc32 leaves `held_out` modulo `modulus` are never among them.
+
+    An id with several labels is left out, of several texts of an id the one that hashes lowest is taken, so
+    the sample does not depend on the order of rows. What is ranked is first thinned to about twice `rows`,
+    so no more travels from a large table than from a small one, and the picked ids are broadcast, so no text
+    is shuffled but theirs. Texts are whole; where they exceed `chars` together, the longest are left out
+    until they don't. Null texts and labels teach nothing; empty tables give an empty sample."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (residue("doc_id", modulus) != held_out))
+    known = known.select("doc_id", F.col(label).alias("y")).withColumn("of", F.col("y") if each else F.lit(0))
+    sizes = known.groupBy("of").agg(F.approx_count_distinct("doc_id").alias("n"))  # one row, or one a label
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(_DRAWS))
+    thin = known.join(F.broadcast(sizes), "of").where(draw * F.col("n") < 2.0 * rows * _DRAWS)
+    agreed = thin.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_high"), F.first("of").alias("of")).where("y = _high")
+    ranked = agreed.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy(draw, "doc_id")))
+    picked = ranked.where(F.col("n") <= rows).select("doc_id", "y")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "doc_id")
+    found = materialise(texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    long = sorted((r.n, r.doc_id) for r in found.select("doc_id", F.length("text").alias("n")).collect())
+    total = sum(n for n, _ in long)
+    left = set()
+    while total > chars:
+        n, name = long.pop()
+        total -= n
+        left.add(name)
+    kept = found.where(~F.col("doc_id").isin(*left)) if left else found
+    out = sorted(((r.doc_id, r.text, r.y) for r in kept.collect()), key=lambda r: r[0])
+    discard(found)
+    return out
+
+
+def slices(texts: pa.Array, most: int = 8 << 20):
+    """Slices (start, rows) of an array of texts of about `most` bytes each, one text at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right")))
+        yield start, end - start
+        start = end
+
+
+#: Characters of a stretch of a long text.
+STRETCH = 1 << 18
+_SPACE = re.compile(r"\s")
+
+
+def stretches(text: str | None, size: int = STRETCH, space: re.Pattern = _SPACE):
+    """(start, stretch) of a text, cut at white space after `size` characters each, so that what is made of
+    its words at a time is bounded."""
+    at, n = 0, len(text or "")
+    while at < n:
+        cut = space.search(text, at + size) if at + size < n else None
+        end = cut.start() if cut else n
+        yield at, text[at:end] if at or end < n else text
+        at = end
+
+
+#: A key with more than one in so many of the rows is hot; there are at most so many hot keys.
+HOT = 1000
+
+
+def join_spread(rows: DataFrame, to: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to(key, n, ...), one row a key, whose n counts the key's rows among `total`. The rows of hot
+    keys, HOT keys at most, meet a broadcast where they lie, so no key's rows land in one task; the others are
+    shuffled."""
+    hot = to.where(F.col("n") * HOT > total).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(to.where(F.col("n") * HOT <= total).drop("n"), key, how))
 
 
 class VectorMemo(dict):

@@ -5,7 +5,9 @@ character n-grams of which any is known, and on to progressively shorter ones. A
 sum over its words; the answer is the best language, its score the posterior at a flattened temperature.
 
 Null text, or text without a letter: `und`, score 0. The same where no language was learned. Ties go to the
-language first in order. Rows are scored one by one, so repeated rows get repeated answers.
+language first in order. Rows are scored one by one, so repeated rows get repeated answers; a long text is
+scored stretch by stretch, so memory is that of a stretch. Without documents there are no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VectorMemo, labelled_sample, per_worker, residue
+from .common import VectorMemo, labelled_sample, per_worker, residue, stretches
 
-#: Documents learned from at most.
-ROWS = 2000
+#: Documents of each language learned from at most; a language is a value of `lang`, so there are few.
+ROWS = 500
 #: Longest n-gram, least count of a known word or n-gram, smoothing, and the number of words beyond which
 #: evidence no longer sharpens the score.
 LONGEST, SUPPORT, SMOOTHING, EVIDENCE = 4, 2, 0.5, 20.0
@@ -30,7 +32,7 @@ _RUN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _RUN.findall(text.lower()) if not w.isnumeric() and any(map(str.isalpha, w))]
+    return [w for w in _RUN.findall(text.lower()) if any(map(str.isalpha, w))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -88,10 +90,10 @@ class Model:
         return [*map(sum, zip(*map(self.word, words), strict=True)), len(words)] if words else [0.0] * (len(self.languages) + 1)
 
     def predict(self, text: str | None, memo: VectorMemo) -> tuple[str, float]:
-        rows = memo.rows(text.split()) if text and self.languages else ()
-        if not len(rows):
-            return "und", 0.0
-        total = memo.matrix[rows].sum(0, dtype=np.float64)
+        total = np.zeros(len(self.languages) + 1)
+        for _, stretch in stretches(text if self.languages else None):
+            rows = memo.rows(stretch.split())
+            total += memo.matrix[rows].sum(0, dtype=np.float64)
         if not total[-1]:
             return "und", 0.0
         logits = total[:-1] * min(1.0, EVIDENCE / total[-1])
@@ -104,8 +106,8 @@ class Model:
 
 
 def learn(docs: DataFrame) -> Model:
-    """From a bounded sample of the documents with a language that are not held out."""
-    return Model(labelled_sample(docs, docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", 4, 2, ROWS))
+    """From a bounded sample, of each language, of the documents with one that are not held out."""
+    return Model(labelled_sample(docs, docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", 4, 2, ROWS, each=True))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -6,8 +6,10 @@ document is pooled to the mean and the spread of its tokens' vectors beside the
 shape and of unlearned ones. The network is plain numpy, and its temperature is fitted on documents that
 it was not trained on, so that scores are probabilities.
 
-Null, empty or wordless text pools to zeros and is scored like any other. Without labelled rows, or with
-one class among them, every score is the (smoothed) share of that class. Repeated rows score the same.
+Null, empty or wordless text pools to zeros and is scored like any other. A long text is pooled stretch by
+stretch, so memory is that of a stretch. Without labelled rows, or with one class among them, every score is
+the (smoothed) share of that class; without documents there are no rows. Repeated rows score the same, extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VectorMemo, labelled_sample, per_worker, residue
+from .common import VectorMemo, labelled_sample, per_worker, residue, stretches
 
 #: Dimensions of a vector, non-zeros of an index vector, tokens of context on either side, hidden units.
 DIMENSIONS, SEEDS, CONTEXT, HIDDEN = 64, 6, 2, 24
@@ -140,15 +142,18 @@ class Model:
 
     def pooled(self, text: str | None, memo: VectorMemo) -> np.ndarray:
         """Mean and spread of the token vectors, shares of shapes and of unlearned tokens, log length,
-        the share of distinct chunks and that of chunks like the one before."""
-        chunks = text.split() if text else []
-        rows = memo.rows(chunks)
-        total = memo.matrix[rows].sum(0) if chunks else np.zeros(2 * DIMENSIONS + SHAPES + 1, np.float32)
-        repeats = float(np.mean(rows[1:] == rows[:-1])) if len(rows) > 1 else 0.0
+        the share of chunks distinct within their stretch and that of chunks like the one before."""
+        total, words, distinct, repeats = np.zeros(2 * DIMENSIONS + SHAPES + 1), 0, 0, 0
+        for _, stretch in stretches(text):
+            chunks = stretch.split()
+            rows = memo.rows(chunks)
+            for at in range(0, len(rows), 4096):
+                total += memo.matrix[rows[at : at + 4096]].sum(0)
+            words, distinct, repeats = words + len(chunks), distinct + len(set(chunks)), repeats + int((rows[1:] == rows[:-1]).sum())
         n = max(1.0, float(total[2 * DIMENSIONS : -1].sum()))
         mean = total[:DIMENSIONS] / n
         spread = np.sqrt(np.maximum(0, total[DIMENSIONS : 2 * DIMENSIONS] / n - mean * mean))
-        return np.concatenate([mean, spread, total[2 * DIMENSIONS :] / n, [np.log1p(len(chunks)) / 5, len(set(chunks)) / max(1, len(chunks)), repeats]]).astype(np.float64)
+        return np.concatenate([mean, spread, total[2 * DIMENSIONS :] / n, [np.log1p(words) / 5, distinct / max(1, words), repeats / max(1, words - 1)]])
 
     def scores(self, texts: list, memo: VectorMemo) -> np.ndarray:
         if self.constant is not None or not texts:

@@ -6,9 +6,10 @@ has two states; a word's emission sums the weights of the word and its stems. We
 trained on the likelihood of the labelled words. Forward-backward marginals give the offending offsets, and
 aggregated (highest, expected number, share) the document's score through a logistic layer.
 
-Null or empty text has no words: the score of a document without evidence. With no labelled rows, or one
-class among them, every score is the smoothed share of that class. Repeated rows score the same; extra
-columns are ignored.
+Null or empty text has no words: the score of a document without evidence. A long text is one chain; its
+words are looked up stretch by stretch, and a few numbers are held for each. With no labelled rows, or one
+class among them, every score is the smoothed share of that class; without documents there are no rows.
+Repeated rows score the same. Extra columns are ignored by the digest and kept by the filter.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, per_worker, residue
+from .common import labelled_sample, per_worker, residue, slices, stretches
 
 #: Stem lengths, false discovery rate and least purity of word labels, words of a training segment, score that rejects.
 STEMS, DISCOVERY, PURITY, SEGMENT, THRESHOLD = (4, 5, 6), 0.001, 0.9, 32, 0.5
@@ -149,10 +151,15 @@ class Emissions(dict):
         value = self[chunk] = self.model.bias + sum(w[known[f]] for f in features_of(chunk) if f in known)
         return value
 
-    def of(self, chunks: list) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, chunks), np.float64, len(chunks))
+    def of(self, text: str | None) -> np.ndarray:
+        """Emissions of a text's words, looked up stretch by stretch."""
+        out = [np.zeros(0)]
+        for _, stretch in stretches(text):
+            if len(self) > self.limit:
+                self.clear()
+            chunks = stretch.split()
+            out.append(np.fromiter(map(self.__getitem__, chunks), np.float64, len(chunks)))
+        return np.concatenate(out)
 
 
 class Model:
@@ -175,7 +182,7 @@ class Model:
         if self.features:
             w, self.bias, self.jump = _train(segments, np.array(states), len(self.features))
             self.weights = w.tolist()
-        x = self.aggregates(docs, Emissions(self))[0]
+        x = self.aggregates([t for _, t, _ in rows], Emissions(self))[0]
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         x = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
         c = np.zeros(x.shape[1])
@@ -185,14 +192,14 @@ class Model:
             c += np.linalg.solve(h, x.T @ (y - p) - 0.1 * c)
         self.layer = c
 
-    def aggregates(self, docs: list, memo: Emissions) -> tuple[np.ndarray, list]:
-        """Of each list of chunks: log odds of the highest marginal, log expected number of toxic words,
-        and their share; and the marginals themselves."""
-        lengths = np.array([len(d) for d in docs], np.int64)
-        flat = np.concatenate([np.zeros(0), *map(memo.of, docs)])
-        p = np.clip(marginals(flat, lengths, self.jump), 1e-6, 1 - 1e-6)
-        each = np.split(p, np.cumsum(lengths)[:-1]) if len(docs) else []
-        out = np.zeros((len(docs), 3))
+    def aggregates(self, texts: list, memo: Emissions) -> tuple[np.ndarray, list]:
+        """Of each text: log odds of the highest marginal, log expected number of toxic words, and their
+        share; and the marginals themselves."""
+        each = [memo.of(t) for t in texts]
+        lengths = np.array([len(e) for e in each], np.int64)
+        p = np.clip(marginals(np.concatenate([np.zeros(0), *each]), lengths, self.jump), 1e-6, 1 - 1e-6)
+        each = np.split(p, np.cumsum(lengths)[:-1]) if len(texts) else []
+        out = np.zeros((len(texts), 3))
         for i, q in enumerate(each):
             if len(q):
                 top, n = q.max(), q.sum()
@@ -205,17 +212,13 @@ class Model:
         """Score of each text and its offending code-point spans."""
         if self.constant is not None:
             return np.full(len(texts), self.constant), [[] for _ in texts]
-        docs = [t.split() if t else [] for t in texts]
-        x, each = self.aggregates(docs, memo)
+        x, each = self.aggregates(texts, memo)
         scores = 1 / (1 + np.exp(-np.clip(np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))]) @ self.layer, -30, 30)))
         spans: list = []
         for text, q in zip(texts, each, strict=True):
-            hit = np.flatnonzero(q >= 0.5)
-            if len(hit):
-                at = [m.span() for m in _CHUNK.finditer(text)]
-                spans.append([{"start": at[i][0], "end": at[i][1]} for i in hit.tolist()])
-            else:
-                spans.append([])
+            hit = q >= 0.5
+            found = compress(_CHUNK.finditer(text), hit.tolist()) if hit.any() else ()
+            spans.append([{"start": m.start(), "end": m.end()} for m in found])
         return scores, spans
 
 
@@ -224,8 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(labelled_sample(docs, labels, "toxic"))
 
 
-#: Rows scored together: their chains advance side by side, and memory is that of their words.
-ROWS = 2000
+#: Bytes of text scored together: their chains advance side by side, and memory is that of their words.
+TOGETHER = 8 << 20
 
 
 def tag_toxicity(docs: DataFrame, model: Model, keep: tuple | list = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
@@ -238,8 +241,8 @@ def tag_toxicity(docs: DataFrame, model: Model, keep: tuple | list = ("doc_id",)
         model = shipped.value
         memo = per_worker(token, lambda: Emissions(model))
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
+            for at, rows in slices(whole.column(1), TOGETHER):
+                b = whole.slice(at, rows)
                 scores, spans = model.score(b.column(1).to_pylist(), memo)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.array(spans, pa.list_(span))],
