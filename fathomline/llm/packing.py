@@ -7,7 +7,9 @@ best-fit decreasing, bins that are nearly full are emitted, and the underfull bi
 fewer groups a round, until one group is left or a round no longer merges any. Groups hold lengths only,
 at most GROUP items of them, so a task's memory is bounded at every size of the corpus.
 
-Null text counts as empty: one piece of the end id. Repeated rows are packed as documents of their own.
+Null text counts as empty: one piece of the end id. Repeated rows are packed as documents of their own, a
+null doc_id stays null. A very long text is cut into many pieces like any other. Without documents there are
+no pieces. Extra columns are ignored. Items of equal length are taken in the order of their numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .tokens import encoder
 
 #: Tokens of a sequence, the id that ends a document, items dealt to one group, groups joined in a round.
@@ -42,15 +44,17 @@ def tokenised_pieces(docs: DataFrame, path: str, word_ends: bool = False, end_id
     end = np.array([end_id], "<u4").tobytes()
 
     def made(batches):
-        encode = encoder(path, word_ends).encode
+        known = encoder(path, word_ends)
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, k, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)])))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield _batch(frame)
+            for first, rows in slices(b.column(1)):
+                ids, at = known.encode_all(b.column(1).slice(first, rows))
+                raw, at = memoryview(ids.tobytes()), (4 * at).tolist()
+                out = []
+                for doc_id, s, e in zip(b.column(0).slice(first, rows).to_pylist(), at, at[1:], strict=False):
+                    data = bytes(raw[s:e]) + end
+                    for k, (start, n) in enumerate(cut(len(data) // 4, capacity)):
+                        out.append((doc_id, k, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])))
+                yield _batch(pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, PIECES)
 
@@ -101,25 +105,29 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan_in:
     where = lambda n: F.pmod(F.xxhash64(F.col("item"), F.lit(n)), F.lit(n))
     deal = lambda df, n: df.select("item", "length", where(n).alias("g")).groupBy("g").applyInPandas(packed, schema)
     placed = materialise(deal(items, groups), "packed")
+    open_bins, rounds = placed.where((F.col("fill") < capacity - nearly) & (F.col("item") == F.col("bin"))), []
     while groups > 1:
-        open_bins = placed.where((F.col("fill") < capacity - nearly) & (F.col("item") == F.col("bin")))
         open_bins = open_bins.select("item", F.col("fill").alias("length"))
         before, groups = open_bins.count(), -(-groups // fan_in)
         if not before:
             break
         groups = max(groups, -(-before // group))
         merged = materialise(deal(open_bins, groups), "packed")
-        up = merged.select(F.col("item").alias("old"), F.col("bin").alias("new"), F.col("at").alias("shift"), F.col("fill").alias("filled"))
-        placed = placed.join(up, placed["bin"] == up["old"], "left").select(
-            "item",
-            F.coalesce("new", "bin").alias("bin"),
-            (F.col("at") + F.coalesce("shift", F.lit(0))).alias("at"),
-            F.coalesce("filled", "fill").alias("fill"),
-        )
-        placed = materialise(placed, "packed")
-        if groups > 1 and merged.where("item = bin").count() >= before:
+        rounds.append(merged.select(F.col("item").alias("old"), F.col("bin").alias("new"), F.col("at").alias("shift")))
+        # A bin is named for one of its items, so what travels on are the rows that kept their name.
+        heads = merged.where("item = bin")
+        if groups > 1 and heads.count() >= before:
             break
-    return placed.select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+        open_bins = heads.where(F.col("fill") < capacity - nearly)
+    if not rounds:
+        return placed.select("item", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
+    # Where each bin ends up: the rounds are joined from the last back, over ever more bins but never over items.
+    moved = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        later = moved.select(F.col("old").alias("new"), F.col("new").alias("_new"), F.col("shift").alias("_shift"))
+        moved = earlier.join(later, "new", "left").select("old", F.coalesce("_new", "new").alias("new"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"))
+    placed = placed.join(moved, placed["bin"] == moved["old"], "left")
+    return placed.select("item", F.coalesce("new", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, word_ends: bool = False, end_id: int = END_ID, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
