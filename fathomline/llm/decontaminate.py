@@ -1,18 +1,25 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of a test set.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised questions and answers of a test set.
 
 Text is normalised bytewise: A-Z becomes a-z, every other ASCII byte outside 0-9 and a-z becomes a
 space, runs of spaces collapse. Bytes are then read as Latin-1 characters, so offsets in the automaton
 are byte offsets, and each text is scanned once. A window is `width` consecutive words of an item; an
 item with fewer words, but not none, is one window. Hits are mapped back to code points of the text.
 
+The automaton holds each item once, cut into blocks of half a window, and not each of its windows, which
+would take ten times the nodes: a window that occurs holds a whole block, and the words on either side of a
+block that is found tell which windows do occur there.
+
 Null or wordless text: no words, no hits. Null or wordless items: no windows. Repeated items keep their
-own ids; repeated documents give repeated rows. Extra columns of either table are ignored.
+own ids; repeated documents give repeated rows. A very long text is scanned whole, as one string; an empty
+table of documents gives none back, an empty test set no hits. Extra columns of either table are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -20,59 +27,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, per_worker
 
 #: Words in a window.
 WIDTH = 10
-#: Characters of test-set text that one automaton may hold; more are dealt over several passes.
-AUTOMATON_CHARS = 8_000_000
+#: Characters of test-set text that one automaton may hold, a node of 40 bytes for each at most; more are dealt
+#: over several passes, in pieces of so many words.
+AUTOMATON_CHARS, PIECE = 4_000_000, 20_000
 
 _FOLD = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
     for b in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
+_SPACES = re.compile(rb" +")
+#: Text beyond which spaces are collapsed by a scan rather than through a list of the words.
+_LONG = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def windows(words: list[bytes], width: int = WIDTH):
-    if words:
-        for i in range(max(1, len(words) - width + 1)):
-            yield b" ".join(words[i : i + width])
+def flat_of(text: str | None) -> str:
+    """The words of a text as Latin-1 characters, a space before, between and after them."""
+    folded = text.encode("utf-8", "surrogatepass").translate(_FOLD) if text else b""
+    joined = _SPACES.sub(b" ", folded).strip() if len(folded) > _LONG else b" ".join(folded.split())
+    return f" {joined.decode('latin-1')} " if joined else ""
 
 
 def build_automaton(items: list[tuple[int, str]], width: int = WIDTH):
-    """The automaton of all windows; each key carries its number of words and the items that have it."""
-    keys: dict[bytes, tuple[int, set]] = {}
+    """The automaton of the blocks of all items. A block carries its number of words and, for each of the
+    places that it has in items, the words before it (nearest first) and after it that a window may need, and
+    the items; a whole item of less than a window carries nothing on either side."""
+    half = max(1, width // 2)
+    keys: dict[tuple, dict[tuple, set]] = {}
     for item_id, text in items:
-        for key in windows(words_of(text), width):
-            keys.setdefault(key, (key.count(b" ") + 1, set()))[1].add(item_id)
+        words = words_of(text)
+        if 0 < len(words) < width:
+            keys.setdefault(tuple(words), {}).setdefault(None, set()).add(item_id)
+        for p in range(0, len(words) - half + 1, half) if len(words) >= width else ():
+            sides = tuple(words[max(0, p - half + 1) : p][::-1]), tuple(words[p + half : p + width])
+            keys.setdefault(tuple(words[p : p + half]), {}).setdefault(sides, set()).add(item_id)
     if not keys:
         return None
     automaton = ahocorasick.Automaton()
-    for key, (n, ids) in keys.items():
-        automaton.add_word(f" {key.decode('latin-1')} ", (n, frozenset(ids)))
+    text_of = lambda sides: sides and tuple(tuple(w.decode("latin-1") for w in side) for side in sides)
+    for key, places in keys.items():
+        automaton.add_word(f" {b' '.join(key).decode('latin-1')} ", (len(key), [(text_of(s), frozenset(ids)) for s, ids in places.items()]))
     automaton.make_automaton()
     return automaton
 
 
-def scan(text: str | None, automaton) -> tuple[int, list[tuple[int, int]], set]:
+def _before(flat: str, end: int, most: int) -> list[str]:
+    """Up to `most` words before a space at `end`, nearest first."""
+    out = []
+    while len(out) < most and end > 0:
+        start = flat.rfind(" ", 0, end)
+        out.append(flat[start + 1 : end])
+        end = start
+    return out
+
+
+def _after(flat: str, start: int, most: int) -> list[str]:
+    """Up to `most` words after a space at `start`."""
+    out = []
+    while len(out) < most and start + 1 < len(flat):
+        end = flat.find(" ", start + 1)
+        out.append(flat[start + 1 : end])
+        start = end
+    return out
+
+
+def _common(a, b) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def scan(text: str | None, automaton, width: int = WIDTH) -> tuple[int, list[tuple[int, int]], set]:
     """Number of words, the disjoint [from, to) word intervals that windows cover, and the items found."""
-    words = words_of(text)
+    flat = flat_of(text)
     spans: list[tuple[int, int]] = []
     found: set = set()
-    if words and automaton is not None:
-        flat = f" {b' '.join(words).decode('latin-1')} "
+    if flat and automaton is not None:
+        half = max(1, width // 2)
         at = done = 0
-        for end, (n, ids) in automaton.iter(flat):
+        for end, (n, places) in automaton.iter(flat):
             at += flat.count(" ", done, end)
             done = end
-            found |= ids
-            spans.append((at - n, at))
-    return len(words), merged(spans), found
+            sides = None
+            for needed, ids in places:
+                if needed is None:
+                    spans.append((at - n, at))
+                    found |= ids
+                    continue
+                if sides is None:
+                    start = end
+                    for _ in range(n):
+                        start = flat.rfind(" ", 0, start)
+                    sides = _before(flat, start, half - 1), _after(flat, end, width - half)
+                left, right = _common(needed[0], sides[0]), _common(needed[1], sides[1])
+                if left + n + right >= width:
+                    spans.append((at - n - left, at + right))
+                    found |= ids
+    return max(0, flat.count(" ") - 1), merged(spans), found
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -86,19 +148,24 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Code-point offsets in the untouched text of word intervals."""
+    """Code-point offsets in the untouched text of word intervals, which are disjoint and in order."""
     raw = text.encode("utf-8", "surrogatepass")
-    at = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
+    words, seen = _WORD.finditer(raw.translate(_FOLD)), 0
     chars = lambda a, b: len(raw[a:b].decode("utf-8", "surrogatepass"))
     out, byte, char = [], 0, 0
     for a, b in spans:
-        char += chars(byte, at[a][0])
-        start, char = char, char + chars(at[a][0], at[b - 1][1])
-        byte = at[b - 1][1]
+        first = next(islice(words, a - seen, None))
+        last = next(islice(words, b - a - 2, None)) if b - a > 1 else first
+        seen = b
+        start = char + chars(byte, first.start())
+        char = start + chars(first.start(), last.end())
+        byte = last.end()
         out.append((start, char))
     return out
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _SPANS = "array<struct<start:long,end:long>>"
 _FOUND = (("n_words", "long"), ("word_spans", _SPANS), ("item_ids", "array<long>"), ("char_spans", _SPANS))
@@ -111,22 +178,29 @@ def find_contamination(docs: DataFrame, items: DataFrame, keep: tuple = ("doc_id
     The test set is broadcast only up to `automaton_chars` characters; a larger one is dealt over several
     automata, one pass each, whose hits are united row by row, so the result does not depend on the bound.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    words = F.regexp_extract_all(F.translate(F.col("text").cast("string"), _UPPER, _UPPER.lower()), F.lit(_ITEM_WORD), F.lit(0))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), words.alias("words")).where("item_id is not null and size(words) > 0")
+    # Pieces of long items overlap by a window less a word, so each window lies in one piece whole.
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)), F.lit(PIECE))
+    items = items.withColumn("at", F.explode(starts)).select("item_id", "at", F.array_join(F.slice("words", F.col("at") + 1, PIECE + width - 1), " ").alias("text"))
+    items = materialise(items, "decontaminate-items")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // automaton_chars))
     out = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
     out = out.withColumns({c: (F.lit(None) if t == "long" else F.array()).cast(t) for c, t in _FOUND})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
     for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
+        part = items.where(F.pmod(F.xxhash64("item_id", "at", "text"), F.lit(parts)) == k) if parts > 1 else items
         shipped = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.collect()))
+        token = uuid.uuid4().hex
 
-        def scanned(batches, shipped=shipped):
-            automaton = build_automaton(shipped.value, width)
+        def scanned(batches, shipped=shipped, token=token):
+            automaton = per_worker(token, lambda: build_automaton(shipped.value, width))
             for batch in batches:
                 n, words, ids, chars = [], [], [], []
-                for text, old_spans, old_ids in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                    n_words, spans, found = scan(text, automaton)
+                for text, old_spans, old_ids in zip(batch.column(1), batch.column(3), batch.column(4), strict=True):
+                    text = text.as_py()
+                    n_words, spans, found = scan(text, automaton, width)
                     if len(old_spans):
                         spans = merged([*spans, *((x["start"], x["end"]) for x in old_spans.as_py())])
                         found = found | set(old_ids.as_py())
