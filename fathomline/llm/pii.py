@@ -3,7 +3,8 @@
 All of it is DataFrame functions, no Python on the executors. Base spans are leftmost and non-overlapping
 for each kind; offsets follow from the texts between the matches and the matches themselves, in code points.
 The patterns start only where a run of their characters does (or where the last match ended) and never give
-characters back, so they find what the plain ones find in time linear in the text.
+characters back, and what is folded over matches is folded by chunks of them, so the work is in proportion to
+the text however many matches it holds. Texts are searched once; what is found is written.
 
 The matched values are the protected entities. All words of a document that mentions one are its context, and
 the corpus says how strongly a word t reveals an entity e: with document counts n over all documents, PMI(e;t) =
@@ -11,16 +12,18 @@ log(N n(e,t) / n(e) n(t)) of the information IC(e) = log(N / n(e)) that identify
 reveals most of it is generalised, one that reveals nearly all is removed, wherever it stands in the
 documents that hold that entity; documents without a protected entity stay as they are. Words are judged on SUPPORT documents at least.
 
-Null text counts as empty: no spans. Rows of one doc_id and text get the same spans. Extra columns, whatever
-their names, are kept by sanitise() and ignored by the digest.
+Null and empty texts have no spans. Rows of one doc_id and text get the same spans. An empty table gives an
+empty one. Extra columns, whatever their names, are kept by sanitise() and ignored by the digest.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the contract, written so that they cannot backtrack (Java).
@@ -37,16 +40,25 @@ LETTERS = 3
 SUPPORT, GENERALISE, REMOVE = 2, 0.7, 0.95
 #: Candidate terms broadcast to the corpus count at most; beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 200_000
-#: Stands for each code point of a base span; and whole words that touch none.
-_MASK = "\x01"
-_WORD = r"(?<![\p{L}\x01])\p{L}++(?!\x01)"
+#: A code point of a base span of each kind, when spans are masked: characters that no text interchanges (a text
+#: that does hold one gets a space for it, if it has spans).
+_MASKS = "\ufdd0\ufdd1\ufdd2\ufdd3"
+#: Whole words that touch no mask.
+_WORD = rf"(?<![\p{{L}}{_MASKS}])\p{{L}}++(?![{_MASKS}])"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Matches folded at a time, and code points of a piece of text that two masks are merged in.
+_CHUNK, _PIECE = 512, 4096
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """The text as pairs of what is between matches and the match after it, the last without one."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
 
-def located(text: Column, pattern: str, wanted=lambda value: F.lit(True)) -> Column:
-    """Start, end (exclusive) and value of every wanted match, in code points."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def located(parts: Column, wanted=lambda value: F.lit(True)) -> Column:
+    """Start, end (exclusive) and value of every wanted match, in code points. An array that grows by one is
+    copied each time, so matches are gathered by chunks and the chunks then joined."""
+    empty = F.array().cast(_SPANS)
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["gap"])
@@ -54,7 +66,13 @@ def located(text: Column, pattern: str, wanted=lambda value: F.lit(True)) -> Col
         found = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value"))))
         return F.struct(end.alias("at"), F.when(part["hit"].isNotNull() & wanted(part["hit"]), found).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    def chunk(acc: Column, k: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), empty.alias("out"))
+        join = lambda own: F.struct(own["at"].alias("at"), F.concat(acc["out"], own["out"]).alias("out"))
+        return F.aggregate(F.slice(parts, k * _CHUNK + 1, F.lit(_CHUNK)), start, step, join)
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _CHUNK).cast("int"))
+    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), empty.alias("out")), chunk, lambda acc: acc["out"])
 
 
 def _digits(value: Column) -> Column:
@@ -85,70 +103,63 @@ def _holds(kind: str, value: Column) -> Column:
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans of a text, by kind as listed, then start."""
+def _merged(a: Column, b: Column) -> Column:
+    """Two masks of one text as one, the first's where both have one. Only pieces that both mask are merged
+    character by character."""
+    any_mask = f"[{_MASKS}]"
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    letters = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    each = lambda x, y: F.array_join(F.zip_with(letters(x), letters(y), lambda p, q: F.when(p.rlike(any_mask), p).otherwise(q)), "")
+    both = F.zip_with(pieces(a), pieces(b), lambda x, y: F.when(~x.rlike(any_mask), y).when(~y.rlike(any_mask), x).otherwise(each(x, y)))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.array_join(both, ""))
 
-    def of(k: int, kind: str) -> Column:
-        found = F.filter(located(text, PATTERNS[kind]), lambda s: _holds(kind, s["value"]))
-        found = F.transform(found, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-        return F.when(text.rlike(_HINTS[kind]), found)
 
-    each = [of(k, kind) for k, kind in enumerate(KINDS)]
+def _found(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """Each row's other columns as struct `row`; a key of doc_id and text; base spans by kind as listed, then
+    start, and the entities they name; and as `body` the masked text of rows with spans, else the text itself
+    if it is kept."""
+    keep = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*keep).alias("row"), text.alias("text"))
+    some = F.col("text").rlike("[0-9@]")
+    rows = rows.withColumns({f"_p{k}": F.when(some & F.col("text").rlike(_HINTS[kind]), _parts(F.col("text"), PATTERNS[kind])) for k, kind in enumerate(KINDS)})
     empty = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    return F.when(text.rlike("[0-9@]"), F.concat(*(F.coalesce(e, empty) for e in each))).otherwise(empty)
-
-
-def _merged(spans: Column) -> Column:
-    """Spans(start, end, kind) in order, overlapping ones as one, named for the first."""
-
-    def join(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] > s["start"]), longer).otherwise(F.concat(out, F.array(s)))
-
-    flat = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.aggregate(F.array_sort(flat), F.array().cast("array<struct<start:int,end:int,kind:int>>"), join)
-
-
-def _written(text: Column, merged: Column, word) -> Column:
-    """The text with word(span) in place of each of the merged spans, of which there is one at least."""
-
-    def piece(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(0)
-        return F.concat(F.substring(text, before + 1, s["start"] - before), word(s))
-
-    return F.concat(F.array_join(F.transform(merged, piece), ""), F.substring(text, F.element_at(merged, -1)["end"] + 1, F.length(text)))
 
+    def spans(k: int, kind: str) -> Column:
+        found = F.filter(located(F.col(f"_p{k}")), lambda s: _holds(kind, s["value"]))
+        found = F.transform(found, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        return F.coalesce(found, empty)
 
-def _masked(held: DataFrame) -> DataFrame:
-    """Rows with base spans and their text as `masked`, whose words touch no base span; offsets stay."""
-    rows = held.withColumn("_merged", _merged(F.col("spans")))
-    masked = _written(F.translate("text", _MASK, " "), F.col("_merged"), lambda s: F.repeat(F.lit(_MASK), s["end"] - s["start"]))
-    return rows.withColumn("masked", masked).drop("_merged")
+    rows = rows.withColumn("spans", F.concat(*(spans(k, kind) for k, kind in enumerate(KINDS))))
 
+    def mask(k: int, kind: str) -> Column:
+        hidden = lambda hit: F.when(_holds(kind, hit), F.repeat(F.lit(_MASKS[k]), F.length(hit))).otherwise(hit)
+        piece = lambda p: F.concat(F.translate(p["gap"], _MASKS, " " * len(_MASKS)), F.coalesce(hidden(p["hit"]), F.lit("")))
+        return F.when(F.exists("spans", lambda s: s["kind"] == k), F.array_join(F.transform(F.col(f"_p{k}"), piece), ""))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows as struct `row` without text, text with null as empty, a key of doc_id and text, base spans."""
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("text").alias("original"))
+    masked = reduce(_merged, (mask(k, kind) for k, kind in enumerate(KINDS)))
+    held = F.size("spans") > 0
     key = F.struct(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"))
-    return rows.withColumn("key", F.when(F.col("text").rlike("[0-9@]"), key)).withColumn("spans", base_spans(F.col("text")))
-
-
-def disclosing_terms(rows: DataFrame) -> DataFrame:
-    """key, shares: for documents with protected entities, the terms that reveal one of them, and how much."""
-    entity = F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))
-    term = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("masked", F.lit(_WORD), F.lit(0)), F.lower)), lambda t: F.length(t) >= LETTERS)
-    mentions = _masked(rows.where(F.size("spans") > 0).dropDuplicates(["key"]))
-    mentions = materialise(mentions.select("key", F.array_distinct(entity).alias("entities"), term.alias("terms")), "pii-mentions")
+    entities = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    places = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    body = F.when(held, masked).otherwise(F.col("text") if keep_text else F.lit(None).cast("string"))
+    out = rows.select("row", F.when(held, key).alias("key"), places.alias("spans"), F.when(held, entities).alias("entities"), body.alias("body"))
+    return materialise(out, "pii-found")
+
+
+def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, shares: for documents with protected entities, the terms that reveal one of them, and how much.
+    texts(text) are all texts of the corpus."""
+    term = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(_WORD), F.lit(0)), F.lower)), lambda t: F.length(t) >= LETTERS)
+    mentions = materialise(found.where("key is not null").select("key", "entities", term.alias("terms")).dropDuplicates(["key"]), "pii-mentions")
     held = mentions.select("key", F.explode("entities").alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
     entities = materialise(entities, "pii-entities")
     candidates = mentions.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("term")
     candidates = materialise(candidates, "pii-candidates")
-    total = float(max(rows.count(), 1))
+    total = float(max(found.count(), 1))
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     terms = words.join(small(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     # n_both is n_entity at most, so a term in more documents than this reveals too little of the entity.
     most = lambda n: F.lit(total ** (1 - GENERALISE) * (1 + 1e-9)) * F.pow(n, F.lit(GENERALISE))
@@ -163,48 +174,53 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     judged = judged.select("entity", "term", F.when(information > 0, pmi / information).otherwise(0.0).alias("share"))
     judged = judged.where(F.col("share") >= GENERALISE)
     # A document's terms only: bounded by the document, and once where two entities share a word.
-    found = met.select("key", "entity", "term").join(judged, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
-    return found.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    of = met.select("key", "entity", "term").join(judged, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    of = materialise(of.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "pii-shares")
+    discard(mentions, entities, candidates, terms, met)
+    return of
 
 
 LABELS = (*KINDS, "generalise", "remove")
 
 
-def _with_added(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows without base spans, and rows with them and their added spans; only the latter are shuffled."""
-    rows = _keyed(docs)
-    terms = disclosing_terms(rows)
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    held = _masked(rows.where(F.size("spans") > 0)).join(terms, "key", "left")
-    share = lambda value: F.try_element_at("shares", F.lower(value))
-    found = located(F.col("masked"), _WORD, lambda value: share(value).isNotNull())
-    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(share(s["value"]) >= REMOVE, 5).otherwise(4).alias("kind")))
-    held = held.withColumn("added", F.when(F.col("shares").isNotNull(), found).otherwise(none)).drop("masked", "shares")
-    return rows.where(F.size("spans") == 0).withColumn("added", none), held
+def _with_shares(docs: DataFrame, keep_text: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows without base spans, and rows with them and their disclosing terms; only the latter are shuffled."""
+    found = _found(docs, keep_text)
+    terms = disclosing_terms(found, docs.select(F.col("text").cast("string").alias("text")))
+    return found.where("key is null"), found.where("key is not null").join(terms, "key", "left")
+
+
+def _share(value: Column) -> Column:
+    return F.try_element_at("shares", F.lower(value))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The columns that op3 is compared by."""
-    clean, held = _with_added(docs.select("doc_id", "text"))
+    clean, held = _with_shares(docs.select("doc_id", "text"), False)
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    added = located(_parts(F.col("body"), _WORD), lambda value: _share(value).isNotNull())
+    added = F.array_sort(F.transform(added, lambda s: F.struct(F.when(_share(s["value"]) >= REMOVE, 5).otherwise(4).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    held = held.withColumn("added", F.when(F.col("shares").isNotNull(), added).otherwise(none))
     label = lambda k: F.element_at(F.array(*map(F.lit, LABELS)), k + 1)
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", label(s["kind"]), s["start"], s["end"])))
-    ordered = F.array_sort(F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    every = F.when(F.size("added") > 0, F.concat_ws(",", written(F.col("spans")), written(ordered))).otherwise(written(F.col("spans")))
-    out = clean.select("row", "spans", "added").unionByName(held.select("row", "spans", "added"))
+    every = F.when(F.size("added") > 0, F.concat_ws(",", written(F.col("spans")), written(F.col("added")))).otherwise(written(F.col("spans")))
+    out = clean.select("row", "spans", none.alias("added")).unionByName(held.select("row", "spans", "added"))
     return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), *counts, F.sha2(written(F.col("spans")).cast("binary"), 256).alias("base_sha256"), every.alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs, with its own columns: known forms become their kind in brackets, disclosing terms `[word]` or
-    nothing, n_chars (if there) follows. Overlapping spans are replaced as one, named for the first."""
-    clean, held = _with_added(docs)
-    flat = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    words = F.array(*(F.lit(f"[{k}]") for k in KINDS), F.lit("[word]"), F.lit(""))
-    held = held.withColumn("merged", _merged(F.concat(flat("spans"), flat("added"))))
-    held = held.withColumn("written", _written(F.col("text"), F.col("merged"), lambda s: F.element_at(words, s["kind"] + 1)))
-    out = clean.select("row", F.col("original").alias("written"), F.lit(False).alias("changed")).unionByName(held.select("row", "written", F.lit(True).alias("changed")))
+    nothing, n_chars (if there) follows. What several kinds claim is of the first of them as listed; spans of
+    one kind without anything between them are replaced as one."""
+    clean, held = _with_shares(docs, True)
+    told = lambda p: F.when(_share(p["hit"]) >= REMOVE, "").when(_share(p["hit"]).isNotNull(), "[word]").otherwise(p["hit"])
+    without = F.array_join(F.transform(_parts(F.col("body"), _WORD), lambda p: F.concat(p["gap"], F.coalesce(told(p), F.lit("")))), "")
+    written = F.when(F.col("shares").isNotNull(), without).otherwise(F.col("body"))
+    for mask, kind in zip(_MASKS, KINDS, strict=True):
+        written = F.regexp_replace(written, f"{mask}+", f"[{kind}]")
+    out = clean.select("row", F.col("body").alias("written"), F.lit(False).alias("changed")).unionByName(held.select("row", written.alias("written"), F.lit(True).alias("changed")))
     column = {"text": F.col("written").alias("text")}
     if "n_chars" in docs.columns:
         kept = F.col("row.n_chars")

@@ -110,15 +110,43 @@ def test_secret_base_spans():
     assert sorted(base) == sorted(want) and len(want) >= 4
 
 
-def test_secret_battery():
+def test_secret_battery(spark):
     import random
 
     r = random.Random(3)
     symbols = secrets.ALPHABETS["base64"][:62]
-    found = sum(bool(secrets.scan("see " + "".join(r.choice(symbols) for _ in range(44)) + " here")[1]) for _ in range(60))
-    assert found >= 55
-    for plain in ("getElementsByClassNameFromDocument", "internationalization_of_the_thing", "a" * 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789" * 4):
-        assert secrets.scan(plain)[1] == []
+    plain = ["getElementsByClassNameFromDocument", "internationalization_of_the_thing", "a" * 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789" * 4]
+    df = docs_of(spark, ["see " + "".join(r.choice(symbols) for _ in range(44)) + " here" for _ in range(60)] + plain)
+    out = rows_of(secrets.scan_secrets(df)).set_index("doc_id")
+    assert sum("random" in out.loc[i].spans for i in range(60)) >= 55
+    assert not any("random" in out.loc[60 + i].spans for i in range(len(plain)))
+
+
+def test_secret_control_equals_brute_force(spark):
+    """The added spans are those of Benjamini and Hochberg's procedure over all tested runs of all rows, each
+    p-value rounded up to the end of its bin."""
+    import math
+    import random
+
+    r = random.Random(5)
+    symbols = secrets.ALPHABETS["base64"]
+    texts = [" ".join("".join(r.choice(symbols[:62]) for _ in range(r.randint(20, 70))) if r.random() < 0.5 else r.choice(["someLongIdentifierInCamelCase", "another_word_of_many_letters_here", "path/to/thing/v1234567890"]) for _ in range(4)) for _ in range(50)]
+    runs = []
+    for i, t in enumerate(texts):
+        base, found = secrets.scan(t)
+        runs += [(i, k, s, e, p) for k, s, e, p in found]
+    mean = sum(min(2, (e - s) / 32) for _, _, s, e, _ in runs) / len(runs)
+    candidates = []
+    for i, k, s, e, p in runs:
+        if k:
+            w = min(2, (e - s) / 32)
+            candidates.append((10 ** (math.ceil(64 * math.log10(p / w)) / 64) * mean, i, f"{k}:{s}:{e}"))
+    candidates.sort()
+    bound = max((q for j, (q, _, _) in enumerate(candidates, 1) if q <= 0.001 * sum(c[0] <= q * (1 + 1e-9) for c in candidates) / len(runs)), default=0)
+    want = {(i, x) for q, i, x in candidates if q <= bound * (1 + 1e-9)}
+    out = rows_of(secrets.scan_secrets(docs_of(spark, texts)))
+    got = {(i, x) for i, spans in zip(out.doc_id, out.spans) for x in spans.split(",") if x.startswith("random")}
+    assert got == want and 0 < len(want) < len(runs)
 
 
 def test_secret_odd_input(odd):
@@ -252,9 +280,9 @@ def test_wavelet_matrix():
 
 def test_wavelet_round_trip(odd):
     path = public_tokenizers.path("word_bpe_49k.json")
-    shards = wavelet.write_shards(odd.where("doc_id is not null"), path, shard_ids=100)
-    out = rows_of(wavelet.read_shards(shards)).sort_values(["doc_id", "start"])
-    assert shards.count() > 1 and len(out) == 9 and out.start.tolist() == [0, *out.n_tokens.cumsum()[:-1]]
+    shards = wavelet.write_shards(odd, path, shard_ids=100)
+    out = rows_of(wavelet.read_shards(shards)).sort_values(["doc_id", "start"], na_position="first")
+    assert shards.count() > 1 and len(out) == 10 and out.start.tolist() == [0, *out.n_tokens.cumsum()[:-1]]
     e = tokens.Encoder(path, True)
     ids = e.by_library(LONG) + (1).to_bytes(4, "little")
     assert out[out.doc_id == 3].ids_crc32.tolist() == [zlib.crc32(ids)] and out[out.doc_id == 0].n_tokens.tolist() == [1]
@@ -401,9 +429,9 @@ def test_block_comparison_equals_brute_force(spark):
     words = [f"u{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    signed = near_dedup.signatures(df).select("node", F.col("doc_id").alias("id"))
-    asked = signed.select(F.col("node").alias("a"), F.lit(5).cast("long").alias("key"))
-    links = near_dedup._compare_blocks(df, asked, signed, 3, 85)
+    nodes = near_dedup.signatures(df).select(near_dedup._name(F.col("doc_id"), F.col("node")).alias("node"), F.col("n_shingles").alias("n"))
+    asked = nodes.select(F.col("node").alias("a"), F.lit(5).cast("long").alias("key"))
+    links = near_dedup._compare_blocks(df, asked, nodes, 3, 85)
     assert near_dedup.connected_components(links).select("component").distinct().count() == 1
 
 
@@ -411,8 +439,9 @@ def test_a_bucket_with_many_pairs_asks_for_blocks():
     nodes = np.array([bytes([i]) for i in range(20)], object)
     all_near = lambda i, others: others
     group = np.arange(20) % 10
-    out = near_dedup._between(7, nodes, group, all_near)
+    every = np.ones(20, bool)
+    out = near_dedup._between(7, nodes, group, every, all_near)
     assert all(b is None and key == 7 for _, b, key in out) and {a for a, _, _ in out} == set(nodes)
-    few = near_dedup._between(7, nodes, group, lambda i, others: others[:1])
+    few = near_dedup._between(7, nodes, group, every, lambda i, others: others[:1])
     assert all(key is None for _, _, key in few) and len(few) <= 2 * len(nodes)
     assert len(near_dedup._stars(nodes, all_near)) == 19
