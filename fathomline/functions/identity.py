@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def hashed(prefix: str, *parts: Column) -> Column:
-    """A prefixed content hash of parts joined by a separator that parts cannot hold; null is empty."""
-    return F.concat(F.lit(prefix), F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256))
+from .canonical import hash_record
 
 
 def identity_segment(value: Column) -> Column:
-    """A trimmed, percent-encoded segment of a contract key."""
-    out = F.url_encode(F.trim(value))
+    """A trimmed, percent-encoded segment of a contract key (F3); null where it is empty, longer than 512
+    characters or holds a NUL. Texts are expected composed (NFC), which Spark has no function for."""
+    trimmed = F.trim(value)
+    out = F.url_encode(trimmed)
     for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         out = F.replace(out, F.lit(code), F.lit(char))
-    return out
+    return F.when(F.length(trimmed).between(1, 512) & (F.instr(trimmed, "\0") == 0), out)
 
 
 def contract_key(scheme: str, *segments: Column) -> Column:
-    return F.concat(F.lit(f"{scheme}:"), F.concat_ws("#", *map(identity_segment, segments)))
+    """scheme:segment#segment; null where a segment is no identity."""
+    parts = [identity_segment(x) for x in segments]
+    return F.concat(F.lit(f"{scheme.lower()}:"), *(x for i, p in enumerate(parts) for x in ((F.lit("#"), p) if i else (p,))))
 
 
 def stratum_key(kind: Column, definition: Column, reference: Column, basis: Column, steps: Column) -> Column:
@@ -28,20 +29,58 @@ def stratum_key(kind: Column, definition: Column, reference: Column, basis: Colu
     return F.concat_ws("|", kind, definition, reference, basis, F.concat_ws("+", F.array_sort(F.array_distinct(steps))))
 
 
+def _bare_path(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), "/{2,}", "/")
+
+
 def alias_value(kind: Column, value: Column) -> Column:
     """Normal form by kind of alias (F8)."""
-    path = F.regexp_replace(F.regexp_replace(F.trim(value), "/{2,}", "/"), "^/|/$", "")
-    return F.when(kind == "host", F.regexp_replace(F.lower(F.trim(value)), r"\.$", "")).when(kind == "package_coordinate", F.lower(F.trim(value))).otherwise(path)
+    trimmed = F.trim(value)
+    return (
+        F.when(kind == "host", F.regexp_replace(F.lower(trimmed), r"\.$", ""))
+        .when(kind == "package_coordinate", F.lower(trimmed))
+        .when(kind == "path_prefix", _bare_path(trimmed))
+        .otherwise(trimmed)
+    )
 
 
 def gateway_rewrite(path: Column, prefix: Column) -> Column:
     """The path behind a gateway prefix, or null where the prefix does not apply."""
-    inside = (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
-    return F.when(prefix.isNull(), path).when(inside, F.substr(path, F.length(prefix) + 1))
+    bare, lead = _bare_path(path), F.regexp_replace(prefix, "^/+|/+$", "")
+    behind = F.when(bare == lead, "").when(bare.startswith(F.concat(lead, F.lit("/"))), F.substr(bare, F.length(lead) + 2))
+    return F.when(prefix.isNull(), bare).otherwise(behind)
+
+
+def npm_subpath(value: Column) -> Column:
+    """A package's subpath: `.` for the package itself, else from `./` on."""
+    trimmed = F.trim(value)
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed, r"^\./", ""), "/{2,}", "/"), "/$", "")
+    return F.when(trimmed.isin("", "."), ".").otherwise(F.concat(F.lit("./"), path))
+
+
+def npm_specifier(specifier: Column) -> Column:
+    """Package name and subpath that an import names; null for relative, absolute and built-in ones."""
+    parts = F.split(specifier, "/")
+    n = F.when(specifier.startswith("@"), 2).otherwise(1)
+    name = F.slice(parts, F.lit(1), n)
+    sound = (specifier != "") & ~specifier.rlike("^(?:[./]|node:)") & (F.size(parts) >= n) & ~F.exists(name, lambda p: p == "")
+    rest = F.array_join(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), "/")
+    return F.when(sound, F.struct(F.array_join(name, "/").alias("package"), npm_subpath(rest).alias("subpath")))
+
+
+def module_path(value: Column) -> Column:
+    """A module's path within a repository, without extension, index and steps up."""
+    parts = F.filter(F.split(F.trim(value), "/"), lambda p: ~p.isin("", "."))
+    empty = F.array().cast("array<string>")
+    up = lambda acc, p: F.when((p == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.size(acc) - 1)).when(p == "..", acc).otherwise(F.concat(acc, F.array(p)))
+    path = F.array_join(F.aggregate(parts, empty, up), "/")
+    path = F.regexp_replace(F.regexp_replace(path, r"(?:\.d)?\.(?:[mc]?ts|tsx|[mc]?js|jsx)$", ""), "/index$", "")
+    return F.when(path == "", ".").otherwise(F.concat(F.lit("./"), path))
 
 
 def route_template(path: Column) -> Column:
-    """A route's template: no query or fragment, single slashes, parameters as {param}, no trailing slash."""
+    """A route's template: no query or fragment, single slashes, parameters as {param}, no trailing slash.
+    Fixed values: a parameter is :name, {name} or <name>; a route has 2,048 characters at most."""
     value = F.regexp_replace(F.regexp_replace(path, "[?#].*$", ""), "/{2,}", "/")
     parts = F.transform(F.split(value, "/"), lambda s: F.when(s.rlike(r"^:[A-Za-z_][A-Za-z0-9_]*$|^\{[^{}]+\}$|^<[^<>]+>$"), "{param}").otherwise(s))
     joined = F.array_join(parts, "/")
@@ -60,7 +99,7 @@ def column_type(value: Column) -> Column:
 
 
 def widens(before: Column, after: Column) -> Column:
-    """Whether a column type change only widens."""
+    """Whether a column type change only widens (F13). The two names of a text of bounded length."""
     a, b = column_type(before), column_type(after)
     ranks = F.create_map(*(F.lit(x) for kv in TYPE_RANKS.items() for x in kv))
     ra, rb = F.element_at(ranks, a), F.element_at(ranks, b)
@@ -82,33 +121,60 @@ def enum_compatibility(before: Column, after: Column) -> Column:
     return F.when(F.size(F.array_except(before, after)) > 0, "breaking").when(F.size(F.array_except(after, before)) > 0, "potentially_breaking").otherwise("compatible")
 
 
-def payload_compatibility(before: Column, after: Column, required_before: Column, required_after: Column) -> Column:
-    """Compatibility of event payloads, property to type maps: a lost or retyped property or one no longer
-    required breaks, a new one may (F15)."""
-    lost = F.exists(F.map_keys(before), lambda k: ~F.coalesce(F.try_element_at(after, k) == F.element_at(before, k), F.lit(False)))
+def addition_compatibility(kind: Column, nullable: Column) -> Column:
+    """An added column breaks writers that don't fill it, unless it may be null."""
+    return F.when((kind == "database.column") & ~F.coalesce(nullable, F.lit(False)), "potentially_breaking").otherwise("compatible")
+
+
+#: What is compared of an event's payload: its type, properties (name to the hash of what they are), required
+#: names, and values of an enumeration.
+PAYLOAD = "struct<type:string,properties:map<string,string>,required:array<string>,values:array<string>>"
+
+
+def payload_compatibility(before: Column, after: Column) -> Column:
+    """Compatibility of event payloads (F15): unknown without a schema on either side; another type, a lost or
+    changed property or a name no longer required breaks; a value more of an enumeration may; a property
+    more does not."""
+    none, empty = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
+    old, new = (F.coalesce(x["properties"], none) for x in (before, after))
+    lost = F.exists(F.map_keys(old), lambda k: ~F.coalesce(F.try_element_at(new, k) == F.element_at(old, k), F.lit(False)))
+    less = F.size(F.array_except(F.coalesce(before["required"], empty), F.coalesce(after["required"], empty))) > 0
+    was = F.coalesce(before["values"], empty)
+    more = (F.size(F.array_except(F.coalesce(after["values"], empty), was)) > 0) & (F.size(was) > 0)
     return (
-        F.when(lost | (F.size(F.array_except(required_before, required_after)) > 0), "breaking")
-        .when(F.size(F.array_except(F.map_keys(after), F.map_keys(before))) > 0, "potentially_breaking")
+        F.when(before.isNull() | after.isNull(), "unknown")
+        .when(~before["type"].eqNullSafe(after["type"]) | lost | less, "breaking")
+        .when(more, "potentially_breaking")
         .otherwise("compatible")
     )
 
 
-def signature_compatibility(before: Column, after: Column) -> Column:
-    """Overload lists of parameter structs (type, optional): every overload must still be callable (F16)."""
+#: A callable's overloads: parameters, and the hash of the whole signature.
+OVERLOADS = "array<struct<parameters:array<struct<optional:boolean,rest:boolean>>,hash:string>>"
 
-    def accepts(new: Column, old: Column) -> Column:
-        same = F.forall(F.sequence(F.lit(0), F.size(old) - 1), lambda i: F.get(new, i)["type"].eqNullSafe(F.get(old, i)["type"]))
-        extra = F.forall(F.slice(new, F.size(old) + 1, F.greatest(F.size(new) - F.size(old), F.lit(0))), lambda p: p["optional"])
-        return (F.size(new) >= F.size(old)) & ((F.size(old) == 0) | same) & extra
 
-    kept = F.forall(before, lambda old: F.exists(after, lambda new: accepts(new, old)))
-    return F.when(kept, "compatible").otherwise("breaking")
+def signature_compatibility(before: Column, after: Column, implementation_changed: Column | None = None) -> Column:
+    """Compatibility of overload lists (F16): unknown where parameters aren't known; breaking if every overload
+    now needs more parameters than any did; compatible if all signatures are still there, potentially
+    breaking then only for a changed implementation; potentially breaking otherwise."""
+    known = lambda xs: xs.isNotNull() & F.forall(xs, lambda o: o["parameters"].isNotNull())
+    flag = lambda p, f: F.coalesce(p[f], F.lit(False))
+    counts = lambda xs: F.transform(xs, lambda o: F.size(F.filter(o["parameters"], lambda p: ~flag(p, "optional") & ~flag(p, "rest"))))
+    kept = F.size(F.array_except(F.transform(before, lambda o: o["hash"]), F.transform(after, lambda o: o["hash"]))) == 0
+    changed = implementation_changed if implementation_changed is not None else F.lit(False)
+    return (
+        F.when(~(known(before) & known(after)), "unknown")
+        .when(F.array_min(counts(after)) > F.array_max(counts(before)), "breaking")
+        .when(kept, F.when(changed, "potentially_breaking").otherwise("compatible"))
+        .otherwise("potentially_breaking")
+    )
 
 
-def uniform(*parts: Column) -> Column:
-    """A deterministic uniform number in [0, 1) from 13 hexadecimal digits of a hash."""
-    digits = F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 13)
-    return F.conv(digits, 16, 10).cast("double") / float(16**13)
+def uniform(seed: str, subject: Column, compat: bool = False) -> Column:
+    """A deterministic draw from 13 hexadecimal digits of the hash of seed and subject, as JSON text with a NUL
+    between them: in [0, 1), or as wide as published, [0, 16), with compat (F17)."""
+    digest = hash_record(F.concat(F.lit(f"{seed}\0"), subject.cast("string")))
+    return F.conv(F.substring(digest, 8, 13), 16, 10).cast("double") / float(16**12 if compat else 16**13)
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -116,11 +182,51 @@ def line_of(text: Column, offset: Column) -> Column:
     return F.size(F.split(F.substr(text, F.lit(1), offset), "\n", -1))
 
 
+def column_of(text: Column, offset: Column) -> Column:
+    """Column (from 1) of a code-point offset in its line."""
+    return F.length(F.element_at(F.split(F.substr(text, F.lit(1), offset), "\n", -1), -1)) + 1
+
+
+#: Names whose values are masked.
+SECRETS = r"(?i)\b(password|passwd|secret|token|private[_-]?key|api[_-]?key)\b\s*[:=]\s*(?:\"[^\"\r\n]*\"|'[^'\r\n]*'|[^\s,;]+)"
+
+
 def minimise_excerpt(text: Column, limit: int) -> Column:
-    """An excerpt without comment lines, with secrets and long tokens masked, cut to a length."""
-    lines = F.filter(F.split(text, "\n", -1), lambda s: ~F.trim(s).rlike(r"^(//|#|/\*|\*)"))
-    out = F.regexp_replace(F.array_join(lines, "\n"), r"(?i)((?:password|secret|token|api[_-]?key)\s*[:=]\s*)\S+", "$1[masked]")
-    return F.substring(F.regexp_replace(out, "[A-Za-z0-9+/_=-]{40,}", "[masked]"), 1, limit)
+    """An excerpt without comment lines and NULs, with secrets and long tokens masked, cut to so many bytes at a
+    whole character (P18)."""
+    lines = F.split(F.replace(F.substring(text, 1, limit), F.lit("\0"), F.lit("")), "\r?\n", -1)
+    kept = F.array_join(F.filter(lines, lambda s: ~s.rlike(r"^\s*(?://|#|/\*|\*|<!--|--)")), "\n")
+    masked = F.regexp_replace(F.regexp_replace(kept, SECRETS, "$1=[REDACTED]"), r"\b[A-Za-z0-9+/_=-]{40,}\b", "[REDACTED]")
+    # A cut within a character leaves bytes that decode to U+FFFD; at most three of them stand at the end.
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(masked.cast("binary"), 1, limit).cast("string")), "\ufffd+$", "")
+    return F.when(F.octet_length(masked) <= limit, masked).otherwise(cut)
+
+
+def bounded_text(value: Column, most: int) -> Column:
+    """Whether a text is printable, trimmed and of 1 to so many characters."""
+    return F.length(value).between(1, most) & (F.trim(value) == value) & ~value.rlike(r"[\x00-\x1f\x7f]")
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Milliseconds from one time to another, none if it is earlier."""
+    return F.greatest(F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp")), F.lit(0).cast("long"))
+
+
+#: Forms of identifiers.
+IDENTIFIERS = {
+    "commit": "^(?:[0-9a-f]{40}|[0-9a-f]{64})$", "content_hash": "^sha256:[0-9a-f]{64}$",
+    "instant": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$",
+}
+
+
+def valid_identifier(kind: str, value: Column) -> Column:
+    return F.coalesce(value.rlike(IDENTIFIERS[kind]), F.lit(False))
+
+
+def valid_repo_path(path: Column) -> Column:
+    """A path within a repository: relative, without steps up or empty ones, backslashes and NULs."""
+    parts = F.split(path, "/", -1)
+    return F.coalesce((path != "") & ~path.rlike(r"[\\\x00]") & ~F.exists(parts, lambda p: p.isin("", ".", "..")), F.lit(False))
 
 
 def valid_at(start: Column, end: Column, at: Column) -> Column:

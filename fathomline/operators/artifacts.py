@@ -69,6 +69,56 @@ def coverage(classified: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+#: The dimensions of a snapshot's coverage, in order.
+DIMENSIONS = ["repository", "tree", "file", "language", "parser", "adapter"]
+
+
+def dimension_coverage(classified: DataFrame, trees: DataFrame) -> DataFrame:
+    """The six dimensions of each generation's coverage (A1; A2 over the changed files alone): state, counters and
+    reason of repository, tree, file, language, parser and adapter. classified(generation_id, classification,
+    parse_state, language), trees(generation_id, complete). Counters are one aggregation, dimensions its rows."""
+    source, parsed, failed = C("classification") == "source", C("parse_state") == "parsed", C("parse_state") == "failed"
+    by = classified.groupBy("generation_id").agg(
+        F.count("*").alias("n"), F.count_if(failed).alias("failed"), F.count_if(C("parse_state") == "skipped").alias("skipped"), F.count_if(parsed).alias("parsed"),
+        F.count_if(C("language") != "unknown").alias("languages"), F.count_if(source & parsed).alias("sound"),
+    )
+    one = trees.join(by, "generation_id", "left").fillna(0, ["n", "failed", "skipped", "parsed", "languages", "sound"])
+    zero, lost = F.lit(0).cast("long"), F.when(C("complete"), 0).otherwise(1).cast("long")
+    whole = lambda ok: F.when(ok, "complete").otherwise("partial")
+    incomplete = F.when(~C("complete"), "incomplete_tree")
+    spoken = C("languages") == C("n")
+    rows = [
+        ("repository", whole(C("complete") & (C("failed") == 0)), F.lit(1).cast("long"), F.lit(1).cast("long"), zero, lost, incomplete),
+        ("tree", whole(C("complete")), C("n"), C("n"), zero, lost, incomplete),
+        ("file", whole(C("failed") == 0), C("n"), C("n") - C("failed"), C("skipped"), C("failed"), F.lit(None)),
+        ("language", whole(spoken), C("n"), C("languages"), C("n") - C("languages"), zero, F.when(~spoken, "unsupported_language")),
+        ("parser", whole(C("sound") == C("n")), C("n"), C("parsed"), C("skipped"), C("failed"), F.lit(None)),
+        ("adapter", F.lit("not_analysed"), zero, zero, zero, zero, F.lit(None)),
+    ]
+    names = ("dimension", "state", "eligible", "processed", "skipped", "failed", "reason")
+    structs = F.array(*(F.struct(F.lit(r[0]).alias(names[0]), *(c.cast("string" if n in ("state", "reason") else "long").alias(n) for n, c in zip(names[1:], r[1:], strict=True))) for r in rows))
+    return one.select("generation_id", F.explode(structs).alias("d")).select("generation_id", "d.*")
+
+
+def observation_state(extractions: DataFrame, by: list[str]) -> DataFrame:
+    """Coverage of what adapters observed of each generation: extractions(state, items) (A3, X11). Unsupported or
+    failed only where nothing was found at all."""
+    n, found = F.count("*"), F.sum("items") > 0
+    off = C("state").isin("failed", "unsupported")
+    state = (
+        F.when((F.count_if(C("state") == "unsupported") == n) & ~found, "unsupported")
+        .when((F.count_if(off) == n) & ~found, "failed")
+        .when(F.count_if(C("state") == "complete") == n, "complete")
+        .otherwise("partial")
+    )
+    return extractions.groupBy(*by).agg(state.alias("state"))
+
+
+def limitations(rows: DataFrame) -> DataFrame:
+    """Limitations once for each code and scope, with how often they were met."""
+    return rows.groupBy("code", "scope").agg(F.count("*").alias("times"))
+
+
 def extraction_state(files: DataFrame, by: list[str]) -> DataFrame:
     """State of each group of files(state): unsupported, failed, partial or complete (A3)."""
     n = F.count("*")

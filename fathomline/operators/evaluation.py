@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,75 +82,107 @@ def grouped_metrics(cases: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pull_request_metrics(cases: DataFrame) -> DataFrame:
-    """One row over two levels: pull requests, then the population (A11, A12 of latency)."""
+    """One row over two levels: pull requests, then the population (A11). A pull request weighs as its heaviest
+    case; its alert is right if any of its cases is actionable, open if all are indeterminate."""
     key = ["organization", "pull_request"]
-    action = C("label_action")
+    action, weight = C("label_action"), C("weight")
+    when = lambda c: F.sum(F.when(c, weight).otherwise(0.0))
     prs = cases.groupBy(*key).agg(
         F.max("weight").alias("weight"),
         F.bool_or(_selected()).alias("alerted"),
         F.bool_or(F.coalesce(_actionable(action), F.lit(False))).alias("success"),
         F.bool_and(F.coalesce(action == "indeterminate", F.lit(False))).alias("open"),
         F.bool_or(C("detector_output") != "not_analysed").alias("analysed"),
-        F.max("latency_ms").alias("latency_ms"),
-        F.sum(F.when(_selected(), C("weight")).otherwise(0.0)).alias("finding_weight"),
-        F.sum(F.when(C("detector_output").isin("candidate", "abstained"), C("weight")).otherwise(0.0)).alias("detected_weight"),
-        F.sum(F.when(C("policy_selected") & C("detector_output").isin("candidate", "abstained"), C("weight")).otherwise(0.0)).alias("chosen_weight"),
-        F.sum(F.when(action.isNotNull(), C("weight")).otherwise(0.0)).alias("labelled_weight"),
+        when(_selected()).alias("selected_weight"),
+        when(C("detector_output").isin("candidate", "abstained")).alias("candidate_weight"),
+        when(action.isNotNull()).alias("labelled_weight"),
         F.sum("weight").alias("case_weight"),
+        F.sum(C("cost_microunits") * weight).alias("cost"),
+        F.count("*").alias("cases"),
+        F.count_if("independently_labelled").alias("independent"),
+        F.count_if(C("analysis_outcome") == "superseded").alias("superseded"),
+        F.count_if(C("analysis_outcome") == "timeout").alias("timed_out"),
     )
+    alerted, population = F.sum(F.when(C("alerted"), weight)), F.sum("weight")
     out = prs.agg(
+        F.coalesce(F.sum("cases"), F.lit(0)).alias("sampled_cases"),
+        F.coalesce(F.sum("independent"), F.lit(0)).alias("independently_labelled"),
         F.count("*").alias("pull_requests"),
-        F.count_if(C("alerted") & ~C("open")).alias("alerts"),
-        F.count_if(C("alerted") & ~C("open") & C("success")).alias("alert_successes"),
-        F.round(ratio(F.sum(F.when(C("analysed"), C("weight"))), F.sum("weight")), 9).alias("analysis_coverage"),
-        F.round(ratio(F.sum("chosen_weight"), F.sum("detected_weight")), 9).alias("selection_coverage"),
+        *proportion(C("alerted"), C("success"), C("open"), weight, "alert"),
+        F.round(ratio(F.sum(F.when(C("analysed"), weight)), population), 9).alias("analysis_coverage"),
+        F.round(ratio(F.sum("selected_weight"), F.sum("candidate_weight")), 9).alias("selection_coverage"),
         F.round(ratio(F.sum("labelled_weight"), F.sum("case_weight")), 9).alias("label_coverage"),
-        F.round(ratio(F.sum("finding_weight") * 1000, F.sum("weight")), 9).alias("findings_per_thousand"),
-        F.round(ratio(F.sum(F.when(C("alerted"), C("weight"))) * 1000, F.sum("weight")), 9).alias("alerted_per_thousand"),
+        F.round(ratio(F.sum("selected_weight") * 1000, population), 9).alias("findings_per_thousand"),
+        F.round(ratio(alerted * 1000, population), 9).alias("alerted_per_thousand"),
+        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost"),
+        F.round(ratio(F.sum("cost"), population), 9).alias("mean_cost"),
+        F.coalesce(F.sum("superseded"), F.lit(0)).alias("superseded"),
+        F.coalesce(F.sum("timed_out"), F.lit(0)).alias("timed_out"),
     )
-    low, _ = wilson(C("alert_successes"), C("alerts"))
-    return out.withColumn("alert_lower95", F.round(low, 9))
+    low, _ = wilson(C("alert_successes"), C("alert_total"))
+    everything = C("alert_total") + C("alert_indeterminate")
+    return out.withColumns({
+        "alert_weighted": F.round(F.coalesce("alert_weighted", F.lit(0.0)), 9),
+        "alert_lower95": F.round(low, 9),
+        "alert_worst_case": F.round(ratio(C("alert_successes"), everything), 9),
+        "alert_best_case": F.round(ratio(C("alert_successes") + C("alert_indeterminate"), everything), 9),
+    })
+
+
+def _discrete(p: float, value: str) -> Column:
+    return F.expr(f"coalesce(percentile_disc({p}) WITHIN GROUP (ORDER BY {value}), 0)").cast("long")
 
 
 def latency_quantiles(cases: DataFrame) -> DataFrame:
     """Discrete quantiles of each pull request's largest latency; 0 where there is none."""
     worst = cases.groupBy("organization", "pull_request").agg(F.max("latency_ms").alias("latency_ms"))
-    quantile = lambda p: F.expr(f"coalesce(percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ms), 0)").cast("long")
-    return worst.agg(*(quantile(p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
+    return worst.agg(*(_discrete(p, "latency_ms").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
 
 
-def risk_coverage(cases: DataFrame) -> DataFrame:
-    """Cumulative coverage and risk over strata in their order: strata are summed before the window, which
-    then runs over as many rows as there are strata (A15, W4)."""
-    rules = metric_rules()["actionable_precision"]
-    by = cases.groupBy("stratum").agg(F.count_if(rules[0] & ~rules[2]).alias("n"), F.count_if(rules[0] & ~rules[2] & rules[1]).alias("k"))
-    w = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = by.select("stratum", F.sum("n").over(w).alias("cum_n"), F.sum("k").over(w).alias("cum_k"), F.sum("n").over(every).alias("all_n"))
-    return run.select("stratum", "cum_n", F.round(ratio(C("cum_n"), C("all_n")), 9).alias("coverage"), F.round(ratio(C("cum_n") - C("cum_k"), C("cum_n")), 9).alias("risk"))
+def risk_coverage(cases: DataFrame, order: Column | None = None) -> DataFrame:
+    """What selecting the strata up to each in their order would give: weighted selection coverage, actionable
+    precision and findings per thousand pull requests (A15, W4). Only what is selected depends on the strata
+    included; candidates and pull requests are those of all. Strata are summed before the window, which then
+    runs over as many rows as there are strata."""
+    counts, success, open_ = metric_rules()["actionable_precision"]
+    full = counts & ~open_
+    by = cases.groupBy("stratum").agg(
+        F.sum(F.when(_selected(), C("weight")).otherwise(0.0)).alias("selected"), F.count_if(full).alias("n"), F.count_if(full & success).alias("k"),
+        F.sum(F.when(C("detector_output").isin("candidate", "abstained"), C("weight")).otherwise(0.0)).alias("candidates"),
+    )
+    heaviest = cases.groupBy("organization", "pull_request").agg(F.max("weight").alias("weight"))
+    population = F.broadcast(heaviest.agg(F.sum("weight").alias("population")))  # one row
+    place = order if order is not None else C("stratum")
+    upto = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = by.select("stratum", *(F.sum(c).over(upto).alias(c) for c in ("selected", "n", "k")), F.sum("candidates").over(every).alias("candidates")).join(population)
+    return run.select(
+        "stratum", C("n").alias("total"), C("k").alias("successes"), F.round(ratio(C("selected"), C("candidates")), 9).alias("selection_coverage"),
+        F.round(ratio(C("k"), C("n")), 9).alias("actionable_precision"), F.round(ratio(C("selected") * 1000, C("population")), 9).alias("findings_per_thousand"),
+    )
 
 
 def team_burden(cases: DataFrame) -> DataFrame:
-    """Alerted pull requests of a team for each active day; days, not weeks, divide."""
-    alerted = cases.where(_selected()).groupBy("team").agg(F.countDistinct("pull_request").alias("alerted"), F.countDistinct("month").alias("active"))
-    return alerted.withColumn("per_active_day", F.round(C("alerted") / C("active"), 9))
+    """Alerted pull requests of every team for each day on which any pull request was opened, one day at least;
+    days, not weeks, divide (A16)."""
+    days = F.broadcast(cases.agg(F.greatest(F.count_distinct("opened_on"), F.lit(1)).alias("active")))  # one row
+    alerted = cases.groupBy("team").agg(F.count_distinct(F.when(_selected(), C("pull_request"))).alias("alerted"))
+    return alerted.join(days).withColumn("per_active_day", F.round(C("alerted") / C("active"), 9))
 
 
 def distinct_counts(cases: DataFrame) -> DataFrame:
-    """Exact distinct counts."""
-    return cases.agg(F.countDistinct("organization").alias("organizations"), F.countDistinct("pull_request", "consumer").alias("pairs"))
+    """Exact distinct counts of organizations and of producer and consumer pairs."""
+    return cases.agg(F.count_distinct("organization").alias("organizations"), F.count_distinct("producer", "consumer").alias("pairs"))
 
 
 def usefulness(cases: DataFrame) -> DataFrame:
-    """Actions observed among the eligible, and those censored."""
-    eligible = _selected() & C("label_action").isNotNull()
-    acted = eligible & _actionable(C("label_action"))
+    """Cases whose action was looked for, those where it was seen, the discrete median of the time it took, and
+    those censored (A13, A12)."""
+    eligible, seen = F.count(C("action_observed")), F.count_if(F.coalesce("action_observed", F.lit(False)))
     return cases.agg(
-        F.count_if(eligible).alias("eligible"),
-        F.count_if(acted).alias("observed_actions"),
-        F.round(ratio(F.count_if(acted), F.count_if(eligible)), 9).alias("action_rate"),
-        F.count_if(eligible & (C("label_action") == "indeterminate")).alias("censored"),
-    )
+        eligible.alias("eligible"), seen.alias("observed_actions"), F.round(ratio(seen, eligible), 9).alias("action_rate"),
+        _discrete(0.5, "time_to_action_ms").alias("median_time_to_action"), F.count_if(F.coalesce("action_censored", F.lit(False))).alias("censored"),
+    )
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
@@ -166,25 +200,47 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("axis", "a", "b").agg(F.count("*").alias("n"))
 
 
+_POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
+
+
 def cluster_bootstrap(cases: DataFrame, iterations: int = 1000, seed: int = 20_240_101) -> DataFrame:
-    """Actionable precision with a cluster bootstrap interval (A17). Clusters are summed first; each draw is
-    the linear congruential sequence of its own stretch, so draws are made side by side, and a draw's picks
-    meet the clusters in an equi-join."""
-    rules = metric_rules()["actionable_precision"]
-    seen = cases.where(rules[0] & ~rules[2])
-    w = Window.orderBy("organization", "consumer")
-    clusters = seen.groupBy("organization", "consumer").agg(F.sum("weight").alias("d"), F.sum(F.when(rules[1], C("weight")).otherwise(0.0)).alias("n"))
-    clusters = clusters.withColumn("pick", F.row_number().over(w) - 1)
-    size = clusters.count()
-    picks = cases.sparkSession.range(iterations * max(size, 1)).select(
-        F.floor(C("id") / max(size, 1)).alias("draw"), F.pmod(F.xxhash64(C("id"), F.lit(seed)), F.lit(max(size, 1))).cast("int").alias("pick")
-    )
-    draws = picks.join(clusters, "pick").groupBy("draw").agg(ratio(F.sum("n"), F.sum("d")).alias("estimate"))
-    bounds = draws.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY estimate)").alias("lower95"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY estimate)").alias("upper95"), F.count("*").alias("iterations"))
+    """Actionable precision with a cluster bootstrap interval over producer and consumer pairs (A17). A draw
+    takes each cluster a Poisson number of times, drawn from a hash of the draw and the cluster, so clusters
+    need neither numbers nor a place in one list: each is counted where it lies, and a draw's sums are combined
+    before the shuffle, which has a row a draw."""
+    counts, success, open_ = metric_rules()["actionable_precision"]
+    seen = cases.where(counts & ~open_)
+    key = ["organization", "producer", "consumer"]
+    clusters = seen.groupBy(*key).agg(F.sum("weight").alias("d"), F.sum(F.when(success, C("weight")).otherwise(0.0)).alias("n"))
+    draws = clusters.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    u = F.pmod(F.xxhash64(*key, "draw", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    times = F.aggregate(F.array(*(F.lit(float(p)) for p in _POISSON)), F.lit(0), lambda k, p: k + F.when(u >= p, 1).otherwise(0))
+    sums = draws.withColumn("times", times).groupBy("draw").agg(F.sum(C("n") * C("times")).alias("n"), F.sum(C("d") * C("times")).alias("d"))
+    listed = sums.agg(F.array_sort(F.collect_list(ratio(C("n"), C("d")))).alias("e"))  # as many numbers as draws
+    at = lambda p: F.get("e", F.least(F.floor(F.size("e") * p), F.size("e") - 1).cast("int"))
+    bounds = listed.select(F.coalesce(at(0.025), F.lit(0.0)).alias("lower95"), F.coalesce(at(0.975), F.lit(1.0)).alias("upper95"), F.size("e").cast("long").alias("iterations"))
     point = clusters.agg(ratio(F.sum("n"), F.sum("d")).alias("estimate"), F.count("*").alias("clusters"))
     return point.crossJoin(bounds)  # one row with one row
 
 
+def agreement_intervals(pairs: DataFrame, iterations: int = 500, seed: int = 7) -> DataFrame:
+    """Bootstrap intervals of Krippendorff's alpha of each axis (A18): pairs are alike within a cell of the
+    confusion matrix, so a draw needs the cells alone, of which there are few."""
+
+    def interval(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["a", "b"])
+        counts, n = frame["n"].to_numpy(), int(frame["n"].sum())
+        labels = np.unique(np.concatenate([frame["a"], frame["b"]]))
+        of = np.stack([(frame["a"].to_numpy() == x).astype(int) + (frame["b"].to_numpy() == x) for x in labels], 1)
+        drawn = np.random.default_rng(seed).multinomial(n, counts / n, iterations)
+        observed = 1 - drawn @ (frame["a"] == frame["b"]).to_numpy() / n
+        expected = 1 - (((drawn @ of) / (2 * n)) ** 2).sum(1)
+        alpha = np.sort(np.where(expected == 0, 1.0, 1 - observed / np.where(expected == 0, 1, expected)))
+        return pd.DataFrame({"axis": [frame["axis"].iloc[0]], "lower95": [alpha[int(iterations * 0.025)]], "upper95": [alpha[min(iterations - 1, int(iterations * 0.975))]]})
+
+    return confusion(pairs).withColumns({"a": C("a").cast("string"), "b": C("b").cast("string")}).groupBy("axis").applyInPandas(interval, "axis string, lower95 double, upper95 double")
+
+
 def review_chain(events: DataFrame) -> DataFrame:
     """Whether each event supersedes the latest of its subject before it."""
     w = Window.partitionBy("subject").orderBy("sequence")

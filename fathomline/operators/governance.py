@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import uniform
-from ..functions.stats import ratio, wilson
+from ..functions.stats import wilson
+from .evaluation import metric_rules, metric_set, pull_request_metrics
 
 C = F.col
 
@@ -31,12 +31,18 @@ def prepare_scope(members: DataFrame, allowlist: DataFrame | None, consents: Dat
     return joined.select("repository", standing.alias("standing"))
 
 
-def authorize(scope: DataFrame, decisions: DataFrame, revision) -> DataFrame:
+def authorize(scope: DataFrame, decisions: DataFrame, revision, producer=None) -> DataFrame:
     """Included repositories and gaps by the last decision on each: denied, unavailable, or of another
-    revision (P12, P13)."""
+    revision (P12). Where the producer itself has a gap, nothing can be analysed, and that is every
+    repository's gap."""
     last = decisions.groupBy("repository").agg(F.max_by(F.struct("decision", "revision"), "position").alias("last"))
     gap = F.when(C("last").isNull(), "unavailable").when(C("last.decision") != "allow", "denied").when(C("last.revision") != F.lit(revision), "revision_changed")
-    return scope.where("standing = 'included'").join(last, "repository", "left").select("repository", gap.alias("gap"))
+    out = scope.where("standing = 'included'").join(last, "repository", "left").select("repository", gap.alias("gap"))
+    if producer is None:
+        return out
+    lost = F.broadcast(out.agg(F.bool_or((C("repository") == F.lit(producer)) & C("gap").isNotNull()).alias("_lost"), F.count_if(C("repository") == F.lit(producer)).alias("_there")))
+    without = F.coalesce(C("_lost"), F.lit(False)) | (C("_there") == 0)
+    return out.join(lost).select("repository", F.when(without, F.coalesce("gap", F.lit("producer_unavailable"))).otherwise(C("gap")).alias("gap"))
 
 
 def restrict(rows: DataFrame, authorised: DataFrame, column: str = "repository") -> DataFrame:
@@ -44,78 +50,112 @@ def restrict(rows: DataFrame, authorised: DataFrame, column: str = "repository")
     return rows.join(authorised.select(C("repository").alias(column)).distinct(), column, "left_semi")
 
 
-def disclose(facts: DataFrame, audience_visible: Column, destination: Column, revision: Column) -> DataFrame:
-    """Each fact allowed or the first reason it is left out."""
-    reason = F.when(C("revision") != revision, "revision_mismatch").when(~audience_visible, "audience_not_permitted").when(C("repository") != destination, "other_destination")
-    return facts.withColumn("omitted", reason).withColumn("allowed", C("omitted").isNull())
+def suppression_states(rules: DataFrame, events: DataFrame, predicates: DataFrame, versions: DataFrame, now: Column) -> DataFrame:
+    """State of each rule: revoked, expired, invalidated, review_due, else active, and the reasons of an
+    invalidation (ST8). The latest event of a rule decides; equal times go to the larger event id.
 
-
-def suppression_states(rules: DataFrame, events: DataFrame, now: Column, version: Column) -> DataFrame:
-    """State of each rule: revoked, expired, invalidated, review_due, else active (ST8). The latest event of a
-    rule decides; equal times go to the larger event id."""
+    predicates(rule_id, kind, subject, expected) hold while versions(kind, subject, current) say the same of
+    their subject; nine kinds of subject, from code to registry, are one equi-join."""
     last = events.groupBy("rule_id").agg(F.max_by(F.struct("state", "next_review_at", "next_expires_at"), F.struct("at", "event_id")).alias("last"))
-    joined = rules.join(last, "rule_id", "left")
+    held = predicates.join(versions, ["kind", "subject"], "left").where(~C("expected").eqNullSafe(C("current")))
+    failed = held.groupBy("rule_id").agg(F.array_sort(F.collect_set(F.concat("kind", F.lit("_changed")))).alias("reasons"))
+    joined = rules.join(last, "rule_id", "left").join(failed, "rule_id", "left")
     state = (
         F.when(C("last.state") == "revoked", "revoked")
         .when(now >= F.coalesce("last.next_expires_at", "expires_at"), "expired")
-        .when(C("version") != version, "invalidated")
+        .when(C("reasons").isNotNull(), "invalidated")
         .when(now >= F.coalesce("last.next_review_at", "review_at"), "review_due")
         .otherwise("active")
     )
-    return joined.select(*rules.columns, state.alias("state"))
+    out = joined.select(*rules.columns, state.alias("state"), "reasons")
+    return out.withColumn("reasons", F.when(C("state") == "invalidated", C("reasons")))
 
 
-#: What a rule of each scope must agree with a finding on.
-SCOPES = {"workspace": [], "kind": ["kind"], "producer": ["producer"], "consumer": ["consumer"]}
+#: What a rule of each scope must agree with a finding on; rule ids of an adapter are many for a finding.
+SCOPES = {
+    "occurrence": ["occurrence_id"], "stable_finding": ["fingerprint"], "contract_consumer": ["contract_kind", "canonical_key", "consumer"],
+    "repository_pair_kind": ["producer", "consumer", "contract_kind"], "adapter_rule": ["adapter", "adapter_rule"], "workspace_rule": ["adapter_rule"],
+}
+#: The scopes that one rule of spans many findings.
+BROAD = ("adapter_rule", "workspace_rule")
 
 
 def match_suppressions(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """The least active rule that matches each finding (J13): one equi-join a scope, united and reduced."""
+    """The least active rule that matches each finding (J13): findings(occurrence_id, fingerprint, contract_kind,
+    canonical_key, producer, consumer, adapter, adapter_rule_ids) and rules with the columns of their scope. One
+    equi-join a scope, united and reduced; rules that ask for the same are one before findings meet them."""
     active = rules.where("state = 'active'")
+    each = findings.withColumn("adapter_rule", F.explode("adapter_rule_ids"))
     hits = []
     for scope, keys in SCOPES.items():
-        # The least rule of each key stands for all, so no finding meets more than one row a scope.
-        least = active.where(C("scope") == scope).groupBy(*keys).agg(F.min("rule_id").alias("rule_id")).where("rule_id is not null")
-        hits.append((findings.join(least, keys) if keys else findings.join(F.broadcast(least))).select("fingerprint", "rule_id"))
-    best = reduce(DataFrame.unionByName, hits).groupBy("fingerprint").agg(F.min("rule_id").alias("rule_id"))
-    return findings.join(best, "fingerprint", "left").withColumn("suppressed", C("rule_id").isNotNull())
+        # The least rule of each key stands for all, so no finding meets more than one row a scope and rule id.
+        least = active.where(C("scope") == scope).groupBy(*keys).agg(F.min("rule_id").alias("rule_id"))
+        hits.append((each if "adapter_rule" in keys else findings).join(least, keys).select("occurrence_id", "rule_id"))
+    best = reduce(DataFrame.unionByName, hits).groupBy("occurrence_id").agg(F.min("rule_id").alias("rule_id"))
+    return findings.join(best, "occurrence_id", "left").withColumn("suppressed", C("rule_id").isNotNull())
 
 
 def audit_suppressions(rules: DataFrame, broad: int = 3) -> DataFrame:
-    """Rules by scope and state, and whether a scope holds so many active ones."""
-    counted = rules.groupBy("scope").agg(F.count("*").alias("rules"), F.count_if(C("state") == "active").alias("active"))
-    return counted.withColumn("anomaly", F.when((C("scope") == "workspace") & (C("active") > 0), "workspace_rule").when(C("active") >= broad, "broad"))
+    """One row: active rules by scope, the broad ones, and what is anomalous about them (A21): three or more
+    broad rules in all, and any rule for a whole workspace."""
+    active = rules.where("state = 'active'")
+    wide = C("scope").isin(*BROAD)
+    counted = active.agg(*(F.count_if(C("scope") == s).alias(s) for s in SCOPES), F.array_sort(F.collect_list(F.when(wide, C("rule_id")))).alias("broad_rules"))
+    found = F.array_compact(F.array(F.when(F.size("broad_rules") >= broad, "broad_rule_concentration"), F.when(C("workspace_rule") > 0, "workspace_rule_active")))
+    return counted.withColumn("anomalies", found)
 
 
 def sample_population(population: DataFrame, probability: float, seed: str, compat: bool = False) -> DataFrame:
     """All cases with a finding, others by a deterministic draw, with inverse-probability weights.
-    compat: draws as wide as the original's, which keeps one in sixteen of what the weight says."""
+    compat: draws as wide as the published ones, which keep one in sixteen of what the weight says."""
     finding = C("detector_output").isin("candidate", "abstained")
-    u = uniform(F.lit(seed), C("pull_request")) * (16 if compat else 1)
-    kept = population.where(finding | (u < probability))
+    kept = population.where(finding | (uniform(seed, C("pull_request"), compat) < probability))
     p = F.when(finding, 1.0).otherwise(probability)
     return kept.withColumns({"inclusion_probability": p, "sampling_weight": 1 / p})
 
 
-def corpus_manifest(cases: DataFrame, subsets: list[str]) -> DataFrame:
-    """Counts of every subset, also of empty ones."""
-    return cases.agg(*(F.count_if(C("subset") == s).alias(s) for s in subsets), F.count("*").alias("cases"))
-
-
-def policy_arm(cases: DataFrame, selected: Column) -> DataFrame:
-    """What a policy would have done with frozen cases."""
-    would = selected & (C("detector_output") == "candidate")
-    shown = would & ~C("suppressed")
-    label = C("label_action")
-    judged = shown & label.isNotNull() & (label != "indeterminate")
-    good = judged & label.isin("coordinate", "already_coordinated", "accepted_risk")
-    return cases.agg(
-        F.count_if(shown).alias("deliveries"),
-        F.count_if(C("detector_output") == "abstained").alias("abstentions"),
-        F.count_if(would & C("suppressed")).alias("suppressions"),
-        F.count_if(judged).alias("judged"),
-        F.round(ratio(F.count_if(good), F.count_if(judged)), 9).alias("precision"),
+#: The subsets of a corpus.
+SUBSETS = ["historical", "executable_replay", "mutation", "forward_shadow"]
+
+
+def corpus_manifest(cases: DataFrame, eligible: int, subsets: list[str] = SUBSETS) -> DataFrame:
+    """Counts of every subset, also of empty ones, how many cases may be published, a hash of all case ids in
+    order, and whether the cases' pull requests are no more than the population they come from (A20)."""
+    public = (C("releaseability") == "public") & C("research_consent") & C("evaluation_consent")
+    ids = F.sha2(F.array_join(F.array_sort(F.collect_list(C("_part"))), ","), 256)
+    # Ids are hashed in a thousand parts, and the parts in order, so no row holds all of them.
+    parts = cases.withColumn("_bucket", F.pmod(F.xxhash64("case_id"), F.lit(1000))).groupBy("_bucket").agg(
+        *(F.count_if(C("subset") == s).alias(s) for s in subsets), F.count("*").alias("cases"), F.count_if(public).alias("public_cases"),
+        F.sum(F.xxhash64("case_id").cast("decimal(38,0)")).cast("string").alias("_part"),
+    )
+    sizes = F.broadcast(cases.agg(F.count_distinct("pull_request").alias("pull_requests")))  # one row
+    out = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*subsets, "cases", "public_cases")), ids.alias("case_ids_hash")).join(sizes)
+    return out.withColumn("population_valid", C("pull_requests") <= eligible)
+
+
+def simulate_policy(cases: DataFrame, allowed_strata: list[str], allowed_impacts: list[str], respect_suppressions: bool = True) -> DataFrame:
+    """Frozen cases with what a policy would have selected (A22): candidates of allowed strata and impact claims,
+    unless suppressed ones are respected."""
+    chosen = (C("detector_output") == "candidate") & C("stratum").isin(*allowed_strata) & C("claim_impact").isin(*allowed_impacts)
+    return cases.withColumn("policy_selected", chosen & ~C("suppressed") if respect_suppressions else chosen)
+
+
+def policy_arm(replayed: DataFrame, maximum_alerts: float) -> DataFrame:
+    """What a policy would have done with frozen cases (A22): deliveries, abstentions (of the detector, and
+    candidates that are neither selected nor suppressed), suppressions; and over the cases that aren't
+    mutations its precision and alerts, with a warning where these exceed the budget or nothing is judged."""
+    candidate = C("detector_output") == "candidate"
+    done = replayed.agg(
+        F.count_if("policy_selected").alias("deliveries"),
+        F.count_if((C("detector_output") == "abstained") | candidate & ~C("policy_selected") & ~C("suppressed")).alias("abstentions"),
+        F.count_if(candidate & C("suppressed")).alias("suppressions"),
     )
+    real = replayed.where("subset <> 'mutation'")
+    judged = metric_set(real).where("metric = 'actionable_precision'").select("total", "successes", "lower95")
+    alerts = pull_request_metrics(real).select("alerted_per_thousand")
+    out = done.join(F.broadcast(judged)).join(F.broadcast(alerts))  # one row each
+    warnings = F.array_compact(F.array(F.when(C("alerted_per_thousand") > maximum_alerts, "alert_budget_exceeded"), F.when(C("total") == 0, "no_labelled_deliveries")))
+    return out.withColumn("warnings", warnings)
 
 
 #: The default advisory gate.
@@ -144,34 +184,19 @@ def gate_failures(evidence: DataFrame, gate: dict = GATE) -> DataFrame:
 
 
 def fold_promotions(history: DataFrame) -> DataFrame:
-    """States of each stratum over its decisions in order (ST9): history(stratum, sequence, version,
-    failures). A state depends on the one before, so a stratum is folded in order, each by itself."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sequence")
-        states, decisions, state, version = [], [], "UNMEASURED", None
-        for now, n in zip(frame["version"], frame["n_failures"], strict=True):
-            if version is not None and now != version:
-                state, decision = "UNMEASURED", "reset_unmeasured"
-            elif n == 0:
-                state, decision = "PROMOTED", "promote"
-            elif state == "PROMOTED":
-                state, decision = "DEMOTED", "demote"
-            else:
-                state, decision = "PREVIEW", "remain_preview"
-            version = now
-            states.append(state)
-            decisions.append(decision)
-        return frame[["stratum", "sequence"]].assign(state=states, decision=decisions)
-
-    rows = history.select("stratum", "sequence", "version", F.size("failures").alias("n_failures"))
-    return rows.groupBy("stratum").applyInPandas(fold, "stratum string, sequence long, state string, decision string")
-
-
-def cap(rows: DataFrame, order: list, limit: int) -> DataFrame:
-    """The first rows of an order and how many were left out (O3)."""
-    total = rows.agg(F.count("*").alias("_total"))
-    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(total)).withColumn("truncated", F.greatest(C("_total") - limit, F.lit(0))).drop("_total")  # one row
+    """States of each stratum over its decisions in order (ST9): history(stratum, sequence, version, failures,
+    compatible). Another version than before resets, unless a compatibility evaluation is on record; else no
+    failure promotes, and a failure demotes what was promoted. Whether a decision left the stratum promoted
+    depends on it and on the version before alone, so nothing is folded: two steps back are enough."""
+    w = Window.partitionBy("stratum").orderBy("sequence")
+    before = F.lag("version").over(w)
+    changed = before.isNotNull() & ~C("version").eqNullSafe(before) & ~F.coalesce("compatible", F.lit(False))
+    marked = history.withColumns({"_changed": changed, "_sound": F.size("failures") == 0})
+    marked = marked.withColumn("_promoted", F.coalesce(F.lag(C("_sound") & ~C("_changed")).over(w), F.lit(False)))
+    state = F.when(C("_changed"), "UNMEASURED").when(C("_sound"), "PROMOTED").when(C("_promoted"), "DEMOTED").otherwise("PREVIEW")
+    decision = F.when(C("_changed"), "reset_unmeasured").when(C("_sound"), "promote").when(C("_promoted"), "demote").otherwise("remain_preview")
+    reasons = F.when(C("_changed"), F.array(F.lit("incompatible_version_change"))).otherwise(C("failures"))
+    return marked.select("stratum", "sequence", state.alias("state"), decision.alias("decision"), reasons.alias("reasons"))
 
 
 def adjudicate(primary: DataFrame, adjudicator: DataFrame) -> DataFrame:
@@ -181,6 +206,12 @@ def adjudicate(primary: DataFrame, adjudicator: DataFrame) -> DataFrame:
     return by.join(third, "case_id", "left").select("case_id", F.when(C("low") == C("high"), C("low")).otherwise(F.coalesce("_third", F.lit("indeterminate"))).alias("label"), "reviews")
 
 
+def replay_labels(records: DataFrame) -> DataFrame:
+    """The impact that an executed replay shows."""
+    label = F.when(C("outcome") == "relevant_failure", "breaking").when((C("outcome") == "pass") & (F.trim("exercised_scope") != ""), "compatible").otherwise("indeterminate")
+    return records.withColumn("label", label)
+
+
 def in_order(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Histories in a canonical order, numbered within each key."""
     return events.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import hash_record, whole
+
 C = F.col
 
 
@@ -43,22 +45,64 @@ def supersede(jobs: DataFrame, key: str, order: list) -> DataFrame:
     return waiting.join(newest, key).withColumn("after", F.when(F.struct(*order) == C("newest"), C("state")).otherwise("superseded")).drop("newest")
 
 
-def route(events: DataFrame) -> DataFrame:
-    """Jobs that events ask for, with the key under which they replace one another (ST5)."""
-    job = F.when(C("kind").isin("click", "view"), "analyze").when(C("kind") == "signup", "index").when(C("kind") == "error", "reconcile")
-    return events.select("event_id", job.alias("job"), F.concat_ws(":", job, C("supersession_key").cast("string")).alias("supersedes_on")).where("job is not null")
+#: The job that each kind of event asks for.
+ROUTES = {"push": "index_generation", "check_run": "record_review", "installation": "reconcile_provider", "installation_repositories": "reconcile_provider"}
+
+
+def route(events: DataFrame, workspace: str) -> DataFrame:
+    """Jobs that events(event_id, event_type, action, repository, ref, pull_request) ask for (ST5), with the key
+    under which analyses of one pull request and generations of one ref replace one another. A closed pull
+    request is reconciled; an event that is not supported has no job but a failure."""
+    job = F.coalesce(*(F.when(C("event_type") == e, F.lit(j)) for e, j in ROUTES.items()), F.when(C("event_type") == "pull_request", F.when(C("action") == "closed", "reconcile_provider").otherwise("analyze_pull_request")))
+    own = {"workspaceId": F.lit(workspace), "repositoryId": C("repository"), "kind": C("job")}
+    key = F.when(C("job") == "analyze_pull_request", hash_record(own | {"pullRequestNumber": whole(C("pull_request"))})).when(
+        C("job") == "index_generation", hash_record(own | {"ref": F.coalesce("ref", F.lit("unknown"))})
+    )
+    routed = events.withColumn("job", job)
+    return routed.select("event_id", "job", key.alias("supersession_key"), F.when(C("job").isNull(), "unsupported_webhook_event").alias("failure"))
 
 
 def running_budget(requests: DataFrame, lane: list[str], order: list[str], amount: str, limit: float) -> DataFrame:
-    """Usage of each lane so far and whether a request fits."""
-    w = Window.partitionBy(*lane).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(amount).over(w)
-    return requests.select(*lane, *order, amount, used.alias("used"), (used <= limit).alias("granted"))
+    """Usage of each lane so far, whether a request fits, and whether it is the lane's first that doesn't (A30,
+    W5). Amounts are summed in blocks of a lane's order before the window runs, so a lane of any length is
+    spread over tasks: the running sum within a block is added to that of the blocks before it."""
+    width = 1 << 16
+    block = F.floor(C(order[0]) / width)
+    rows = requests.select(*lane, *order, amount).withColumn("_block", block)
+    sums = rows.groupBy(*lane, "_block").agg(F.sum(amount).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*lane).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(*lane, "_block", F.coalesce(before, F.lit(0)).alias("_start"))
+    w = Window.partitionBy(*lane, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    used = (F.sum(amount).over(w) + C("_start")).alias("used")
+    run = rows.join(starts, [*lane, "_block"]).select(*lane, *order, amount, used)
+    first = run.where(C("used") > limit).groupBy(*lane).agg(F.min(F.struct(*order)).alias("_first"))
+    joined = run.join(first, lane, "left")
+    return joined.select(*lane, *order, amount, "used", (C("used") <= limit).alias("granted"), F.coalesce(F.struct(*order) == C("_first"), F.lit(False)).alias("exhausts"))
+
+
+#: What an execution's budget limits, in the order in which limits are looked at.
+DIMENSIONS = ["latency_ms", "provider_requests", "source_bytes", "storage_queries", "artifacts", "model_tokens"]
+
+
+def settle_budgets(log: DataFrame, limits: DataFrame) -> DataFrame:
+    """Usage of each run and dimension after its log(run_id, lane, step, kind, dimension, amount) of reservations
+    and releases, and what was exhausted (A30). A reservation that would exceed its limit takes nothing; a
+    release gives back. What a step may take depends on the steps before it, so the steps of a run and
+    dimension, which a budget bounds, are folded in order."""
+    steps = log.groupBy("run_id", "lane", "dimension").agg(F.array_sort(F.collect_list(F.struct("step", "kind", "amount"))).alias("steps")).join(limits, ["lane", "dimension"])
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("exhausted"))
+
+    def fold(acc: Column, s: Column) -> Column:
+        over = (s["kind"] == "reserve") & (acc["used"] + s["amount"] > C("limit"))
+        used = F.when(s["kind"] == "release", F.greatest(acc["used"] - s["amount"], F.lit(0).cast("long"))).when(over, acc["used"]).otherwise(acc["used"] + s["amount"])
+        return F.struct(used.alias("used"), (acc["exhausted"] | over).alias("exhausted"))
+
+    return steps.withColumn("end", F.aggregate("steps", zero, fold)).select("run_id", "lane", "dimension", "limit", "end.used", "end.exhausted")
 
 
 def breaker(attempts: DataFrame, key: list[str], order: list[str], threshold: int) -> DataFrame:
-    """Whether so many consecutive failures stand before each attempt (ST10): failures since the last
-    success, as a count within runs that successes separate."""
+    """Whether so many consecutive failures stand at each attempt (ST10): failures since the last success, as a
+    count within runs that successes separate."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = attempts.withColumn("_run", F.sum((~C("failed")).cast("int")).over(w))
     inside = Window.partitionBy(*key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -66,7 +110,45 @@ def breaker(attempts: DataFrame, key: list[str], order: list[str], threshold: in
     return streak.withColumn("open", C("streak") >= threshold).drop("_run")
 
 
+def breaker_with_cooldown(attempts: DataFrame, key: list[str], order: list[str], threshold: int, cooldown_ms: int) -> DataFrame:
+    """What becomes of each attempt(at_ms, outcome: ok, provider_failure or other) behind a breaker (ST10): while
+    it is open an attempt isn't made, and changes nothing; a failure of the provider that makes `threshold` in
+    a row, or follows on as many, opens it for the cooldown; a success closes it. A provider's attempts are a
+    sequence, folded in order."""
+    rest = [c for c in ("at_ms", "outcome") if c not in order]
+    listed = attempts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("xs"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("until"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        open_ = x["at_ms"] < acc["until"]
+        n = F.when(open_, acc["n"]).when(x["outcome"] == "provider_failure", acc["n"] + 1).when(x["outcome"] == "ok", 0).otherwise(acc["n"])
+        trips = ~open_ & (x["outcome"] == "provider_failure") & (n >= threshold)
+        until = F.when(trips, x["at_ms"] + cooldown_ms).when(~open_ & (x["outcome"] == "ok"), F.lit(0).cast("long")).otherwise(acc["until"])
+        said = F.when(open_, "circuit_open").when(trips, "opened").otherwise("tried")
+        return F.struct(n.alias("n"), until.alias("until"), F.concat(acc["out"], F.array(said)).alias("out"))
+
+    said = listed.withColumn("out", F.aggregate("xs", zero, step, lambda acc: acc["out"]))
+    each = said.select(*key, F.explode(F.arrays_zip("xs", "out")).alias("z"))
+    return each.select(*key, *(C(f"z.xs.{c}") for c in order), C("z.out").alias("result"))
+
+
 def revoke(disclosures: DataFrame, revisions: DataFrame) -> DataFrame:
     """Disclosures with those of revoked revisions marked (ST11, S17)."""
     gone = revisions.select("revision", F.lit(True).alias("revoked")).distinct()
     return disclosures.join(gone, "revision", "left").withColumn("revoked", F.coalesce("revoked", F.lit(False)))
+
+
+def append_numbers(held: DataFrame, incoming: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Numbers for rows to append to logs: each key's go on from its highest so far."""
+    top = held.groupBy(key).agg(F.max("sequence").alias("_top"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return incoming.withColumn("_n", n).join(top, key, "left").withColumn("sequence", F.coalesce("_top", F.lit(0)) + C("_n")).drop("_top", "_n")
+
+
+def kill_switch(deliveries: DataFrame, switches: DataFrame) -> DataFrame:
+    """Deliveries that wait are held while a switch for all or for their lane is on (ST11)."""
+    on = switches.where("engaged").select(C("lane").alias("_lane")).distinct()
+    every = F.broadcast(on.agg(F.coalesce(F.bool_or(C("_lane") == "*"), F.lit(False)).alias("_all")))
+    joined = deliveries.join(every).join(on, C("lane") == C("_lane"), "left")
+    held = (C("state") == "available") & (C("_all") | C("_lane").isNotNull())
+    return joined.withColumn("state", F.when(held, "held").otherwise(C("state"))).drop("_all", "_lane")

@@ -6,35 +6,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import contracts as c
+from ..operators import registry
 from ..sources.tables import relation
 
-#: The instant as of which the bound tables are analysed, and how long evidence stays fresh.
-AS_OF, TTL_DAYS = "2000-06-30", 3 * 365
+#: The instant as of which the bound tables are analysed, how long evidence stays fresh, the workspace, the
+#: revision of its registry, and the repository whose head is analysed.
+AS_OF, TTL_DAYS, WORKSPACE, REVISION, PRODUCER = "2000-06-30", 3 * 365, "wsp-1", "reg-7", 5
 
 
-def requests(uses: DataFrame) -> DataFrame:
-    return uses.where("alias is not null").select(F.col("reference_id").alias("request_id"), F.col("alias").alias("value"), F.col("last_observed").cast("date").alias("at"))
+def at():
+    return F.lit(AS_OF).cast("date")
 
 
 def changes(spark, sf_dir) -> DataFrame:
     return c.contract_diff(relation(spark, sf_dir, "definitions_base"), relation(spark, sf_dir, "definitions_head"))
 
 
-def joined(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Edges, one of each consumer and reference, and the diagnostics."""
-    uses = relation(spark, sf_dir, "uses")
-    resolved = c.resolve_aliases(requests(uses), relation(spark, sf_dir, "aliases"))
-    edges, problems = c.join_changed_contracts(changes(spark, sf_dir), uses, resolved)
-    return c.dedupe_edges(edges), problems
-
-
 def states(spark, sf_dir) -> DataFrame:
-    generations = relation(spark, sf_dir, "generations")
+    """Every consumer's selection, the producer's own head among them."""
     members = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("repository"))
     denied = members.where("repository % 41 = 0")
-    return c.consumer_states(members, c.select_generations(generations), F.lit(AS_OF).cast("date"), TTL_DAYS, denied)
+    others = members.where(F.col("repository") != PRODUCER)
+    own = members.where(F.col("repository") == PRODUCER).select("repository", F.lit(-1).cast("long").alias("generation_id"), F.lit("partial").alias("coverage_state"))
+    selections = c.select_generations(relation(spark, sf_dir, "generations"))
+    consumers = c.consumer_states(others, selections, relation(spark, sf_dir, "observations"), at(), TTL_DAYS, denied)
+    return consumers.unionByName(c.producer_state(own, denied))
+
+
+def requests(references: DataFrame) -> DataFrame:
+    """What the references that name a service ask the registry."""
+    return references.where("target_kind is not null").select(
+        F.col("reference_id").alias("request_id"), F.col("target_kind").alias("kind"), F.col("target_value").alias("value"), F.col("target_environment").alias("environment"),
+        F.col("target_path").alias("path"), at().alias("at"),
+    )
+
+
+def references(spark, sf_dir) -> DataFrame:
+    """References of the selected generations."""
+    return c.selected_references(relation(spark, sf_dir, "refs"), states(spark, sf_dir))
+
+
+def resolved(spark, sf_dir, refs: DataFrame) -> DataFrame:
+    return registry.resolve_aliases(requests(refs), relation(spark, sf_dir, "aliases"), relation(spark, sf_dir, "services"))
+
+
+def joined(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Edges, one of each key, consumer and reference, and the diagnostics."""
+    refs = references(spark, sf_dir)
+    known = resolved(spark, sf_dir, refs).withColumnRenamed("request_id", "reference_id")
+    changed = c.changed_definitions(changes(spark, sf_dir), relation(spark, sf_dir, "definitions"))
+    edges, problems = c.join_changed_contracts(changed, refs, known, WORKSPACE, REVISION)
+    return c.dedupe_edges(edges), problems
 
 
 def findings(spark, sf_dir) -> DataFrame:
     edges, _ = joined(spark, sf_dir)
-    return c.findings(edges, states(spark, sf_dir))
+    return c.findings(edges, states(spark, sf_dir), WORKSPACE)

@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import secret_reference
 from ..functions.identity import route_template
+from . import yaml_subset
 
 C = F.col
 
@@ -37,62 +39,200 @@ def _matches(text: Column, pattern: str, *groups: int) -> Column:
     return F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)))
 
 
+#: Methods that are contracts, and the names of routers.
+METHODS, ROUTERS = "delete|get|head|options|patch|post|put", "app|router|server|fastify|hono"
+_LITERAL = r"""('[^']*'|"[^"]*"|`(?:[^`\\]|\\.)*`)"""
+
+
+def _target(literal: Column) -> tuple[Column, Column]:
+    """Host and route of a quoted URL; no route where it is computed in a way that a template can't say."""
+    body, quote = F.substr(literal, F.lit(2), F.length(literal) - 2), F.substring(literal, 1, 1)
+    host = F.nullif(F.lower(F.regexp_extract(body, r"(?i)^https?://([^/${}]+)(?:/.*)?$", 1)), F.lit(""))
+    path = F.when(host.isNotNull(), F.regexp_replace(body, r"(?i)^https?://[^/]+", "")).otherwise(body)
+    path = F.when(host.isNotNull() & (path == ""), "/").otherwise(path)
+    named = F.regexp_replace(path, r"\$\{\s*[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\s*\}", "{param}")
+    template = F.when(quote == "`", named).otherwise(path)
+    return host, F.when((quote != "`") | ~F.contains(template, F.lit("${")), route_template(template))
+
+
 def http_contracts(files: DataFrame) -> DataFrame:
-    """Routes that files(path, text) serve and calls that they make."""
-    serve = _matches(C("text"), r"""\b(?:app|router|server|fastify)\.(get|post|put|patch|delete)\(\s*['"]([^'"]+)['"]""", 1, 2)
-    call = _matches(C("text"), r"""\b(?:axios|http|client|api)\.(get|post|put|patch|delete)\(\s*['"`]([^'"`]+)['"`]""", 1, 2)
-    fetch = F.transform(F.regexp_extract_all("text", F.lit(r"""\bfetch\(\s*['"`]([^'"`]+)['"`]"""), F.lit(1)), lambda u: F.struct(F.lit("get").alias("g0"), u.alias("g1")))
-    tagged = lambda role, found: F.transform(found, lambda m: F.struct(F.lit(role).alias("role"), F.upper(m["g0"]).alias("method"), m["g1"].alias("target")))
-    rows = files.select("path", F.explode(F.concat(tagged("definition", serve), tagged("reference", call), tagged("reference", fetch))).alias("m"))
-    target = F.regexp_replace(C("m.target"), r"^https?://[^/]+", "")
-    target = F.regexp_replace(target, r"\$\{[^}]+\}", "{param}")
-    return rows.select("path", "m.role", "m.method", route_template(F.when(target == "", "/").otherwise(target)).alias("route"))
-
-
-def configuration(files: DataFrame) -> DataFrame:
-    """Environment keys, feature flags and secret references; computed keys are limitations."""
-    kinds = {
-        "env": r"""(?:process\.env\.|process\.env\[['"]|os\.environ\[['"]|os\.getenv\(['"])([A-Z][A-Z0-9_]*)""",
-        "flag": r"""(?:isEnabled|featureFlag|variation)\(\s*['"]([A-Za-z0-9_.-]+)['"]""",
-        "secret": r"""(?:secretKeyRef|getSecret)\(\s*['"]([A-Za-z0-9_./-]+)['"]""",
-        "limitation": r"""(process\.env\[[^'"\]]+\])""",
+    """Routes that files(path, text) serve, calls that they make, and limitations (X6): role, method, host, route.
+    A route whose path is computed is a limitation, a call whose URL is computed has no route."""
+    text = C("text")
+    serve = _matches(text, rf"(?i)\b({ROUTERS})\.({METHODS})\s*\(\s*{_LITERAL}", 1, 2, 3)
+    axios = _matches(text, rf"(?i)\baxios\.({METHODS})\s*\(\s*{_LITERAL}", 1, 2)
+    client = _matches(text, rf"(?i)\b(?!(?:{ROUTERS}|axios)\.)([A-Za-z_$][\w$]*)\.({METHODS})\s*\(\s*{_LITERAL}", 1, 2, 3)
+    fetch = _matches(text, rf"(?i)\bfetch\s*\(\s*{_LITERAL}([\s\S]{{0,512}}?)\)", 1, 2)
+    chosen = lambda rest: F.regexp_extract(rest, r"""(?i)\bmethod\s*:\s*['"]([A-Za-z]+)['"]""", 1)
+    row = lambda role, method, url: F.struct(F.lit(role).alias("role"), F.upper(method).alias("method"), url.alias("url"))
+    named = lambda rest: F.when(~rest.rlike(r"\bmethod\s*:"), "GET").otherwise(F.nullif(chosen(rest), F.lit("")))
+    found = F.concat(
+        F.transform(serve, lambda m: row("definition", m["g1"], m["g2"])), F.transform(axios, lambda m: row("reference", m["g0"], m["g1"])),
+        F.transform(client, lambda m: row("reference", m["g1"], m["g2"])), F.transform(fetch, lambda m: row("reference", named(m["g1"]), m["g0"])),
+    )
+    rows = files.select("path", F.explode(found).alias("m")).select("path", "m.*")
+    host, route = _target(C("url"))
+    rows = rows.select("path", "role", "method", host.alias("host"), route.alias("route"))
+    computed = rf"(?i)\b(?:fetch|axios\.(?:{METHODS})|[A-Za-z_$][\w$]*\.(?:get|post|put|patch|delete))\s*\(\s*(?!['\"`])"
+    marks = {
+        "dynamic_url": text.rlike(computed), "proxy_rewrite_unsupported": text.rlike(r"(?i)\b(?:use|register)\s*\([^)]*(?:proxy|rewrite)"),
+        "mounted_router_prefix_unresolved": text.rlike(r"""(?i)\b(?:app|router)\.use\s*\(\s*['"`][^'"`]+['"`]\s*,"""), "runtime_route_registration": text.rlike(rf"(?i)\b(?:{ROUTERS})\.route\s*\("),
+    }
+    whole_file = files.select("path", F.explode(_marked(marks)).alias("limitation"))
+    bad = rows.select("path", F.when((C("role") == "definition") & (C("route").isNull() | C("host").isNotNull()), "dynamic_route_registration").when(C("method").isNull(), "dynamic_http_method").when(C("route").isNull(), "dynamic_url").alias("limitation"))
+    limits = whole_file.unionByName(bad.where("limitation is not null")).distinct()
+    good = rows.where("method is not null and (role = 'reference' or route is not null and host is null)")
+    nothing = F.lit(None).cast("string")
+    return good.unionByName(limits.select("path", F.lit("limitation").alias("role"), C("limitation").alias("method"), nothing.alias("host"), nothing.alias("route")))
+
+
+def _marked(marks: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in marks.items())))
+
+
+def configuration(files: DataFrame, salt: bytes = b"", namespace: str = "default") -> DataFrame:
+    """Configuration keys, feature flags and secret references that files(path, text) define or read, and
+    limitations for computed ones (X7): role, kind, key. A secret's name never comes out, only a keyed hash of
+    its provider and name."""
+    text, quoted = C("text"), r"""['"]([^'"]+)['"]"""
+    one = lambda role, kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda k: F.struct(F.lit(role).alias("role"), F.lit(kind).alias("kind"), F.lit("").alias("provider"), k.alias("key")))
+    two = lambda role, pattern: F.transform(_matches(text, pattern, 1, 2), lambda m: F.struct(F.lit(role).alias("role"), F.lit("secret_reference").alias("kind"), m["g0"].alias("provider"), m["g1"].alias("key")))
+    template = C("path").rlike(r"(?i)(?:^|/)\.env\.(?:example|sample|template)$")
+    declared = one("definition", "configuration_key", r"(?m)^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=")
+    managed = F.transform(F.regexp_extract_all(text, F.lit(rf"\bsecretManager\.getSecret\s*\(\s*{quoted}\s*\)"), F.lit(1)), lambda k: F.struct(F.lit("reference").alias("role"), F.lit("secret_reference").alias("kind"), F.lit("host_secret_manager").alias("provider"), k.alias("key")))
+    facts = F.concat(
+        F.when(template, declared).otherwise(F.slice(declared, 1, 0)),
+        one("definition", "configuration_key", rf"\bdefineConfigKey\s*\(\s*{quoted}\s*\)"), one("definition", "feature_flag", rf"\bdefineFeatureFlag\s*\(\s*{quoted}\s*\)"),
+        two("definition", rf"\bdefineSecretReference\s*\(\s*{quoted}\s*,\s*{quoted}\s*\)"),
+        one("reference", "configuration_key", r"\bprocess\.env\.([A-Za-z_]\w*)"), one("reference", "configuration_key", rf"\bprocess\.env\s*\[\s*{quoted}\s*\]"),
+        one("reference", "configuration_key", rf"\b(?:Deno\.env\.get|os\.getenv|getenv|config\.(?:get|require))\s*\(\s*{quoted}\s*\)"),
+        one("reference", "feature_flag", rf"\b(?:isFeatureEnabled|featureFlags\.(?:isEnabled|get)|flags\.(?:isEnabled|get|variation))\s*\(\s*{quoted}"),
+        two("reference", rf"\bsecrets\.get\s*\(\s*{quoted}\s*,\s*{quoted}\s*\)"), managed,
+    )
+    rows = files.select("path", F.explode(facts).alias("m")).select("path", "m.*")
+    hidden = secret_reference(salt, F.lit(namespace), C("provider"), C("key"))
+    known = rows.select("path", "role", "kind", F.when(C("kind") == "secret_reference", hidden).otherwise(C("key")).alias("key")).distinct()
+    marks = {
+        "computed_configuration_key": text.rlike(r"""\bprocess\.env\s*\[(?!\s*['"])""") | text.rlike(r"""\b(?:config\.(?:get|require)|flags\.(?:get|isEnabled|variation)|featureFlags\.(?:get|isEnabled))\s*\(\s*(?!['"])"""),
+        "computed_secret_reference": text.rlike(r"""\b(?:secrets\.get|secretManager\.getSecret)\s*\(\s*(?!['"])"""),
     }
-    found = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _tag(k)) for k, p in kinds.items()))
-    rows = files.select("path", F.explode(found).alias("m")).select("path", "m.kind", "m.key").distinct()
-    return rows.withColumn("key", F.when(C("kind") == "secret", F.sha2("key", 256)).otherwise(C("key")))
+    limits = files.select("path", F.explode(_marked(marks)).alias("key"))
+    return known.unionByName(limits.select("path", F.lit("limitation").alias("role"), F.lit("limitation").alias("kind"), "key"))
 
 
-def _tag(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key"))
+#: The eight forms of literal event bindings, by provider, role and kind of destination. Of a match
+#: the last group names the destination, those before it region and account.
+_WITHIN = r"[\s\S]{0,512}?"
+_SQS = r"""\s*\(\s*\{""" + _WITHIN + r"""\bQueueUrl\s*:\s*['"]https://sqs\.([a-z0-9-]+)\.amazonaws\.com/([0-9]+)/([^'"/?\n]+)['"]"""
+_SNS = r"""\s*\(\s*\{""" + _WITHIN + r"""\bTopicArn\s*:\s*['"]arn:aws:sns:([a-z0-9-]+):([0-9]+):([^'"\n]+)['"]"""
+_KAFKA = r"""\s*\(\s*\{""" + _WITHIN + r"""()()\btopic\s*:\s*['"]([^'"\n]+)['"]"""
+_TOPIC = r"""()()\.topic\s*\(\s*['"]([^'"\n]+)['"]\s*\)\s*"""
+EVENT_FORMS = {
+    ("kafka", "producer", "topic"): r"\.send" + _KAFKA, ("kafka", "consumer", "topic"): r"\.subscribe" + _KAFKA,
+    ("aws_sqs", "producer", "queue"): "SendMessageCommand" + _SQS, ("aws_sqs", "consumer", "queue"): "ReceiveMessageCommand" + _SQS,
+    ("aws_sns", "producer", "topic"): "PublishCommand" + _SNS, ("aws_sns", "consumer", "topic"): "SubscribeCommand" + _SNS,
+    ("gcp_pubsub", "producer", "topic"): _TOPIC + r"\.publishMessage\s*\(", ("gcp_pubsub", "consumer", "topic"): _TOPIC + r"\.subscription\s*\(",
+}
 
 
 def event_destinations(files: DataFrame) -> DataFrame:
-    """Topics and queues that files publish to or consume from."""
-    kinds = {
-        ("kafka", "definition"): r"""\.(?:send|produce)\(\s*\{?\s*(?:topic\s*:\s*)?['"]([A-Za-z0-9._-]+)['"]""",
-        ("kafka", "reference"): r"""\.(?:subscribe|consume)\(\s*\{?\s*(?:topic\s*:\s*)?['"]([A-Za-z0-9._-]+)['"]""",
-        ("queue", "definition"): r"""sendMessage\(\s*\{?\s*(?:QueueUrl\s*:\s*)?['"]([^'"]+)['"]""",
-        ("queue", "reference"): r"""receiveMessage\(\s*\{?\s*(?:QueueUrl\s*:\s*)?['"]([^'"]+)['"]""",
-        ("topic", "definition"): r"""\.publish\(\s*\{?\s*(?:TopicArn\s*:\s*)?['"]([^'"]+)['"]""",
-    }
+    """Topics and queues that files(path, text) publish to or consume from (X4), with the broker's namespace where
+    the text says it."""
+
+    def tag(provider: str, role: str, kind: str):
+        return lambda m: F.struct(
+            F.lit(provider).alias("provider"), F.lit(role).alias("role"), F.lit(kind).alias("kind"),
+            F.when(m["g0"] != "", F.concat(F.lit("aws:"), m["g0"], F.lit(":"), m["g1"])).alias("namespace"), m["g2"].alias("destination"),
+        )
+
+    found = F.concat(*(F.transform(_matches(C("text"), p, 1, 2, 3), tag(*k)) for k, p in EVENT_FORMS.items()))
+    return files.select("path", F.explode(found).alias("m")).select("path", "m.*").where(F.length("destination").between(1, 512)).distinct()
+
+
+#: Keys of a payload's schema that say what it is.
+_SCHEMA_KEYS = {"$ref", "type", "format", "properties", "required", "items", "additionalProperties", "enum", "oneOf", "anyOf", "allOf"}
+
 
-    def tag(system: str, role: str):
-        return lambda x: F.struct(F.lit(system).alias("system"), F.lit(role).alias("role"), F.regexp_extract(x, r"([^/:]+)$", 1).alias("name"))
+def event_manifests(files: DataFrame, schema: str = "events") -> DataFrame:
+    """Bindings of event manifests in JSON or YAML, with the payload's schema in canonical form."""
 
-    found = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), tag(*k)) for k, p in kinds.items()))
-    return files.select("path", F.explode(found).alias("m")).select("path", "m.*").distinct()
+    def normal(value):
+        if isinstance(value, dict):
+            return {k: ({n: normal(p) for n, p in sorted(v.items())} if k == "properties" else normal(v)) for k, v in sorted(value.items()) if k in _SCHEMA_KEYS}
+        return [normal(x) for x in value] if isinstance(value, list) else value
+
+    def parse(text: str) -> list:
+        doc, out = yaml_subset.load(text), []
+        if not isinstance(doc, dict) or doc.get("schema") != schema:
+            return []
+        for b in doc["bindings"]:
+            if ("destination" in b) == ("destinationExpression" in b):
+                raise ValueError("a destination is a literal or an expression")
+            kind = b.get("destinationKind") or ("queue" if b["provider"] == "aws_sqs" else "subscription" if b["provider"] == "gcp_pubsub" and b["role"] == "consumer" else "topic")
+            shape = json.dumps(normal((b.get("payloadSchema") or {}).get("schema")), sort_keys=True, separators=(",", ":"))
+            out.append((b["role"], f"{b['provider']}:{kind}:{b.get('destination') or '?'}", shape))
+        return out
+
+    return _per_file(files, parse, "path string, kind string, name string, detail string")
+
+
+_IDENTIFIER = r"[A-Za-z_$][\w$]*"
 
 
 def module_symbols(files: DataFrame) -> DataFrame:
-    """Exported names and imports of modules, by a bounded set of forms rather than a grammar."""
-    exports = F.regexp_extract_all("text", F.lit(r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|interface|type|enum)\s+([A-Za-z_$][\w$]*)"), F.lit(1))
-    listed = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\bexport\s*\{([^}]*)\}"), F.lit(1)), lambda s: F.transform(F.split(s, ","), lambda n: F.regexp_extract(n, r"(?:.*\bas\s+)?\s*([A-Za-z_$][\w$]*)\s*$", 1))))
-    imports = F.regexp_extract_all("text", F.lit(r"""(?:\bfrom|\bimport\(|\brequire\(|\bimport)\s*['"]([^'"]+)['"]"""), F.lit(1))
-    tagged = lambda role, names: F.transform(names, lambda n: F.struct(F.lit(role).alias("role"), n.alias("name")))
-    found = F.concat(tagged("export", exports), tagged("export", listed), tagged("import", imports))
+    """Exported names, re-exports and imports of modules, by a bounded set of forms rather than a grammar (X1):
+    role, name, source (of a re-export or import) and imported, the name there (`*` for all)."""
+    text = C("text")
+    own = _matches(text, rf"\bexport\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|const|let|var|interface|type|enum|namespace)\s+({_IDENTIFIER})", 1, 2)
+    default = F.regexp_extract_all(text, F.lit(r"\bexport\s+(default)\b"), F.lit(1))
+    stars = F.regexp_extract_all(text, F.lit(r"""\bexport\s*\*\s*from\s*['"]([^'"]+)['"]"""), F.lit(1))
+    lists = _matches(text, r"""\bexport\s+(?:type\s+)?\{([^}]*)\}(?:\s*from\s*['"]([^'"]+)['"])?""", 1, 2)
+    brought = F.regexp_extract_all(text, F.lit(r"""(?:\bfrom|\bimport\(|\brequire\(|\bimport)\s*['"]([^'"]+)['"]"""), F.lit(1))
+    none = F.lit(None).cast("string")
+    row = lambda role, name, source=none, imported=none: F.struct(F.lit(role).alias("role"), name.alias("name"), source.alias("source"), imported.alias("imported"))
+    pairs = lambda m: F.transform(F.filter(F.transform(F.split(m["g0"], ","), lambda x: F.trim(x)), lambda n: n != ""), lambda n: F.struct(n.alias("n"), m["g1"].alias("from")))
+    each = F.flatten(F.transform(lists, pairs))
+    outer = lambda n: F.regexp_extract(n, rf"({_IDENTIFIER})\s*$", 1)
+    inner = lambda n: F.regexp_extract(n, rf"^(?:type\s+)?({_IDENTIFIER})", 1)
+    found = F.concat(
+        F.transform(own, lambda m: row("export", m["g1"])), F.transform(default, lambda n: row("export", n)), F.transform(stars, lambda s: row("reexport", F.lit("*"), s, F.lit("*"))),
+        F.transform(F.filter(each, lambda p: p["from"] == ""), lambda p: row("export", outer(p["n"]))),
+        F.transform(F.filter(each, lambda p: p["from"] != ""), lambda p: row("reexport", outer(p["n"]), p["from"], inner(p["n"]))), F.transform(brought, lambda s: row("import", s, s)),
+    )
     return files.select("path", F.explode(found).alias("m")).select("path", "m.*").where("name <> ''").distinct()
 
 
+def reexported_symbols(symbols: DataFrame, targets: DataFrame) -> DataFrame:
+    """What each module exports, its own names and those through re-exports (G3): symbols as module_symbols()
+    gives them, targets(path, source, target) where a source leads. Names travel from module to module, a
+    round for each step, only new ones further, until a round brings none; cycles bring none. A star brings
+    all names but `default`. Rows say where a name is declared and how far that is."""
+    from itertools import count
+
+    from .tables import shared_dir
+
+    shared_dir(symbols.sparkSession)
+    links = symbols.where("role = 'reexport'").join(targets, ["path", "source"]).select("path", "target", "name", "imported").checkpoint()
+    out = symbols.where("role = 'export'").select("path", "name", C("path").alias("declared_in"), C("name").alias("declared_as"), F.lit(0).alias("steps")).distinct().checkpoint()
+    fresh = out
+    for step in count(1):
+        arriving = fresh.select(C("path").alias("target"), C("name").alias("_name"), "declared_in", "declared_as").join(links, "target")
+        star = C("imported") == "*"
+        arriving = arriving.where(star & (C("_name") != "default") | (C("imported") == C("_name")))
+        arriving = arriving.select("path", F.when(star, C("_name")).otherwise(C("name")).alias("name"), "declared_in", "declared_as").distinct()
+        fresh = arriving.join(out, ["path", "name", "declared_in", "declared_as"], "left_anti").withColumn("steps", F.lit(step)).checkpoint()
+        if fresh.isEmpty():
+            return out
+        out = out.unionByName(fresh)
+        if step % 16 == 0:
+            out = out.checkpoint()
+
+
+def overloads(symbols: DataFrame) -> DataFrame:
+    """Declarations of one module, space and name as one symbol with its signatures in order."""
+    return symbols.groupBy("path", "space", "name").agg(F.array_sort(F.collect_list("signature")).alias("overloads"))
+
+
 _METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 
 
@@ -113,18 +253,31 @@ def _per_file(files: DataFrame, parse, schema: str) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, schema)
 
 
+def sql_references(files: DataFrame) -> DataFrame:
+    """Tables that SQL in files(path, text) reads or writes, and models that a client's calls name."""
+    name = r"""["`]?([A-Za-z_][\w.]*)["`]?"""
+    read = F.regexp_extract_all("text", F.lit(rf"(?i)\b(?:from|join)\s+{name}"), F.lit(1))
+    write = F.regexp_extract_all("text", F.lit(rf"(?i)\b(?:insert\s+into|update|delete\s+from)\s+{name}"), F.lit(1))
+    model = F.regexp_extract_all("text", F.lit(r"\bprisma\.([a-z]\w*)\.(?:find|create|update|delete|upsert|count|aggregate|groupBy)\w*\s*\("), F.lit(1))
+    tagged = lambda role, found: F.transform(found, lambda n: F.struct(F.lit(role).alias("role"), F.lower(n).alias("name")))
+    rows = files.select("path", F.explode(F.concat(tagged("reads", read), tagged("writes", write), tagged("model", model))).alias("m"))
+    return rows.select("path", "m.*").distinct()
+
+
 def api_operations(files: DataFrame) -> DataFrame:
-    """Operations of API descriptions in JSON: by id, else by method and template; local references within
-    parameters are followed with a guard against cycles (X2, F11, F21)."""
+    """Operations of API descriptions in JSON or YAML: by id, else by method and template; local references
+    within parameters are followed with a guard against cycles (X2, F11, F21)."""
 
     def parse(text: str) -> list:
-        doc, out = json.loads(text), []
+        doc, out = yaml_subset.load(text), []
         for path, item in sorted((doc.get("paths") or {}).items()):
+            item = resolve_pointer(doc, item)
+            shared = item.get("parameters", [])
             for method in _METHODS:
                 if method in item:
                     op = item[method]
                     template = re.sub(r"\{[^}]*\}", "{}", path)
-                    params = sorted(p.get("name", "") for p in (resolve_pointer(doc, p) for p in op.get("parameters", [])) if p.get("required"))
+                    params = sorted(p.get("name", "") for p in (resolve_pointer(doc, p) for p in [*shared, *op.get("parameters", [])]) if p.get("required"))
                     out.append(("operation", op.get("operationId") or f"{method.upper()} {template}", ",".join(params)))
         return out
 
@@ -165,19 +318,89 @@ def message_schemas(files: DataFrame) -> DataFrame:
     return _per_file(files, parse, "path string, kind string, name string, detail string")
 
 
-def infrastructure(files: DataFrame) -> DataFrame:
-    """Kubernetes-style objects in JSON and outputs of declarative modules (X8); other forms are limitations."""
+#: Kinds of objects that run workloads.
+WORKLOADS = ("Deployment", "StatefulSet", "DaemonSet")
+
+
+def _objects(doc) -> list[dict]:
+    if isinstance(doc, list):
+        return [d for x in doc for d in _objects(x)]
+    return [d for x in doc["items"] for d in _objects(x)] if isinstance(doc, dict) and "items" in doc and "kind" not in doc else [doc] if isinstance(doc, dict) else []
+
+
+def _cluster_facts(doc: dict) -> list:
+    """Services with their endpoints, ingresses as references to these, workloads with their containers."""
+    kind, spec = doc.get("kind"), doc.get("spec") or {}
+    name = (doc.get("metadata") or {}).get("name")
+    if name is None:
+        return []
+    if kind == "Service":
+        return [("service", name, "")] + [("endpoint", name, f"{p['port']}/{p.get('protocol', 'TCP')}") for p in spec.get("ports") or [] if "port" in p]
+    if kind == "Ingress":
+        out = []
+        for rule in spec.get("rules") or []:
+            for path in ((rule.get("http") or {}).get("paths")) or []:
+                service = (path.get("backend") or {}).get("service") or {}
+                port = service.get("port") or {}
+                out += [("service_reference", service["name"], "")] if "name" in service else []
+                out += [("endpoint_reference", service["name"], f"{port.get('number', port.get('name'))}/TCP")] if port else []
+        return out
+    if kind in WORKLOADS:
+        containers = ((spec.get("template") or {}).get("spec") or {}).get("containers") or []
+        return [("workload", f"{kind.lower()}/{name}", "")] + [("container", f"{name}/{c['name']}", "") for c in containers]
+    return []
+
+
+def render_chart(text: str, values: dict) -> tuple[str, bool]:
+    """A chart's template with plain values put in, and whether anything else is left to compute."""
+    left = False
+
+    def put(m: re.Match) -> str:
+        nonlocal left
+        name = re.fullmatch(r"\.Values\.([\w.-]+)", m[1].strip())
+        value = values.get(name[1]) if name else None
+        left = left or not isinstance(value, (str, int, float, bool))
+        return str(value)
+
+    return re.sub(r"\{\{-?\s*([^{}]+?)\s*-?\}\}", put, text), left
+
+
+def infrastructure(files: DataFrame, values: dict | None = None) -> DataFrame:
+    """Services, endpoints, workloads, containers and references of cluster manifests in YAML or JSON, of charts
+    whose values are plain, and services, outputs and remote state of declarative modules (X8). A file that
+    none of these forms explains is a limitation row."""
 
     def parse(text: str) -> list:
-        if text.lstrip().startswith(("{", "[")):
-            doc = json.loads(text)
-            items = doc if isinstance(doc, list) else doc.get("items", [doc])
-            return [(d["kind"].lower(), d["metadata"]["name"], ",".join(sorted(str(p.get("port")) for p in (d.get("spec") or {}).get("ports", [])))) for d in items]
-        return [("output", n, "") for n in re.findall(r'^\s*output\s+"([^"]+)"', text, re.M)] + [("remote_state", n, "") for n in re.findall(r'data\s+"terraform_remote_state"\s+"([^"]+)"', text)]
+        if "{{" in text:
+            text, left = render_chart(text, values or {})
+            if left:
+                return [("limitation", "helm_template_unresolved", "")]
+        if re.search(r"(?m)^\s*(?:resource|output)\s+\"", text) or "data.terraform_remote_state." in text:
+            return _module_facts(text)
+        docs = [json.loads(text)] if text.lstrip()[:1] in "{[" else yaml_subset.documents(text)
+        out = [f for d in docs for o in _objects(d) for f in _cluster_facts(o)]
+        return out or ([("limitation", "infrastructure_syntax_unresolved", "")] if text.strip() else [])
 
     return _per_file(files, parse, "path string, kind string, name string, detail string")
 
 
+def _module_facts(text: str) -> list:
+    out = []
+    for m in re.finditer(r'\bresource\s+"kubernetes_service"\s+"([\w-]+)"\s*\{', text):
+        depth, at = 1, m.end()
+        for token in re.compile(r'"(?:[^"\\]|\\.)*"|[{}]').finditer(text, m.end()):
+            depth += (token[0] == "{") - (token[0] == "}")
+            at = token.end()
+            if not depth:
+                break
+        body = text[m.end() : at]
+        literal = re.search(r'\bname\s*=\s*"([^"]+)"', body)
+        name = literal[1] if literal else m[1]
+        out += [("service", name, ""), *(("endpoint", name, f"{p}/TCP") for p in re.findall(r"\bport\s*=\s*(\d+)", body))]
+    out += [("output", n, "") for n in re.findall(r'\boutput\s+"([\w-]+)"\s*\{', text)]
+    return out + [("output_reference", n, alias) for alias, n in re.findall(r"\bdata\.terraform_remote_state\.([\w-]+)\.outputs\.([\w-]+)", text)]
+
+
 def split_statements(text: str) -> list[str]:
     """SQL statements of a script: comments masked, quotes and dollar quotes respected."""
     out, start, i = [], 0, 0
