@@ -155,28 +155,34 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     held = mentions.select("key", F.explode("entities").alias("entity"))
     entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
     entities = materialise(entities, "pii-entities")
-    candidates = mentions.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("term")
-    candidates = materialise(candidates, "pii-candidates")
     total = float(max(found.count(), 1))
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    terms = words.join(small(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     # n_both is n_entity at most, so a term in more documents than this reveals too little of the entity.
     most = lambda n: F.lit(total ** (1 - GENERALISE) * (1 + 1e-9)) * F.pow(n, F.lit(GENERALISE))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    # Documents with entities come first: a term is in as many documents at least as in these, and only the terms
+    # that may reveal an entity by that count are counted over the corpus.
     widest = F.broadcast(entities.agg(F.max("n_entity").alias("widest")))
-    terms = materialise(terms.join(widest).where(F.col("n_term") <= most(F.col("widest"))).drop("widest"), "pii-terms")
-    met = mentions.select("key", F.explode("terms").alias("term")).join(small(terms), "term")
-    met = met.join(held.join(small(entities), "entity"), "key").where(F.col("n_term") <= most(F.col("n_entity")))
-    met = materialise(met.select("key", "entity", "term", "n_entity", "n_term"), "pii-pairs")
-    judged = met.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    seen = mentions.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_seen")).where(F.col("n_seen") >= SUPPORT)
+    seen = materialise(seen.join(widest).where(F.col("n_seen") <= most(F.col("widest"))).drop("widest"), "pii-seen")
+    met = mentions.select("key", F.explode("terms").alias("term")).join(small(seen), "term")
+    met = met.join(held.join(small(entities), "entity"), "key").where(F.col("n_seen") <= most(F.col("n_entity")))
+    met = materialise(met.select("key", "entity", "term", "n_entity", "n_seen"), "pii-pairs")
+    both = met.groupBy("entity", "term", "n_entity", "n_seen").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     information = F.log2(F.lit(total) / F.col("n_entity"))
-    pmi = F.log2(F.lit(total) * F.col("n_both") / F.col("n_entity") / F.col("n_term"))
-    judged = judged.select("entity", "term", F.when(information > 0, pmi / information).otherwise(0.0).alias("share"))
-    judged = judged.where(F.col("share") >= GENERALISE)
+    pmi = lambda n: F.log2(F.lit(total) * F.col("n_both") / F.col("n_entity") / F.col(n))
+    share = lambda n: F.when(information > 0, pmi(n) / information).otherwise(0.0)
+    both = materialise(both.where(share("n_seen") >= GENERALISE * (1 - 1e-9)), "pii-both")
+    wanted = materialise(both.select("term").distinct(), "pii-wanted")
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    counted = lambda df: df.groupBy("term").agg(F.count("*").alias("n_term"))
+    # Few terms meet the words where these lie; many meet them once the words are counted, never word by word.
+    terms = counted(words.join(F.broadcast(wanted), "term", "left_semi")) if wanted.count() <= BROADCAST_TERMS else counted(words).join(wanted, "term", "left_semi")
+    terms = materialise(terms, "pii-terms")
+    judged = both.join(small(terms), "term").select("entity", "term", share("n_term").alias("share")).where(F.col("share") >= GENERALISE)
     # A document's terms only: bounded by the document, and once where two entities share a word.
     of = met.select("key", "entity", "term").join(judged, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
     of = materialise(of.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "pii-shares")
-    discard(mentions, entities, candidates, terms, met)
+    discard(mentions, entities, seen, met, both, wanted, terms)
     return of
 
 

@@ -45,6 +45,42 @@ def test_pii_terms_are_judged_and_removed_all_over_the_document(spark):
     assert "orblax" not in clean[1] and "Quuxly" not in clean[1] and clean[10] == texts[10]
 
 
+def test_pii_added_terms_equal_brute_force(spark):
+    """Shares recomputed over all documents in plain Python, for entities and terms of many frequencies."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    r = random.Random(9)
+    names = [f"name{c}" for c in "abcdefghijkl"]
+    rows = []
+    for i in range(160):
+        words = [r.choice(names[: 3 + i % 9]) for _ in range(r.randint(1, 6))] + [f"filler{r.choice('xyzuvw')}"] * r.randint(0, 2)
+        if i % 4 == 0:
+            who = r.randint(0, 5)
+            words += [f"user{who}@x.org", f"alias{'abcdef'[who]}"] + ([f"1.2.3.{who}"] if who % 2 else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+    held, df, seen = {}, Counter(), {}
+    for i, t in rows:
+        found = {("email", m.lower()) for m in re.findall(r"[a-z0-9]+@[a-z.]+", t)} | {("ip", m) for m in re.findall(r"\b\d+\.\d+\.\d+\.\d+\b", t)}
+        df.update({w for w in re.split("[^a-zA-Z]+", t.lower())})
+        if found:
+            held[i] = found
+            seen[i] = {w.lower() for w in re.findall(r"(?<![\w.@])[a-z]+(?![\w@.])", re.sub(r"\S*[@\d]\S*", lambda m: "@" * len(m[0]) if "@" in m[0] or m[0].count(".") == 3 else m[0], t)) if len(w) >= 3}
+    ne = Counter(e for es in held.values() for e in es)
+    nb = Counter((e, w) for i, es in held.items() for e in es for w in seen[i])
+    n, share = len(rows), defaultdict(float)
+    for (e, w), k in nb.items():
+        if k >= 2 and ne[e] >= 2:
+            share[e, w] = math.log2(n * k / ne[e] / df[w]) / math.log2(n / ne[e])
+    want = {(i, w) for i, es in held.items() for w in seen[i] if max(share[e, w] for e in es) >= 0.7}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {(x.doc_id, text[x.doc_id][int(a) : int(b)].lower()) for x in pii.digest(docs).collect() for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k in ("generalise", "remove")}
+    assert got == want and 10 < len(want)
+
+
 def test_random_values_after_a_name_are_found(spark):
     r = random.Random(5)
     symbols = secrets.ALPHABETS["base64"][:62]
