@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -94,7 +96,7 @@ def labelled_sample(
     return out
 
 
-def slices(texts: pa.Array, most: int = 8 << 20):
+def slices(texts: pa.Array, most: int = 4 << 20):
     """Slices (start, rows) of an array of texts of about `most` bytes each, one text at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     start = 0
@@ -166,6 +168,34 @@ class VectorMemo(dict):
 _KEPT: dict = {}
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the machine: workers wait for their next task, and on an
+    executor what they hold meanwhile is missing elsewhere."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def trimmed(made):
+    """A function over Arrow batches that leaves no free memory behind when its task ends."""
+
+    def run(batches):
+        try:
+            yield from made(batches)
+        finally:
+            release()
+
+    return run
+
+
+def forget() -> None:
+    """Drop what an earlier operator left in this worker process."""
+    _KEPT.clear()
+
+
 def per_worker(token: str, make):
     """make(), once per worker process for a token; only the latest token's value is kept."""
     if token not in _KEPT:

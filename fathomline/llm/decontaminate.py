@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, per_worker
+from .common import materialise, per_worker, trimmed
 
 #: Words in a window.
 WIDTH = 10
@@ -211,7 +211,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, keep: tuple = ("doc_id
                 made = (pa.array(n, pa.int64()), pa.array(words, pa.list_(_SPAN)), pa.array(ids, pa.list_(pa.int64())), pa.array(chars, pa.list_(_SPAN)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["row", "text", *(c for c, _ in _FOUND)])
 
-        out = out.mapInArrow(scanned, schema)
+        out = out.mapInArrow(trimmed(scanned), schema)
         if k + 1 < parts:
             out = materialise(out, "decontaminate")
     return out

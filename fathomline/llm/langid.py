@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VectorMemo, labelled_sample, per_worker, residue, stretches
+from .common import VectorMemo, labelled_sample, per_worker, release, residue, stretches, trimmed
 
 #: Documents of each language learned from at most; a language is a value of `lang`, so there are few.
 ROWS = 500
@@ -107,7 +107,9 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     """From a bounded sample, of each language, of the documents with one that are not held out."""
-    return Model(labelled_sample(docs, docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", 4, 2, ROWS, each=True))
+    model = Model(labelled_sample(docs, docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", 4, 2, ROWS, each=True))
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -125,4 +127,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (residue("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(scored), "doc_id long, held_out boolean, lang_pred string, score double")

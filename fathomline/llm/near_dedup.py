@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_spread, materialise, stretches
+from .common import discard, forget, join_spread, materialise, release, stretches, trimmed
 
 #: Words of a shingle, threshold in percent, least bands and most MinHash samples of each, bits of the odd sketch.
 WORDS, PERCENT, BANDS, BAND, BITS = 3, 85, 25, 5, 512
@@ -49,7 +49,7 @@ PAIRS_PER_NODE, BLOCK, ITEMS, RARE = 2, 4096, 4_000_000, 24
 #: beyond, the filter lets more documents pass, and the join after it still takes what is wanted alone.
 FILTER_BITS, FILTER_MOST = 16, 1 << 28
 #: Items whose samples are taken together.
-_CHUNK = 1 << 14
+_CHUNK = 1 << 12
 _WHITE = re.compile(r"[\x20\x09-\x0D]")
 
 _SAMPLES = BANDS * BAND
@@ -126,10 +126,11 @@ def signatures(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> D
     """doc_id, text_hash, n_shingles, node (128-bit fingerprint of the set; null for none), bands, sketch."""
 
     def made(batches):
+        forget()
         for b in batches:
             n, nodes, bands, sketches = [], [], [], []
-            for text in b.column(2).to_pylist():
-                s = shingles(text, width)
+            for text in b.column(2):
+                s = shingles(text.as_py(), width)
                 keys, sketch = signature(s, percent) if len(s) else (None, None)
                 n.append(len(s))
                 nodes.append(_fingerprint(s) if len(s) else None)
@@ -140,7 +141,7 @@ def signatures(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> D
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(made, "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(trimmed(made), "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, sketch binary")
 
 
 _PAIR = "a binary, b binary, key long"
@@ -211,7 +212,7 @@ def _propose(tiles: DataFrame, stars: bool, percent: int) -> DataFrame:
             a, b, k = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(k, pa.int64())], names=["a", "b", "key"])
 
-    return order.mapInArrow(scanned, _PAIR).distinct()
+    return order.mapInArrow(trimmed(scanned), _PAIR).distinct()
 
 
 def _star_tiles(members: DataFrame) -> DataFrame:
@@ -312,7 +313,7 @@ def _compare_blocks(docs: DataFrame, asked: DataFrame, nodes: DataFrame, width:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     rows = dealt.join(sets, "node").select("pair", "node", "items")
-    out = materialise(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(compared, "a binary, b binary").distinct(), "dedup-links")
+    out = materialise(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(trimmed(compared), "a binary, b binary").distinct(), "dedup-links")
     discard(asked, wanted, sets)
     return out
 
@@ -328,9 +329,11 @@ def _wanted(ids: DataFrame) -> bytes:
             bits = np.bitwise_or.reduceat(np.int64(1) << (places & 31), at) if len(places) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(starts), pa.array(bits)], names=["word", "bits"])
 
-    rows = ids.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = ids.mapInArrow(trimmed(words), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(size // 32, np.uint32)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    del rows
+    release()
     return out.tobytes()
 
 
@@ -359,13 +362,14 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             )
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(made, "print binary, items array<long>").dropDuplicates(["print"]).join(nodes.select("print", "node"), "print").select("node", "items")
+    return rows.mapInArrow(trimmed(made), "print binary, items array<long>").dropDuplicates(["print"]).join(nodes.select("print", "node"), "print").select("node", "items")
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets are as similar as asked."""
     asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dedup-asked")
     sets = materialise(_full_sets(docs, asked, width), "dedup-sets")
+    release()
     one, two = sets.select(F.col("node").alias("a"), F.col("items").alias("s")), sets.select(F.col("node").alias("b"), F.col("items").alias("t"))
     both = F.size(F.array_intersect("s", "t")).cast("long")
     union = F.size("s").cast("long") + F.size("t") - both

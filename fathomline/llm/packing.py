@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import forget, materialise, slices, trimmed
 from .tokens import encoder
 
 #: Tokens of a sequence, the id that ends a document, items dealt to one group, groups joined in a round.
@@ -44,6 +44,7 @@ def tokenised_pieces(docs: DataFrame, path: str, word_ends: bool = False, end_id
     end = np.array([end_id], "<u4").tobytes()
 
     def made(batches):
+        forget()
         known = encoder(path, word_ends)
         for b in batches:
             for first, rows in slices(b.column(1)):
@@ -56,7 +57,7 @@ def tokenised_pieces(docs: DataFrame, path: str, word_ends: bool = False, end_id
                         out.append((doc_id, k, start, n, zlib.crc32(data[4 * start : 4 * (start + n)])))
                 yield _batch(pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(made), PIECES)
 
 
 def _batch(frame: pd.DataFrame) -> pa.RecordBatch:

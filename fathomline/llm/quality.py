@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VectorMemo, labelled_sample, per_worker, residue, stretches
+from .common import VectorMemo, labelled_sample, per_worker, release, residue, stretches, trimmed
 
 #: Dimensions of a vector, non-zeros of an index vector, tokens of context on either side, hidden units.
 DIMENSIONS, SEEDS, CONTEXT, HIDDEN = 64, 6, 2, 24
@@ -163,7 +163,9 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """From a bounded sample of the labelled documents that are not held out."""
-    return Model(labelled_sample(docs, labels, "quality"))
+    model = Model(labelled_sample(docs, labels, "quality"))
+    release()
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -180,4 +182,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: Model | None = None
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (residue("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(scored), "doc_id long, held_out boolean, score double, predicted int")

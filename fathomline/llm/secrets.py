@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trimmed
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: Where an assignment may begin, by its first letters: cheap to look for.
@@ -246,7 +246,7 @@ def scan_runs(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = "array<struct<start:long,end:long,kind:string,bin:int>>"
-    return rows.mapInArrow(scanned, f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base {listed}, runs {listed}, tested long, weights double")
+    return rows.mapInArrow(trimmed(scanned), f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base {listed}, runs {listed}, tested long, weights double")
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ class Encoder:
     that drops white space and case and marks the ends of words. Of two generations of up to `limit` chunks
     in the memo the older is forgotten when the younger is full, so what is frequent stays."""
 
-    def __init__(self, path: str, word_ends: bool, limit: int = 250_000):
+    def __init__(self, path: str, word_ends: bool, limit: int = 150_000):
         self.path, self.word_ends, self.limit, self.library = path, word_ends, limit, None
         ranks = _ranks(path, "</w>" if word_ends else "")
         with open(path, encoding="utf-8") as f:

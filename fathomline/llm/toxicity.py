@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, per_worker, residue, slices, stretches
+from .common import labelled_sample, per_worker, release, residue, slices, stretches, trimmed
 
 #: Stem lengths, false discovery rate and least purity of word labels, words of a training segment, score that rejects.
 STEMS, DISCOVERY, PURITY, SEGMENT, THRESHOLD = (4, 5, 6), 0.001, 0.9, 32, 0.5
@@ -142,7 +142,7 @@ def _pair_counts(emission: np.ndarray, jump: np.ndarray) -> np.ndarray:
 class Emissions(dict):
     """Chunk to emission, a bounded memo."""
 
-    def __init__(self, model: Model, limit: int = 500_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         super().__init__()
         self.model, self.limit = model, limit
 
@@ -224,11 +224,13 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """From a bounded sample of the labelled documents that are not held out."""
-    return Model(labelled_sample(docs, labels, "toxic"))
+    model = Model(labelled_sample(docs, labels, "toxic"))
+    release()
+    return model
 
 
 #: Bytes of text scored together: their chains advance side by side, and memory is that of their words.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 def tag_toxicity(docs: DataFrame, model: Model, keep: tuple | list = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
@@ -251,7 +253,7 @@ def tag_toxicity(docs: DataFrame, model: Model, keep: tuple | list = ("doc_id",)
 
     rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("score double, predicted int, spans array<struct<start:long,end:long>>").fields])
-    return rows.mapInArrow(scored, schema)
+    return rows.mapInArrow(trimmed(scored), schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

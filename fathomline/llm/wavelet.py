@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, trimmed
 from .tokens import encoder
 
 #: Ids of a shard, unless one document alone has more; bytes of a frame; the id that ends a document.
@@ -252,7 +252,7 @@ def write_shards(docs: DataFrame, path: str, word_ends: bool = True, end_id: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     order = ("doc_id", F.xxhash64("text"), "row")
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    return materialise(placed.mapInArrow(made, SHARDS), "wavelet")
+    return materialise(placed.mapInArrow(trimmed(made), SHARDS), "wavelet")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -273,4 +273,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 )
 
     placed = shards.join(F.broadcast(upto), "part").select((F.col("before") + F.col("part_start")).alias("at"), "file")
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
