@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import uuid
 import zlib
 from collections import Counter
@@ -165,7 +166,7 @@ class Emissions(dict):
 class Model:
     def __init__(self, rows: list):
         y = np.array([v == 1 for _, _, v in rows])
-        docs = [t.split() for _, t, _ in rows]
+        docs = [[sys.intern(w) for w in t.split()] for _, t, _ in rows]  # a word is held once
         self.constant = None if 0 < y.sum() < len(y) else float((y.sum() + 1) / (len(y) + 2))
         self.features, self.weights, self.bias, self.jump = {}, [], 0.0, np.zeros((2, 2))
         if self.constant is not None:
@@ -182,7 +183,9 @@ class Model:
         if self.features:
             w, self.bias, self.jump = _train(segments, np.array(states), len(self.features))
             self.weights = w.tolist()
-        x = self.aggregates([t for _, t, _ in rows], Emissions(self))[0]
+        del docs, segments, states
+        memo = Emissions(self)
+        x = np.concatenate([self.aggregates([t for _, t, _ in rows[at : at + 256]], memo)[0] for at in range(0, len(rows), 256)])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         x = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
         c = np.zeros(x.shape[1])
