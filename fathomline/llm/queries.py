@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, kdtree, near_dedup
+from . import chat, codes, decontaminate, kdtree, near_dedup, whitening
 from .common import table
 from .decontaminate import digest, find_contamination
 from .langid import identify
@@ -57,6 +57,18 @@ def op10_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_reply_tree_chat(spark, sf_dir):
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_heap_lloyd_codes(spark, sf_dir):
+    return codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_compensated_whitening(spark, sf_dir):
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_toxicity_crf,
@@ -69,8 +81,11 @@ def queries() -> dict:
         op8_quality_classifier,
         op9_benchmark_decontamination,
         op10_language_id,
+        op11_reply_tree_chat,
+        op12_heap_lloyd_codes,
+        op13_compensated_whitening,
     )}
 
 
 def oracle_sql() -> dict:
-    return {"op4_kdtree_topk": kdtree.ORACLE_SQL, "op7_minhash_near_dedup": near_dedup.ORACLE_SQL, "op9_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {"op4_kdtree_topk": kdtree.ORACLE_SQL, "op7_minhash_near_dedup": near_dedup.ORACLE_SQL, "op9_benchmark_decontamination": decontaminate.ORACLE_SQL, "op11_reply_tree_chat": chat.ORACLE_SQL, "op12_heap_lloyd_codes": codes.ORACLE_SQL}
