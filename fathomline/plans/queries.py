@@ -8,7 +8,7 @@ from ..functions import canonical, identity, stats
 from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, queues, readers, reasoning, registry, snapshots
 from ..sources import extract, records
 from ..sources.tables import latest_by_key, relation, table
-from . import analyze
+from . import adapters, analyze
 from .oracle import SQL
 
 C = F.col
@@ -877,8 +877,8 @@ def artifact_cache(spark, sf_dir):
 
 def queries() -> dict:
     own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("queries", "oracle_sql")}
-    return own
+    return own | adapters.queries()
 
 
 def oracle_sql() -> dict:
-    return dict(SQL)
+    return SQL | adapters.SQL
