@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
 import re
 import tempfile
 import uuid
@@ -64,36 +65,47 @@ _DRAWS = 1 << 30
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, each: bool = False
-) -> list:
-    """(doc_id, text, label) of at most `rows` labelled documents (of each label, if `each`), the first by a
-    hash of doc_id; ids whose crc32 leaves `held_out` modulo `modulus` are never among them.
+) -> DataFrame:
+    """doc_id, text, y of at most `rows` labelled documents (of each label, if `each`), the first by a hash of
+    doc_id, as a written table; ids whose crc32 leaves `held_out` modulo `modulus` are never among them.
 
     An id with several labels is left out, of several texts of an id the one that hashes lowest is taken, so
     the sample does not depend on the order of rows. What is ranked is first thinned to about twice `rows`,
     so no more travels from a large table than from a small one, and the picked ids are broadcast, so no text
-    is shuffled but theirs. Texts are whole; where they exceed `chars` together, the longest are left out
-    until they don't. Null texts and labels teach nothing; empty tables give an empty sample."""
+    is shuffled but theirs. Texts are whole. Where they exceed `chars` together, fewer are taken, from the same order,
+    whose draw knows nothing of lengths. Null texts and labels teach nothing; empty
+    tables give an empty sample."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (residue("doc_id", modulus) != held_out))
     known = known.select("doc_id", F.col(label).alias("y")).withColumn("of", F.col("y") if each else F.lit(0))
     sizes = known.groupBy("of").agg(F.approx_count_distinct("doc_id").alias("n"))  # one row, or one a label
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(_DRAWS))
     thin = known.join(F.broadcast(sizes), "of").where(draw * F.col("n") < 2.0 * rows * _DRAWS)
     agreed = thin.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_high"), F.first("of").alias("of")).where("y = _high")
-    ranked = agreed.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy(draw, "doc_id")))
-    picked = ranked.where(F.col("n") <= rows).select("doc_id", "y")
+    ranked = agreed.withColumn("rank", F.row_number().over(Window.partitionBy("of").orderBy(draw, "doc_id")))
+    picked = ranked.where(F.col("rank") <= rows).select("doc_id", "y", "rank")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(picked), "doc_id")
-    found = materialise(texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
-    long = sorted((r.n, r.doc_id) for r in found.select("doc_id", F.length("text").alias("n")).collect())
-    total = sum(n for n, _ in long)
-    left = set()
-    while total > chars:
-        n, name = long.pop()
-        total -= n
-        left.add(name)
-    kept = found.where(~F.col("doc_id").isin(*left)) if left else found
-    out = sorted(((r.doc_id, r.text, r.y) for r in kept.collect()), key=lambda r: r[0])
-    discard(found)
-    return out
+    found = materialise(texts.groupBy("doc_id", "y", "rank").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    total, last = 0, 0
+    for r in found.groupBy("rank").agg(F.sum(F.length("text")).alias("n")).orderBy("rank").collect():  # at most `rows`
+        total += r["n"]
+        if last and total > chars:
+            break
+        last = r["rank"]
+    return found.where(F.col("rank") <= last).select("doc_id", "text", "y")
+
+
+def trained(sample: DataFrame, make):
+    """make() of the sample's rows (doc_id, text, y) in the order of their ids, by one task on an executor: the
+    driver gets the model and never a text, and a lost executor costs the training."""
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(rows), protocol=5)], pa.binary())], names=["model"])
+
+    cell = sample.coalesce(1).mapInArrow(trimmed(run), "model binary").first()
+    discard(sample)
+    return pickle.loads(bytes(cell["model"])) if cell else make([])
 
 
 def slices(texts: pa.Array, most: int = 4 << 20):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VectorMemo, labelled_sample, per_worker, release, residue, stretches, trimmed
+from .common import VectorMemo, labelled_sample, per_worker, residue, stretches, trained, trimmed
 
 #: Documents of each language learned from at most; a language is a value of `lang`, so there are few.
 ROWS = 500
@@ -107,9 +107,7 @@ class Model:
 
 def learn(docs: DataFrame) -> Model:
     """From a bounded sample, of each language, of the documents with one that are not held out."""
-    model = Model(labelled_sample(docs, docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", 4, 2, ROWS, each=True))
-    release()
-    return model
+    return trained(labelled_sample(docs, docs.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", 4, 2, ROWS, each=True), Model)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

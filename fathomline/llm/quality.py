@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VectorMemo, labelled_sample, per_worker, release, residue, stretches, trimmed
+from .common import VectorMemo, labelled_sample, per_worker, residue, stretches, trained, trimmed
 
 #: Dimensions of a vector, non-zeros of an index vector, tokens of context on either side, hidden units.
 DIMENSIONS, SEEDS, CONTEXT, HIDDEN = 64, 6, 2, 24
@@ -163,9 +163,7 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """From a bounded sample of the labelled documents that are not held out."""
-    model = Model(labelled_sample(docs, labels, "quality"))
-    release()
-    return model
+    return trained(labelled_sample(docs, labels, "quality"), Model)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, per_worker, release, residue, slices, stretches, trimmed
+from .common import labelled_sample, per_worker, residue, slices, stretches, trained, trimmed
 
 #: Stem lengths, false discovery rate and least purity of word labels, words of a training segment, score that rejects.
 STEMS, DISCOVERY, PURITY, SEGMENT, THRESHOLD = (4, 5, 6), 0.001, 0.9, 32, 0.5
@@ -227,9 +227,7 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """From a bounded sample of the labelled documents that are not held out."""
-    model = Model(labelled_sample(docs, labels, "toxic"))
-    release()
-    return model
+    return trained(labelled_sample(docs, labels, "toxic"), Model)
 
 
 #: Bytes of text scored together: their chains advance side by side, and memory is that of their words.
