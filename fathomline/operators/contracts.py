@@ -118,41 +118,58 @@ def selected_references(references: DataFrame, selections: DataFrame) -> DataFra
 CONTEXT_ONLY = ("declared_context", "behavioural_context")
 
 
-def join_changed_contracts(changes: DataFrame, references: DataFrame, resolved: DataFrame, workspace: str, revision: str) -> tuple[DataFrame, DataFrame]:
-    """Edges from changed contracts to the references to them, and diagnostics.
-
-    changes are with their definitions, references those of selected generations, resolved(reference_id,
-    state, service) says what a reference's alias means. A reference of the change's kind gives an edge by
-    the first basis that holds: exact, its key is the change's and nothing but structure says so; registry
-    resolved, it is constrained to the key and its alias means the definition's service; heuristic, it is
-    constrained to the key by a heuristic. Context alone never gives one, and neither does an ambiguous alias,
-    not even for an exact key; an exact key whose alias means another service contradicts.
-
-    A diagnostic is due for each change of its kind: the ambiguous references for all of them, the
-    unresolved ones for those that they have no edge with. These are counted, not enumerated, so keys alone are
-    joined: one equi-join on kind and key, whichever of a reference's keys it is."""
+def with_alias_state(references: DataFrame, resolved: DataFrame) -> DataFrame:
+    """References with what their alias means, and whether that leaves them open to a join."""
     known = resolved.select("reference_id", C("state").alias("alias_state"), C("service").alias("alias_service"))
     refs = references.join(known, "reference_id", "left")
     only = F.coalesce(C("context_basis").isin(*CONTEXT_ONLY), F.lit(False))
     ambiguous = F.coalesce(C("alias_state") == "ambiguous", F.lit(False))
-    refs = refs.withColumns({"_only": only, "_ambiguous": ~only & ambiguous})
-    open_ = refs.where("not _only and not _ambiguous")
+    return refs.withColumns({"_only": only, "_ambiguous": ~only & ambiguous})
+
+
+def asked_keys(refs: DataFrame) -> DataFrame:
+    """Open references, a row for each contract key that they may mean: their own, or the one they are constrained to."""
     keys = F.array_distinct(F.array_compact(F.array(F.when(C("context_basis").isNull(), C("canonical_key")), C("constrained_key"))))
-    asked = open_.withColumn("key", F.explode(keys)).withColumnRenamed("canonical_key", "own_key")
+    return refs.where("not _only and not _ambiguous").withColumn("key", F.explode(keys)).withColumnRenamed("canonical_key", "own_key")
+
+
+def decide(changes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Changes with the references that may mean them and the basis of each, null where there is none."""
     hit = changes.join(asked, (changes["contract_kind"] == asked["contract_kind"]) & (changes["canonical_key"] == asked["key"])).drop(asked["contract_kind"])
     exact = C("context_basis").isNull() & F.coalesce(C("own_key") == C("key"), F.lit(False))
     agrees = F.coalesce((C("alias_state") == "resolved") & (C("alias_service") == C("service")), F.lit(False))
     contradicts = exact & F.coalesce((C("alias_state") == "resolved") & (C("alias_service") != C("service")), F.lit(False))
     constrained = F.coalesce(C("constrained_key") == C("key"), F.lit(False))
     basis = F.when(contradicts, None).when(exact, "exact").when(constrained & agrees, "registry_resolved").when(constrained & (C("context_basis") == "heuristic"), "heuristic")
-    decided = hit.withColumns({"basis": basis, "_contradicts": contradicts})
+    return hit.withColumns({"basis": basis, "_contradicts": contradicts})
+
+
+def decided_edges(decided: DataFrame, workspace: str, revision: str) -> DataFrame:
     text = lambda c: C(c).cast("string")
     steps = F.when(C("basis") == "registry_resolved", "producer_definition:exact+registry_alias:registry_resolved+consumer_reference:registry_resolved").otherwise(F.concat(F.lit("producer_definition:exact+consumer_reference:"), C("basis")))
-    edges = decided.where("basis is not null").select(
+    return decided.where("basis is not null").select(
         canonical.edge_id(F.lit(workspace), text("producer"), text("consumer"), C("canonical_key"), C("reference_id"), C("basis"), F.lit(revision)).alias("edge_id"),
         "contract_kind", "canonical_key", "producer", "consumer", "reference_id", "basis", "change_kind", "compatibility", "generation_id", "producer_generation", "first_observed", "last_observed",
         F.concat_ws("|", "contract_kind", "definition_stratum", "stratum", "basis", steps, F.lit("v1")).alias("stratum_key"),
     )
+
+
+def join_changed_contracts(changes: DataFrame, references: DataFrame, resolved: DataFrame, workspace: str, revision: str) -> tuple[DataFrame, DataFrame]:
+    """Edges from changed contracts to the references to them, and diagnostics.
+
+    changes are with their definitions, references those of selected generations, resolved(reference_id,
+    state, service) says what a reference's alias means. A reference of the change's kind gives an edge by
+    the first basis that holds: exact, its key is the change's and nothing but structure says so; registry
+    resolved, it is constrained to the key and its alias means the definition's service; heuristic, it is
+    constrained to the key by a heuristic. Context alone never gives one, and neither does an ambiguous alias,
+    not even for an exact key; an exact key whose alias means another service contradicts.
+
+    A diagnostic is due for each change of its kind: the ambiguous references for all of them, the
+    unresolved ones for those that they have no edge with. These are counted, not enumerated, so keys alone are
+    joined: one equi-join on kind and key, whichever of a reference's keys it is."""
+    refs = with_alias_state(references, resolved)
+    decided = decide(changes, asked_keys(refs))
+    edges = decided_edges(decided, workspace, revision)
     # How many changes of its kind a reference was held against, and how many of these it has an edge with.
     total = changes.groupBy("contract_kind").agg(F.count("*").alias("_changes"))
     met = decided.where("basis is not null or _contradicts").groupBy("reference_id", "consumer").agg(F.count("*").alias("_met"), F.count_if("_contradicts").alias("_contradictions"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import canonical, identity, stats
-from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, queues, readers, reasoning, registry, snapshots
+from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, incremental, queues, readers, reasoning, registry, snapshots
 from ..sources import extract, records
-from ..sources.tables import latest_by_key, relation, table
+from ..sources.tables import latest_by_key, materialise, relation, shared_dir, table
 from . import adapters, analyze
 from .oracle import SQL
 
@@ -875,10 +877,36 @@ def artifact_cache(spark, sf_dir):
     return records.cache_get(held, d).select("key", "hit", "corrupt")
 
 
+def incremental_rejoin(spark, sf_dir):
+    """Edges after three rounds of changes, kept up to date from a store that knew other inputs: references that were
+    heuristic, are new or are gone, and changes that were compatible, are new or are gone. The SQL joins the
+    present inputs from scratch."""
+    refs = analyze.references(spark, sf_dir)
+    refs = contracts.with_alias_state(refs, analyze.resolved(spark, sf_dir, refs).withColumnRenamed("request_id", "reference_id"))
+    refs = materialise(refs.withColumn("_turn", F.pmod(F.crc32("reference_id"), F.lit(40))), "refs")
+    changed = contracts.changed_definitions(analyze.changes(spark, sf_dir), relation(spark, sf_dir, "definitions"))
+    changed = materialise(changed.withColumn("_turn", F.pmod(F.crc32("canonical_key"), F.lit(40))), "changes")
+    of = lambda df, *turns: df.where(C("_turn").isin(*turns)).drop("_turn")
+    none = lambda df: df.where("false").drop("_turn")
+    # Turn 1: other values before; 2: not there before; 3: copies under other names that go.
+    old_refs = of(refs, 1).withColumns({"context_basis": F.lit("heuristic"), "constrained_key": F.coalesce("canonical_key", "constrained_key")})
+    lost_refs = of(refs, 3).withColumn("reference_id", F.concat(F.lit("lost-"), "reference_id"))
+    old_changes = of(changed, 1).withColumn("compatibility", F.lit("compatible"))
+    lost_changes = of(changed, 3).withColumn("canonical_key", F.concat(F.lit("lost-"), "canonical_key"))
+    store = incremental.RejoinStore(spark, f"{shared_dir(spark)}/rejoin-{uuid.uuid4().hex}", analyze.WORKSPACE, analyze.REVISION)
+    store.create(
+        changed.where("_turn not in (1, 2)").drop("_turn").unionByName(old_changes).unionByName(lost_changes), refs.where("_turn not in (1, 2)").drop("_turn").unionByName(old_refs).unionByName(lost_refs)
+    )
+    store.refresh(references=(old_refs, of(refs, 1)), changes=(none(changed), of(changed, 2)))
+    store.refresh(changes=(old_changes.unionByName(lost_changes), of(changed, 1)))
+    store.refresh(references=(lost_refs, of(refs, 2)))
+    return store.edges().select("canonical_key", "consumer", "reference_id", "basis", "change_kind", "compatibility")
+
+
 def queries() -> dict:
     own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("queries", "oracle_sql")}
     return own | adapters.queries()
 
 
 def oracle_sql() -> dict:
-    return SQL | adapters.SQL
+    return SQL | adapters.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}
