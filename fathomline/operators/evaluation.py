@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,47 +198,6 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("axis", "a", "b").agg(F.count("*").alias("n"))
 
 
-_POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
-
-
-def cluster_bootstrap(cases: DataFrame, iterations: int = 1000, seed: int = 20_240_101) -> DataFrame:
-    """Actionable precision with a cluster bootstrap interval over producer and consumer pairs (A17). A draw
-    takes each cluster a Poisson number of times, drawn from a hash of the draw and the cluster, so clusters
-    need neither numbers nor a place in one list: each is counted where it lies, and a draw's sums are combined
-    before the shuffle, which has a row a draw."""
-    counts, success, open_ = metric_rules()["actionable_precision"]
-    seen = cases.where(counts & ~open_)
-    key = ["organization", "producer", "consumer"]
-    clusters = seen.groupBy(*key).agg(F.sum("weight").alias("d"), F.sum(F.when(success, C("weight")).otherwise(0.0)).alias("n"))
-    draws = clusters.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    u = F.pmod(F.xxhash64(*key, "draw", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    times = F.aggregate(F.array(*(F.lit(float(p)) for p in _POISSON)), F.lit(0), lambda k, p: k + F.when(u >= p, 1).otherwise(0))
-    sums = draws.withColumn("times", times).groupBy("draw").agg(F.sum(C("n") * C("times")).alias("n"), F.sum(C("d") * C("times")).alias("d"))
-    listed = sums.agg(F.array_sort(F.collect_list(ratio(C("n"), C("d")))).alias("e"))  # as many numbers as draws
-    at = lambda p: F.get("e", F.least(F.floor(F.size("e") * p), F.size("e") - 1).cast("int"))
-    bounds = listed.select(F.coalesce(at(0.025), F.lit(0.0)).alias("lower95"), F.coalesce(at(0.975), F.lit(1.0)).alias("upper95"), F.size("e").cast("long").alias("iterations"))
-    point = clusters.agg(ratio(F.sum("n"), F.sum("d")).alias("estimate"), F.count("*").alias("clusters"))
-    return point.crossJoin(bounds)  # one row with one row
-
-
-def agreement_intervals(pairs: DataFrame, iterations: int = 500, seed: int = 7) -> DataFrame:
-    """Bootstrap intervals of Krippendorff's alpha of each axis (A18): pairs are alike within a cell of the
-    confusion matrix, so a draw needs the cells alone, of which there are few."""
-
-    def interval(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["a", "b"])
-        counts, n = frame["n"].to_numpy(), int(frame["n"].sum())
-        labels = np.unique(np.concatenate([frame["a"], frame["b"]]))
-        of = np.stack([(frame["a"].to_numpy() == x).astype(int) + (frame["b"].to_numpy() == x) for x in labels], 1)
-        drawn = np.random.default_rng(seed).multinomial(n, counts / n, iterations)
-        observed = 1 - drawn @ (frame["a"] == frame["b"]).to_numpy() / n
-        expected = 1 - (((drawn @ of) / (2 * n)) ** 2).sum(1)
-        alpha = np.sort(np.where(expected == 0, 1.0, 1 - observed / np.where(expected == 0, 1, expected)))
-        return pd.DataFrame({"axis": [frame["axis"].iloc[0]], "lower95": [alpha[int(iterations * 0.025)]], "upper95": [alpha[min(iterations - 1, int(iterations * 0.975))]]})
-
-    return confusion(pairs).withColumns({"a": C("a").cast("string"), "b": C("b").cast("string")}).groupBy("axis").applyInPandas(interval, "axis string, lower95 double, upper95 double")
-
-
 def review_chain(events: DataFrame) -> DataFrame:
     """Whether each event supersedes the latest of its subject before it."""
     w = Window.partitionBy("subject").orderBy("sequence")

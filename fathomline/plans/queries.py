@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import canonical, identity, stats
-from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, incremental, queues, readers, reasoning, registry, snapshots
+from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, incremental, queues, readers, reasoning, registry, resample, snapshots
 from ..sources import extract, records
 from ..sources.tables import latest_by_key, materialise, relation, shared_dir, table
-from . import adapters, analyze
+from . import adapters, analyze, resample_sql
 from .oracle import SQL
 
 C = F.col
@@ -369,11 +369,13 @@ def confusion(spark, sf_dir):
 
 
 def cluster_bootstrap(spark, sf_dir):
-    return evaluation.cluster_bootstrap(_cases(spark, sf_dir))
+    out = resample.cluster_bootstrap(_cases(spark, sf_dir))
+    return out.select(*(F.round(c, 12).alias(c) if c in ("estimate", "lower95", "upper95") else c for c in out.columns))
 
 
 def agreement_intervals(spark, sf_dir):
-    return evaluation.agreement_intervals(_pairs(spark, sf_dir))
+    pairs = table(spark, sf_dir, "labels").select(F.lit("edge").alias("axis"), C("quality").alias("a"), (1 - C("toxic")).alias("b"), C("doc_id").alias("position"))
+    return resample.agreement_intervals(pairs).select("axis", F.round("lower95", 12).alias("lower95"), F.round("upper95", 12).alias("upper95"))
 
 
 def review_chain(spark, sf_dir):
@@ -909,4 +911,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return SQL | adapters.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}
+    return SQL | adapters.SQL | resample_sql.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}

@@ -262,19 +262,6 @@ def test_policy_arms_by_hand(spark):
     assert (none.deliveries, none.warnings) == (0, ["no_labelled_deliveries"])
 
 
-def test_bootstraps_enclose_the_estimate(spark):
-    rows = [(f"o{i}", i, 1, "candidate", True, False, "coordinate", "coordinate" if i % 4 else "none", 1.0) for i in range(80)]
-    cases = spark.createDataFrame(rows, "organization string, producer long, consumer long, detector_output string, policy_selected boolean, suppressed boolean, claim_action string, label_action string, weight double")
-    cases = cases.withColumns({"label_edge": F.lit("confirmed"), "label_impact": F.lit("x"), "claim_impact": F.lit("x")})
-    b = evaluation.cluster_bootstrap(cases).first()
-    assert b.estimate == 0.75 and 0.6 < b.lower95 < 0.72 and 0.78 < b.upper95 < 0.9 and (b.clusters, b.iterations) == (80, 1000)
-    empty = evaluation.cluster_bootstrap(cases.limit(0)).first()
-    assert (empty.lower95, empty.upper95, empty.clusters) == (0.0, 1.0, 0)
-    pairs = spark.createDataFrame([("e", "a", "a")] * 40 + [("e", "b", "b")] * 40 + [("e", "a", "b")] * 20, "axis string, a string, b string")
-    i, alpha = evaluation.agreement_intervals(pairs).first(), evaluation.agreement(pairs).first().alpha
-    assert alpha - 0.25 < i.lower95 < alpha < i.upper95 < alpha + 0.25
-
-
 def test_disclosure_takes_the_first_reason(spark):
     f = spark.createDataFrame([(a, *b) for a in ("static", "personalized") for b in ((True,) * 4, (False,) * 4, (True, False, False, False), (True, True, False, True), (True, True, True, False))], "audience string, explicit_grant boolean, app_can_read boolean, whole_audience_can_read boolean, viewer_can_read boolean")
     got = [r.omitted for r in delivery.disclose(f, C("audience")).collect()]
