@@ -1,4 +1,5 @@
-"""SQL of the bootstraps: every pick of every draw, its number reached from the seed by the bits of its place."""
+"""SQL of the bootstraps, every pick of every draw, its number reached from the seed by the bits of its place; and of
+scores of renames, every pair of files."""
 
 from __future__ import annotations
 
@@ -40,4 +41,14 @@ SQL = {
         o AS (SELECT draw, count(*) AS n, 1 - count(*) FILTER (a = b) / count(*) AS observed FROM r GROUP BY draw), x AS (SELECT draw, v, count(*) AS c FROM (SELECT draw, a AS v FROM r UNION ALL SELECT draw, b FROM r) GROUP BY draw, v),
         e AS (SELECT o.draw, any_value(observed) AS observed, 1 - sum((c / (2 * n)) ** 2) AS expected FROM x JOIN o USING (draw) GROUP BY o.draw), l AS (SELECT list(CASE WHEN expected = 0 THEN 1 ELSE 1 - observed / expected END ORDER BY CASE WHEN expected = 0 THEN 1 ELSE 1 - observed / expected END) AS l FROM e)
         SELECT 'edge' AS axis, round(l[13], 12) AS lower95, round(l[488], 12) AS upper95 FROM l""",
+    # Chunks are cut from the bytes in hexadecimal: pairs of digits, of which 0A ends a line.
+    "rename_scores": r"""WITH d AS (SELECT source AS diff, doc_id AS k, replace(text, ' ', chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+        base AS (SELECT diff, concat('src/f', k % 40, '/', k) AS path, t FROM d),
+        head AS (SELECT diff, concat('src/f', k % 40, '/', k) AS path, CASE WHEN k % 4 = 1 THEN concat(t, chr(10), 'end') ELSE t END AS t FROM d WHERE k % 3 <> 0
+            UNION ALL SELECT diff, concat('lib/f', k % 40, '/', k), CASE k % 5 WHEN 0 THEN t WHEN 1 THEN replace(t, 'a', '4') WHEN 2 THEN substr(t, 1, CAST(floor(length(t) * (k % 9 + 1) / 9) AS INTEGER)) WHEN 3 THEN concat(t, chr(10), repeat(concat('more', chr(10)), k % 30)) ELSE replace(t, 'the', 'teh') END FROM d WHERE k % 3 = 0 OR k % 8 = 1),
+        s AS (SELECT DISTINCT diff, sha256(t) AS content, t FROM base WHERE (diff, path) NOT IN (SELECT (diff, path) FROM head)), g AS (SELECT DISTINCT diff, sha256(t) AS content, t FROM head WHERE (diff, path) NOT IN (SELECT (diff, path) FROM base)),
+        c AS (SELECT side, diff, content, size, chunk, sum(length(chunk) // 2) AS bytes FROM (SELECT side, diff, content, strlen(t) AS size, unnest(regexp_extract_all(hex(encode(replace(t, concat(chr(13), chr(10)), chr(10)))), '(?:[1-9A-F][0-9A-F]|0[0-9B-F]){0,63}0A|(?:[1-9A-F][0-9A-F]|0[0-9B-F]){1,64}')) AS chunk
+            FROM (SELECT 's' AS side, * FROM s UNION ALL SELECT 'g', * FROM g)) GROUP BY ALL),
+        p AS (SELECT x.diff, x.content AS source, y.content AS target, any_value(greatest(x.size, y.size)) AS larger, sum(least(x.bytes, y.bytes)) AS shared FROM c x JOIN c y ON x.side = 's' AND y.side = 'g' AND x.diff = y.diff AND x.chunk = y.chunk AND x.content <> y.content GROUP BY 1, 2, 3)
+        SELECT diff, source, target, CAST(shared * 60000 // larger AS BIGINT) AS score FROM p WHERE shared * 60000 // larger >= 30000""",
 }

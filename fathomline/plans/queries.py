@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import canonical, identity, stats
-from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, incremental, queues, readers, reasoning, registry, resample, snapshots
+from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, incremental, queues, readers, reasoning, registry, renames, resample, snapshots
 from ..sources import extract, records
 from ..sources.tables import latest_by_key, materialise, relation, shared_dir, table
-from . import adapters, analyze, resample_sql
+from . import adapters, analyze, more_sql
 from .oracle import SQL
 
 C = F.col
@@ -905,10 +905,35 @@ def incremental_rejoin(spark, sf_dir):
     return store.edges().select("canonical_key", "consumer", "reference_id", "basis", "change_kind", "compatibility")
 
 
+def _edited_trees(spark, sf_dir):
+    """Documents as files, a word a line, in one tree a source: some go, some come under another name with some of their
+    words changed, cut off or added, and some are changed where they are."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(C("source").alias("diff"), C("doc_id").alias("k"), F.replace("text", F.lit(" "), F.lit("\n")).alias("t"))
+    file = lambda df: df.select("diff", "path", F.sha2("t", 256).alias("content"), F.lit("file").alias("entry_kind"), F.lit(False).alias("binary"), F.encode("t", "UTF-8").alias("data"))
+    name = lambda folder: F.concat(F.lit(f"{folder}/f"), (C("k") % 40).cast("string"), F.lit("/"), C("k").cast("string"))
+    base = d.withColumn("path", name("src"))
+    edit = F.when(C("k") % 5 == 0, C("t")).when(C("k") % 5 == 1, F.replace("t", F.lit("a"), F.lit("4"))).when(C("k") % 5 == 2, F.substring("t", F.lit(1), (F.length("t") * (C("k") % 9 + 1) / 9).cast("int")))
+    edit = edit.when(C("k") % 5 == 3, F.concat("t", F.lit("\n"), F.repeat(F.lit("more\n"), (C("k") % 30).cast("int")))).otherwise(F.replace("t", F.lit("the"), F.lit("teh")))
+    head = d.where("k % 3 <> 0").withColumn("t", F.when(C("k") % 4 == 1, F.concat("t", F.lit("\nend"))).otherwise(C("t"))).withColumn("path", name("src"))
+    moved = d.where("k % 3 = 0 or k % 8 = 1").withColumn("t", edit).withColumn("path", name("lib"))
+    return file(base), file(head).unionByName(file(moved))
+
+
+def rename_scores(spark, sf_dir):
+    """Scores of all pairs of a file that is no more with one that is new."""
+    base, head = _edited_trees(spark, sf_dir)
+    once = lambda df, other: df.join(other.select("diff", "path"), ["diff", "path"], "left_anti").dropDuplicates(["diff", "content"]).select("diff", "content", "binary", "data")
+    return renames.similarities(once(base, head), once(head, base))
+
+
+def tree_renames(spark, sf_dir):
+    return renames.find_renames(*_edited_trees(spark, sf_dir))
+
+
 def queries() -> dict:
     own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("queries", "oracle_sql")}
     return own | adapters.queries()
 
 
 def oracle_sql() -> dict:
-    return SQL | adapters.SQL | resample_sql.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}
+    return SQL | adapters.SQL | more_sql.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}
