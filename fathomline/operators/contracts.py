@@ -192,16 +192,6 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     return first_by(edges, ["canonical_key", "consumer", "reference_id"], rank, "edge_id")
 
 
-def exact_join(changes: DataFrame, uses: DataFrame, head: DataFrame, base: DataFrame) -> DataFrame:
-    """Exact keys only, each with its definition at the head, else at the base; the last of equals by shape
-    wins (J2)."""
-    key = ["contract_kind", "canonical_key"]
-    h, b = head.select(*key, F.col("shape").alias("_h")), base.select(*key, F.col("shape").alias("_b"))
-    used = uses.where("context_basis is null").select("canonical_key", "consumer", "reference_id")
-    joined = changes.join(h, key, "left").join(b, key, "left").join(used, "canonical_key")
-    return joined.select(*key, "consumer", "reference_id", "change_kind", F.coalesce("_h", "_b").alias("shape"))
-
-
 def protocol_mismatches(changes: DataFrame, definitions: DataFrame, references: DataFrame) -> DataFrame:
     """Keys on which a change, its definition or a reference speak another protocol version (J2): a join of
     them is refused while there are any."""

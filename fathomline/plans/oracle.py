@@ -166,7 +166,6 @@ def _widens(a: str, b: str) -> str:
 SQL = {
     "contract_diff": _with("definitions_base definitions_head", CHANGES + "\nSELECT * FROM changes"),
     "edge_dedupe": _with("uses", "\nSELECT canonical_key, consumer, 'exact' AS basis, CASE WHEN context_basis IS NULL THEN reference_id ELSE concat('z', reference_id) END AS edge_id FROM uses"),
-    "v2_join": _with("definitions_base definitions_head uses", CHANGES + "\nSELECT c.canonical_key, u.consumer, c.change_kind, coalesce(h.shape, b.shape) AS shape FROM changes c JOIN uses u ON c.canonical_key = u.canonical_key AND u.context_basis IS NULL LEFT JOIN definitions_head h ON c.canonical_key = h.canonical_key AND c.contract_kind = h.contract_kind LEFT JOIN definitions_base b ON c.canonical_key = b.canonical_key AND c.contract_kind = b.contract_kind"),
     "alias_overlap": _with("aliases", "\nSELECT a.service, b.service AS other, a.value FROM aliases a JOIN aliases b ON a.kind = b.kind AND a.value = b.value AND a.environment = b.environment AND a.service < b.service AND a.valid_from < coalesce(b.valid_until, DATE '9999-12-31') AND b.valid_from < coalesce(a.valid_until, DATE '9999-12-31')"),
     "fk_violations": "SELECT 'lineitem_order' AS \"check\", count(*) AS violations FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'order_customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'label_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "ambiguous_defs": _with("definitions_base definitions_head", "\nSELECT contract_kind, canonical_key, min(shape) AS shape, count(*) AS copies FROM (SELECT contract_kind, canonical_key, shape FROM definitions_base UNION ALL SELECT contract_kind, canonical_key, shape FROM definitions_head) GROUP BY 1, 2 HAVING count(DISTINCT shape) = 1"),

@@ -10,7 +10,7 @@ from ..functions import canonical, identity, stats
 from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, incremental, queues, readers, reasoning, registry, renames, resample, snapshots
 from ..sources import extract, records
 from ..sources.tables import latest_by_key, materialise, relation, shared_dir, table
-from . import adapters, analyze, more_sql
+from . import adapters, analyze, more_sql, protocol2
 from .oracle import SQL
 
 C = F.col
@@ -60,11 +60,6 @@ def edge_dedupe(spark, sf_dir):
     return contracts.dedupe_edges(twice).select("canonical_key", "consumer", "basis", "edge_id")
 
 
-def v2_join(spark, sf_dir):
-    base, head = relation(spark, sf_dir, "definitions_base"), relation(spark, sf_dir, "definitions_head")
-    return contracts.exact_join(contracts.contract_diff(base, head), relation(spark, sf_dir, "uses"), head, base).select("canonical_key", "consumer", "change_kind", "shape")
-
-
 def alias_resolve(spark, sf_dir):
     return analyze.resolved(spark, sf_dir, relation(spark, sf_dir, "refs")).groupBy("state", "service", "rewritten_path").agg(F.count("*").alias("n"))
 
@@ -932,8 +927,8 @@ def tree_renames(spark, sf_dir):
 
 def queries() -> dict:
     own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("queries", "oracle_sql")}
-    return own | adapters.queries()
+    return own | adapters.queries() | protocol2.queries()
 
 
 def oracle_sql() -> dict:
-    return SQL | adapters.SQL | more_sql.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}
+    return SQL | adapters.SQL | more_sql.SQL | protocol2.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}
