@@ -10,9 +10,10 @@ The matched values are the protected entities. All words of a document that ment
 the corpus says how strongly a word t reveals an entity e: with document counts n over all documents, PMI(e;t) =
 log(N n(e,t) / n(e) n(t)) of the information IC(e) = log(N / n(e)) that identifying e takes. A word that
 reveals most of it is generalised, one that reveals nearly all is removed, wherever it stands in the
-documents that hold that entity; documents without a protected entity stay as they are. Words are judged on SUPPORT documents at least.
+documents that hold that entity; documents without a protected entity stay as they are. Words are judged on
+SUPPORT documents at least. Documents are distinct texts here: copies and repeated rows are no evidence.
 
-Null and empty texts have no spans. Rows of one doc_id and text get the same spans. An empty table gives an
+Null and empty texts have no spans. Rows of one text get the same spans. An empty table gives an
 empty one. Extra columns, whatever their names, are kept by sanitise() and ignored by the digest.
 """
 
@@ -115,7 +116,7 @@ def _merged(a: Column, b: Column) -> Column:
 
 
 def _found(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """Each row's other columns as struct `row`; a key of doc_id and text; base spans by kind as listed, then
+    """Each row's other columns as struct `row`; a key of its text; base spans by kind as listed, then
     start, and the entities they name; and as `body` the masked text of rows with spans, else the text itself
     if it is kept."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
@@ -139,7 +140,7 @@ def _found(docs: DataFrame, keep_text: bool) -> DataFrame:
 
     masked = reduce(_merged, (mask(k, kind) for k, kind in enumerate(KINDS)))
     held = F.size("spans") > 0
-    key = F.struct(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"))
+    key = F.struct(F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(17)).alias("two"))
     entities = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
     places = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     body = F.when(held, masked).otherwise(F.col("text") if keep_text else F.lit(None).cast("string"))
@@ -147,42 +148,62 @@ def _found(docs: DataFrame, keep_text: bool) -> DataFrame:
     return materialise(out, "pii-found")
 
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """Each text that is not null once. Hashes are counted first, so only texts that have copies are shuffled."""
+    named = texts.where("text is not null").withColumn("hash", F.xxhash64("text"))
+    copied = materialise(named.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "pii-copied")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_TERMS else copied.hint("merge")
+    once = named.join(copied, "hash", "left_semi").dropDuplicates(["hash"])
+    return named.join(copied, "hash", "left_anti").unionByName(once).select("text")
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     """key, shares: for documents with protected entities, the terms that reveal one of them, and how much.
-    texts(text) are all texts of the corpus."""
+    texts(text) are all texts of the corpus. Documents are distinct texts throughout.
+
+    Entities that are in the same documents are one class, and so are terms, so a document's pairs are those of its
+    classes, however many entities and words it holds; a class is known by its size and the exclusive or of two
+    hashes of each document. A document keeps, of each class of terms, the best count for each size of an entity's
+    set, which is all that a term's share can depend on; pairs of a document are never listed word by word."""
     term = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(_WORD), F.lit(0)), F.lower)), lambda t: F.length(t) >= LETTERS)
     mentions = materialise(found.where("key is not null").select("key", "entities", term.alias("terms")).dropDuplicates(["key"]), "pii-mentions")
+    unique = distinct_texts(texts)
+    total = float(max(unique.count(), 1))
+    documents = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(2))).alias("y"))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df.hint("merge")
     held = mentions.select("key", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    entities = materialise(entities, "pii-entities")
-    total = float(max(found.count(), 1))
+    entities = materialise(held.groupBy("entity").agg(documents.alias("e")).where(F.col("e.n") >= SUPPORT), "pii-entities")
+    of_entities = materialise(held.join(small(entities), "entity").select("key", "e").distinct(), "pii-of-entities")
     # n_both is n_entity at most, so a term in more documents than this reveals too little of the entity.
     most = lambda n: F.lit(total ** (1 - GENERALISE) * (1 + 1e-9)) * F.pow(n, F.lit(GENERALISE))
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
     # Documents with entities come first: a term is in as many documents at least as in these, and only the terms
     # that may reveal an entity by that count are counted over the corpus.
-    widest = F.broadcast(entities.agg(F.max("n_entity").alias("widest")))
-    seen = mentions.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_seen")).where(F.col("n_seen") >= SUPPORT)
-    seen = materialise(seen.join(widest).where(F.col("n_seen") <= most(F.col("widest"))).drop("widest"), "pii-seen")
-    met = mentions.select("key", F.explode("terms").alias("term")).join(small(seen), "term")
-    met = met.join(held.join(small(entities), "entity"), "key").where(F.col("n_seen") <= most(F.col("n_entity")))
-    met = materialise(met.select("key", "entity", "term", "n_entity", "n_seen"), "pii-pairs")
-    both = met.groupBy("entity", "term", "n_entity", "n_seen").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    information = F.log2(F.lit(total) / F.col("n_entity"))
-    pmi = lambda n: F.log2(F.lit(total) * F.col("n_both") / F.col("n_entity") / F.col(n))
-    share = lambda n: F.when(information > 0, pmi(n) / information).otherwise(0.0)
-    both = materialise(both.where(share("n_seen") >= GENERALISE * (1 - 1e-9)), "pii-both")
-    wanted = materialise(both.select("term").distinct(), "pii-wanted")
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    widest = F.broadcast(of_entities.agg(F.max("e.n").alias("widest")))
+    words = mentions.select("key", F.explode("terms").alias("term"))
+    seen = words.groupBy("term").agg(documents.alias("t")).where(F.col("t.n") >= SUPPORT)
+    seen = materialise(seen.join(widest).where(F.col("t.n") <= most(F.col("widest"))).drop("widest"), "pii-seen")
+    of_terms = words.join(small(seen), "term").select("key", "t").distinct()
+    met = materialise(of_terms.join(of_entities.hint("merge"), "key").where(F.col("t.n") <= most(F.col("e.n"))).select("key", "e", "t"), "pii-pairs")
+    both = met.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+
+    def share(n_entity: Column, n_both: Column, n_term: Column) -> Column:
+        information = F.log2(F.lit(total) / n_entity)
+        return F.when(information > 0, F.log2(F.lit(total) * n_both / n_entity / n_term) / information).otherwise(0.0)
+
+    both = materialise(both.where(share(F.col("e.n"), F.col("n_both"), F.col("t.n")) >= GENERALISE * (1 - 1e-9)), "pii-both")
+    best = met.join(small(both), ["e", "t"]).groupBy("key", "t", F.col("e.n").alias("n")).agg(F.max("n_both").alias("n_both"))
+    best = best.groupBy("key", "t").agg(F.collect_list(F.struct("n", "n_both")).alias("ways"))
+    wanted = materialise(seen.join(small(both.select("t").distinct()), "t").select("term", "t"), "pii-wanted")
+    words = unique.select(F.explode(F.array_distinct(F.transform(F.split("text", r"[^\p{L}]+"), F.lower))).alias("term"))
     counted = lambda df: df.groupBy("term").agg(F.count("*").alias("n_term"))
     # Few terms meet the words where these lie; many meet them once the words are counted, never word by word.
-    terms = counted(words.join(F.broadcast(wanted), "term", "left_semi")) if wanted.count() <= BROADCAST_TERMS else counted(words).join(wanted, "term", "left_semi")
-    terms = materialise(terms, "pii-terms")
-    judged = both.join(small(terms), "term").select("entity", "term", share("n_term").alias("share")).where(F.col("share") >= GENERALISE)
+    terms = counted(words.join(F.broadcast(wanted.select("term")), "term", "left_semi")) if wanted.count() <= BROADCAST_TERMS else counted(words).join(wanted.select("term").hint("merge"), "term", "left_semi")
+    terms = materialise(wanted.join(terms.hint("merge"), "term"), "pii-terms")
+    judged = best.join(small(terms), "t").select("key", "term", F.array_max(F.transform("ways", lambda w: share(w["n"], w["n_both"], F.col("n_term")))).alias("share"))
     # A document's terms only: bounded by the document, and once where two entities share a word.
-    of = met.select("key", "entity", "term").join(judged, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
-    of = materialise(of.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "pii-shares")
-    discard(mentions, entities, seen, met, both, wanted, terms)
+    of = judged.where(F.col("share") >= GENERALISE).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    of = materialise(of, "pii-shares")
+    discard(mentions, entities, of_entities, seen, met, both, wanted, terms)
     return of
 
 

@@ -34,7 +34,7 @@ def test_the_pipeline_drops_near_copies_with_a_block_added(spark):
 
 def test_pii_terms_are_judged_and_removed_all_over_the_document(spark):
     filler = " ".join(f"common{c}" for c in "abcdefghijklmnop")
-    texts = [f"Zorblax wrote from joe@x.org {filler} then zorblax {filler} (Zorblax) and Quuxly Zorblax+1 ZorblaxJoe joe@x.orgé" for _ in range(3)]
+    texts = [f"Zorblax wrote from joe@x.org {filler} then zorblax {filler} (Zorblax) and Quuxly Zorblax+1 ZorblaxJoe joe@x.orgé turn{k}" for k in range(3)]
     texts += [f"{filler} wrote then and item{i}" for i in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     spans = pii.digest(docs).where("doc_id = 1").first().spans.split(",")
