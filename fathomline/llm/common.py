@@ -38,7 +38,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialised tables that nothing reads any more; other folders are left alone."""
+    """Delete the files of materialised tables that nothing reads any more; other folders are left alone. The driver
+    then collects its garbage, so broadcasts and shuffles of what is gone go too, and its heap shrinks between
+    the rounds of an iteration."""
     for df in tables:
         spark = df.sparkSession
         jvm, conf, root = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), shared_dir(spark)
@@ -47,6 +49,8 @@ def discard(*tables: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             if path.getParent().toUri().getPath() == under:
                 path.getFileSystem(conf).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
