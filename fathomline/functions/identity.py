@@ -6,16 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .canonical import hash_record
+from .text import is_nfc, nfc, trimmed, units
 
 
 def identity_segment(value: Column) -> Column:
-    """A trimmed, percent-encoded segment of a contract key (F3); null where it is empty, longer than 512
-    characters or holds a NUL. Texts are expected composed (NFC), which Spark has no function for."""
-    trimmed = F.trim(value)
-    out = F.url_encode(trimmed)
+    """A composed, trimmed, percent-encoded segment of a contract key (F3); null where it is empty, longer than 512
+    units or holds a NUL."""
+    segment = trimmed(nfc(value))
+    out = F.url_encode(segment)
     for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
         out = F.replace(out, F.lit(code), F.lit(char))
-    return F.when(F.length(trimmed).between(1, 512) & (F.instr(trimmed, "\0") == 0), out)
+    return F.when(units(segment).between(1, 512) & (F.instr(segment, "\0") == 0), out)
 
 
 def contract_key(scheme: str, *segments: Column) -> Column:
@@ -35,12 +36,12 @@ def _bare_path(path: Column) -> Column:
 
 def alias_value(kind: Column, value: Column) -> Column:
     """Normal form by kind of alias (F8)."""
-    trimmed = F.trim(value)
+    bare = trimmed(value)
     return (
-        F.when(kind == "host", F.regexp_replace(F.lower(trimmed), r"\.$", ""))
-        .when(kind == "package_coordinate", F.lower(trimmed))
-        .when(kind == "path_prefix", _bare_path(trimmed))
-        .otherwise(trimmed)
+        F.when(kind == "host", F.regexp_replace(F.lower(bare), r"\.$", ""))
+        .when(kind == "package_coordinate", F.lower(bare))
+        .when(kind == "path_prefix", _bare_path(bare))
+        .otherwise(bare)
     )
 
 
@@ -212,21 +213,31 @@ def elapsed_ms(start: Column, end: Column) -> Column:
     return F.greatest(F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp")), F.lit(0).cast("long"))
 
 
-#: Forms of identifiers.
+_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+_SHA = "sha256:[0-9a-f]{64}"
+#: Forms of identifiers (P9): those made of a time-ordered identifier, those made of a hash, others.
 IDENTIFIERS = {
-    "commit": "^(?:[0-9a-f]{40}|[0-9a-f]{64})$", "content_hash": "^sha256:[0-9a-f]{64}$",
+    **{name: f"^{prefix}_{_UUID}$" for name, prefix in (("workspace", "wsp"), ("generation", "gen"), ("lease", "lea"), ("overlay", "ovl"), ("evidence", "evd"), ("job", "job"), ("analysis", "ana"), ("review", "rev"))},
+    **{name: f"^{prefix}_{_SHA}$" for name, prefix in (
+        ("registry", "reg"), ("config", "cfg"), ("policy", "pol"), ("edge", "edg"), ("finding", "fnd"), ("occurrence", "occ"), ("reference", "ref"), ("suppression", "sup"), ("case", "cas"), ("promotion", "pro"), ("reasoning", "rrn"),
+    )},
+    "commit": "^(?:[0-9a-f]{40}|[0-9a-f]{64})$", "content_hash": f"^{_SHA}$", "repository": f"^(?:github:[1-9][0-9]*|local:{_SHA})$", "adapter": r"^[a-z][a-z0-9]*(?:[.-][a-z0-9]+)+$",
     "instant": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$",
 }
 
 
 def valid_identifier(kind: str, value: Column) -> Column:
-    return F.coalesce(value.rlike(IDENTIFIERS[kind]), F.lit(False))
+    """Whether a text has its kind's form; an instant must be one of the calendar as well."""
+    fits = value.rlike(IDENTIFIERS[kind])
+    if kind == "instant":
+        fits = fits & F.try_to_timestamp(F.when(fits, value)).isNotNull()
+    return F.coalesce(fits, F.lit(False))
 
 
 def valid_repo_path(path: Column) -> Column:
-    """A path within a repository: relative, without steps up or empty ones, backslashes and NULs."""
+    """A path within a repository: relative, composed, without steps up or empty ones, backslashes and NULs."""
     parts = F.split(path, "/", -1)
-    return F.coalesce((path != "") & ~path.rlike(r"[\\\x00]") & ~F.exists(parts, lambda p: p.isin("", ".", "..")), F.lit(False))
+    return F.coalesce((path != "") & ~path.rlike(r"[\\\x00]|^[A-Za-z]:") & ~F.exists(parts, lambda p: p.isin("", ".", "..")) & is_nfc(path), F.lit(False))
 
 
 def valid_at(start: Column, end: Column, at: Column) -> Column:

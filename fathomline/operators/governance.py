@@ -51,14 +51,18 @@ def restrict(rows: DataFrame, authorised: DataFrame, column: str = "repository")
 
 
 def suppression_states(rules: DataFrame, events: DataFrame, predicates: DataFrame, versions: DataFrame, now: Column) -> DataFrame:
-    """State of each rule: revoked, expired, invalidated, review_due, else active, and the reasons of an
-    invalidation (ST8). The latest event of a rule decides; equal times go to the larger event id.
-
-    predicates(rule_id, kind, subject, expected) hold while versions(kind, subject, current) say the same of
-    their subject; nine kinds of subject, from code to registry, are one equi-join."""
-    last = events.groupBy("rule_id").agg(F.max_by(F.struct("state", "next_review_at", "next_expires_at"), F.struct("at", "event_id")).alias("last"))
+    """State of each rule: revoked, expired, invalidated, review_due, else active, with the reason (ST8), and all the
+    reasons of an invalidation. The latest event of a rule decides; equal times go to the larger event id.
+
+    predicates(rule_id, kind, subject, expected, position) hold while versions(kind, subject, current) say the same of
+    their subject; nine kinds of subject, from code to registry, are one equi-join. The reason is that of the first
+    predicate that does not hold, by position (by kind where there is none)."""
+    event = [C("state"), C("next_review_at"), C("next_expires_at"), (C("reason") if "reason" in events.columns else F.lit(None).cast("string")).alias("reason")]
+    last = events.groupBy("rule_id").agg(F.max_by(F.struct(*event), F.struct("at", "event_id")).alias("last"))
     held = predicates.join(versions, ["kind", "subject"], "left").where(~C("expected").eqNullSafe(C("current")))
-    failed = held.groupBy("rule_id").agg(F.array_sort(F.collect_set(F.concat("kind", F.lit("_changed")))).alias("reasons"))
+    changed = F.concat("kind", F.lit("_changed"))
+    place = C("position") if "position" in predicates.columns else C("kind")
+    failed = held.groupBy("rule_id").agg(F.array_sort(F.collect_set(changed)).alias("reasons"), F.min_by(changed, F.struct(place, C("kind"))).alias("_first"))  # a rule's own predicates
     joined = rules.join(last, "rule_id", "left").join(failed, "rule_id", "left")
     state = (
         F.when(C("last.state") == "revoked", "revoked")
@@ -67,7 +71,8 @@ def suppression_states(rules: DataFrame, events: DataFrame, predicates: DataFram
         .when(now >= F.coalesce("last.next_review_at", "review_at"), "review_due")
         .otherwise("active")
     )
-    out = joined.select(*rules.columns, state.alias("state"), "reasons")
+    reason = F.when(state == "revoked", C("last.reason")).when(state == "expired", "fallback_expiry_reached").when(state == "invalidated", C("_first")).when(state == "review_due", "scheduled_review_due")
+    out = joined.select(*rules.columns, state.alias("state"), reason.alias("reason"), "reasons")
     return out.withColumn("reasons", F.when(C("state") == "invalidated", C("reasons")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import alias_value, gateway_rewrite, valid_at
+from ..sources.tables import insert_if_absent
 
 C = F.col
 
@@ -75,10 +76,7 @@ def sync_registry(selected: DataFrame, services: DataFrame, aliases: DataFrame)
 def put_revisions(held: DataFrame, incoming: DataFrame, pointers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Revisions(workspace, revision, sequence, hash) to append, those that conflict with a held one of their
     name, and each workspace's current pointer, which only moves to a higher sequence (S18)."""
-    known = held.select("workspace", "revision", C("hash").alias("_held"))
-    joined = incoming.join(known, ["workspace", "revision"], "left")
-    new = joined.where("_held is null").drop("_held").dropDuplicates(["workspace", "revision"])
-    conflicts = joined.where(C("_held") != C("hash")).drop("_held")
+    new, conflicts = insert_if_absent(held, incoming, ["workspace", "revision"], "hash")
     every = pointers.select("workspace", "revision", "sequence").unionByName(new.select("workspace", "revision", "sequence"))
     current = every.groupBy("workspace").agg(F.max(F.struct("sequence", "revision")).alias("top")).select("workspace", "top.revision", "top.sequence")
     return new, conflicts, current

@@ -138,8 +138,8 @@ CLASSIFIED = f""", classified AS (SELECT *, CASE WHEN entry_kind <> 'file' THEN
     WHEN regexp_extract(lower(path), '\\.[^./]*$') NOT IN ('.ts', '.py', '.md', '.sql') THEN 'unsupported' ELSE 'source' END AS classification FROM artifacts)"""
 _STATE = f""", ev AS (SELECT user_id AS rule_id, event_type = 'error' AS revoked, CASE WHEN event_id % 2 = 0 THEN DATE '2001-01-01' END AS next_expires_at, ts, event_id FROM events WHERE event_type IN ('error', 'view')),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts DESC, event_id DESC) AS n FROM ev) WHERE n = 1),
-broken AS (SELECT rule_id, array_to_string(list_sort(list(DISTINCT concat(p.kind, '_changed'))), ',') AS reasons FROM rule_predicates p LEFT JOIN rule_versions v ON v.kind = p.kind AND v.subject = p.subject WHERE v.current IS DISTINCT FROM p.expected GROUP BY 1),
-ruled AS (SELECT r.*, b.reasons, CASE WHEN l.revoked THEN 'revoked' WHEN {AT} >= coalesce(l.next_expires_at, r.expires_at) THEN 'expired' WHEN b.reasons IS NOT NULL THEN 'invalidated'
+broken AS (SELECT rule_id, array_to_string(list_sort(list(DISTINCT concat(p.kind, '_changed'))), ',') AS reasons, arg_min(concat(p.kind, '_changed'), p.position) AS first FROM rule_predicates p LEFT JOIN rule_versions v ON v.kind = p.kind AND v.subject = p.subject WHERE v.current IS DISTINCT FROM p.expected GROUP BY 1),
+ruled AS (SELECT r.*, b.reasons, b.first, CASE WHEN l.revoked THEN 'revoked' WHEN {AT} >= coalesce(l.next_expires_at, r.expires_at) THEN 'expired' WHEN b.reasons IS NOT NULL THEN 'invalidated'
     WHEN {AT} >= r.review_at THEN 'review_due' ELSE 'active' END AS state FROM rules r LEFT JOIN last l ON l.rule_id = r.rule_id LEFT JOIN broken b ON b.rule_id = r.rule_id)"""
 _SCOPE = """scoped AS (SELECT q.repository, CASE WHEN q.repository = 5 THEN 'included' WHEN m.c_custkey IS NULL THEN 'unknown' WHEN m.c_nationkey % 4 = 0 THEN 'not_selected' WHEN d.repository IS NOT NULL THEN 'consent_denied' ELSE 'included' END AS standing
     FROM (SELECT o_custkey AS repository FROM orders UNION SELECT n_nationkey + 10000000 FROM nation) q LEFT JOIN customer m ON q.repository = m.c_custkey
@@ -306,7 +306,7 @@ SQL |= {
     "team_burden": _with("cases", f"\nSELECT team, count(DISTINCT CASE WHEN {_SEL} THEN pull_request END) AS alerted, (SELECT count(DISTINCT opened_on) FROM cases) AS active, round(count(DISTINCT CASE WHEN {_SEL} THEN pull_request END) / (SELECT count(DISTINCT opened_on) FROM cases), 9) AS per_active_day FROM cases GROUP BY 1"),
     "distinct_counts": _with("cases", "\nSELECT count(DISTINCT organization) AS organizations, count(DISTINCT (producer, consumer)) AS pairs FROM cases"),
     "usefulness": _with("cases", f"\nSELECT count(action_observed) AS eligible, count(*) FILTER (action_observed) AS observed_actions, {_ratio('count(*) FILTER (action_observed)', 'count(action_observed)')} AS action_rate, quantile_disc(time_to_action_ms, 0.5) AS median_time_to_action, count(*) FILTER (action_censored) AS censored FROM cases"),
-    "suppression_state": _with(_RULES, _STATE + "\nSELECT rule_id, state, CASE WHEN state = 'invalidated' THEN reasons ELSE '' END AS reasons FROM ruled"),
+    "suppression_state": _with(_RULES, _STATE + "\nSELECT rule_id, state, CASE state WHEN 'expired' THEN 'fallback_expiry_reached' WHEN 'invalidated' THEN first WHEN 'review_due' THEN 'scheduled_review_due' END AS reason, CASE WHEN state = 'invalidated' THEN reasons ELSE '' END AS reasons FROM ruled"),
     "suppression_audit": _with(_RULES, _STATE + "\nSELECT " + ", ".join(f"count(*) FILTER (scope = '{x}') AS {x}" for x in ("occurrence", "stable_finding", "contract_consumer", "repository_pair_kind", "adapter_rule", "workspace_rule")) + ", count(*) FILTER (scope IN ('adapter_rule', 'workspace_rule')) AS broad_rules, concat_ws(',', CASE WHEN count(*) FILTER (scope IN ('adapter_rule', 'workspace_rule')) >= 3 THEN 'broad_rule_concentration' END, CASE WHEN count(*) FILTER (scope = 'workspace_rule') > 0 THEN 'workspace_rule_active' END) AS anomalies FROM ruled WHERE state = 'active'"),
     "suppression_match": _with(_RULES + " candidates", _STATE + f", active AS (SELECT * FROM ruled WHERE state = 'active'), m AS (SELECT c.occurrence_id, min(active.rule_id) AS rule_id FROM candidates c LEFT JOIN active ON {_SUITS} GROUP BY 1)\n SELECT rule_id, rule_id IS NOT NULL AS suppressed, count(*) AS n FROM m GROUP BY ALL"),
     "authorization": f"WITH {_SCOPE}, l AS (SELECT o_custkey AS repository, arg_max(o_orderkey % 5 = 0, o_orderkey) AS denied, arg_max(o_orderkey % 2, o_orderkey) AS revision FROM orders GROUP BY 1) SELECT s.repository, CASE WHEN l.repository IS NULL THEN 'unavailable' WHEN denied THEN 'denied' WHEN revision <> 1 THEN 'revision_changed' END AS gap FROM scoped s LEFT JOIN l USING (repository) WHERE standing = 'included'",

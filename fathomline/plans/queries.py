@@ -10,7 +10,7 @@ from ..functions import canonical, identity, stats
 from ..operators import artifacts, contracts, delivery, evaluation, governance, graph, incremental, queues, readers, reasoning, registry, renames, resample, snapshots
 from ..sources import extract, records
 from ..sources.tables import latest_by_key, materialise, relation, shared_dir, table
-from . import adapters, analyze, more_sql, protocol2
+from . import adapters, analyze, more_sql, protocol2, stores
 from .oracle import SQL
 
 C = F.col
@@ -388,7 +388,7 @@ def _rules(spark, sf_dir):
 
 
 def suppression_state(spark, sf_dir):
-    return _rules(spark, sf_dir).select("rule_id", "state", F.concat_ws(",", "reasons").alias("reasons"))
+    return _rules(spark, sf_dir).select("rule_id", "state", "reason", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def suppression_audit(spark, sf_dir):
@@ -927,8 +927,8 @@ def tree_renames(spark, sf_dir):
 
 def queries() -> dict:
     own = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("queries", "oracle_sql")}
-    return own | adapters.queries() | protocol2.queries()
+    return own | adapters.queries() | protocol2.queries() | stores.queries()
 
 
 def oracle_sql() -> dict:
-    return SQL | adapters.SQL | more_sql.SQL | protocol2.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}
+    return SQL | adapters.SQL | more_sql.SQL | protocol2.SQL | stores.SQL | {"incremental_rejoin": SQL["changed_contract_join"]}

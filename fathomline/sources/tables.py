@@ -140,7 +140,7 @@ BINDINGS = {
     "rule_predicates": """
         SELECT c_custkey AS rule_id, CASE (c_custkey + i) % 9 WHEN 0 THEN 'producer_code' WHEN 1 THEN 'consumer_code' WHEN 2 THEN 'consumer_reference' WHEN 3 THEN 'contract_shape' WHEN 4 THEN 'identity_version'
                     WHEN 5 THEN 'adapter_version' WHEN 6 THEN 'evidence_stratum' WHEN 7 THEN 'policy_revision' ELSE 'registry_revision' END AS kind,
-               concat('s', CAST(c_nationkey AS STRING)) AS subject, CASE WHEN c_custkey % 8 = 5 THEN 'old' ELSE concat('v', CAST(c_nationkey % 3 AS STRING)) END AS expected
+               concat('s', CAST(c_nationkey AS STRING)) AS subject, CASE WHEN c_custkey % 8 = 5 THEN 'old' ELSE concat('v', CAST(c_nationkey % 3 AS STRING)) END AS expected, i AS position
         FROM {customer} CROSS JOIN (VALUES (0), (4)) AS k(i)""",
     "rule_versions": """
         SELECT kind, concat('s', CAST(n_nationkey AS STRING)) AS subject, concat('v', CAST(n_nationkey % 3 AS STRING)) AS current
@@ -178,10 +178,16 @@ def relation_sql(*names: str) -> str:
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: list[str], content: str) -> tuple[DataFrame, DataFrame]:
-    """Rows to append, and conflicts: incoming rows whose key exists with other content."""
-    held = existing.select(*key, F.col(content).alias("_held"))
-    joined = incoming.join(held, key, "left")
-    return joined.where("_held is null").drop("_held").dropDuplicates(key), joined.where(F.col("_held") != F.col(content)).drop("_held")
+    """Rows to append, one a key, and conflicts (S7, S18): incoming rows whose key is held with other content, or
+    comes with several contents at once; of the latter none is appended. A null content is a content."""
+    rest = [c for c in incoming.columns if c not in (*key, content)]
+    own = F.struct(F.col(content).isNull().alias("none"), F.col(content).alias("content"))
+    once = incoming.groupBy(*key).agg(F.min(F.struct(own.alias("own"), *rest)).alias("_row"), F.max(own).alias("_last"))
+    once = once.join(existing.select(*key, own.alias("_held")).dropDuplicates(key), key, "left")
+    agree = F.col("_row.own") == F.col("_last")
+    new = once.where(agree & F.col("_held").isNull()).select(*(c if c in key else F.col("_row.own.content" if c == content else f"_row.{c}").alias(c) for c in incoming.columns))
+    bad = once.where(~agree | (F.col("_held") != F.col("_last"))).select(*key)
+    return new, incoming.join(bad, key, "left_semi")
 
 
 def latest_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -193,6 +193,9 @@ def test_suppression_precedence(spark):
     got = {r.rule_id: (r.state, r.reasons) for r in governance.suppression_states(rules, ev, predicates, versions, F.lit("2001-06-01").cast("date")).collect()}
     assert {i: s for i, (s, _) in got.items()} == {0: "revoked", 1: "review_due", 2: "active", 3: "expired", 4: "expired", 5: "invalidated", 6: "active", 7: "invalidated"}
     assert got[5][1] == ["adapter_version_changed", "policy_revision_changed"] and got[3][1] is None
+    placed = predicates.withColumn("position", F.when(C("kind") == "policy_revision", 1).otherwise(2))
+    why = {r.rule_id: r.reason for r in governance.suppression_states(rules, ev.withColumn("reason", F.lit("no longer wanted")), placed, versions, F.lit("2001-06-01").cast("date")).collect()}
+    assert why == {0: "no longer wanted", 1: "scheduled_review_due", 2: None, 3: "fallback_expiry_reached", 4: "fallback_expiry_reached", 5: "policy_revision_changed", 6: None, 7: "contract_shape_changed"}
 
 
 def test_suppressions_by_scope(spark):
