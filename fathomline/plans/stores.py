@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import identity
+from ..operators import modules
 from ..sources import trees
 from ..sources.tables import BINDINGS, relation, relation_sql, shared_dir, table
 from ..streaming.ledger import LedgerSink
@@ -55,6 +56,20 @@ def canonical_records(spark, sf_dir):
     return sink.batches().select("batch", "appended", "conflicts").unionByName(sink.records().agg(F.lit(-1).cast("long").alias("batch"), F.count("*").alias("appended"), F.countDistinct("id").alias("conflicts")))
 
 
+def typescript_modules(spark, sf_dir):
+    """Imports of files among the documents, relative and by the aliases of two configurations."""
+    k = C("p_partkey")
+    name = F.concat(F.lit("f"), k.cast("string"))
+    imports = table(spark, sf_dir, "part").select(
+        k.alias("import_id"), F.when(k % 4 == 0, "src/app/x.ts").when(k % 4 == 1, "lib/y.ts").otherwise("src/x.ts").alias("path"),
+        F.when(k % 4 == 0, F.concat(F.lit("../"), name, F.lit(".js"))).when(k % 4 == 1, F.concat(F.lit("@src/"), name)).when(k % 4 == 2, F.concat(F.lit("v!"), name, F.lit("!v"))).otherwise(F.concat(F.lit("./vendor/./"), name)).alias("specifier"),
+    )
+    texts = [("tsconfig.json", '{"compilerOptions": {"paths": {"@src/*": ["./missing/*", "src/*"], "v!*!v": ["dist/*"]}}}'), ("src/tsconfig.json", '{"compilerOptions": {"baseUrl": "..", "paths": {"v!*!v": ["src/vendor/*"]}}}')]
+    texts = F.array(*(F.struct(F.lit(a).alias("path"), F.lit(b).alias("text")) for a, b in texts))
+    configs = modules.parse_configs(spark.range(1).select(F.explode(texts).alias("t")).select("t.*"))
+    return modules.resolve(imports, configs, relation(spark, sf_dir, "artifacts").select("path"))
+
+
 _BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160), chr(5760), chr(8192), chr(8193), chr(8194), chr(8195), chr(8196), chr(8197), chr(8198), chr(8199), chr(8200), chr(8201), chr(8202), chr(8232), chr(8233), chr(8239), chr(8287), chr(12288), chr(65279))"
 SQL = {
     "tree_entries": f"""{relation_sql("tree_records")}, bad AS (SELECT DISTINCT repository, "commit" FROM tree_records WHERE contains(path, '//'))
@@ -62,6 +77,10 @@ SQL = {
     "refused_trees": f"""{relation_sql("tree_records")} SELECT repository, "commit", count(*) AS malformed FROM tree_records WHERE contains(path, '//') GROUP BY 1, 2""",
     "contract_identities": f"""WITH n AS (SELECT p_partkey, p_brand, CASE p_partkey % 6 WHEN 0 THEN concat(chr(12288), ' ', p_name, chr(9)) WHEN 1 THEN concat('cafe', chr(769), '/', p_brand) WHEN 2 THEN concat('caf', chr(233), '/', p_brand, chr(65279)) WHEN 3 THEN concat(' ', chr(8195)) WHEN 4 THEN repeat('n', p_partkey % 4 + 510) ELSE p_type END AS name FROM part),
         t AS (SELECT p_partkey, p_brand, trim(nfc_normalize(name), {_BLANKS}) AS name FROM n) SELECT p_partkey, CASE WHEN length(name) BETWEEN 1 AND 512 THEN concat('npm:', url_encode(p_brand), '#', url_encode(name)) END AS canonical_key FROM t""",
+    "typescript_modules": f"""{relation_sql("artifacts")}, i AS (SELECT p_partkey AS import_id, CASE p_partkey % 4 WHEN 0 THEN [concat('src/f', p_partkey, '.js')] WHEN 1 THEN [concat('missing/f', p_partkey), concat('src/f', p_partkey)] WHEN 2 THEN [concat('src/vendor/f', p_partkey), concat('dist/f', p_partkey)] ELSE [concat('src/vendor/f', p_partkey)] END AS bases FROM part),
+        b AS (SELECT import_id, unnest(bases) AS base, unnest(range(len(bases))) AS place FROM i), c AS (SELECT import_id, place, base, regexp_replace(base, '\\.(mjs|cjs|js|jsx)$', '') AS bare FROM b),
+        t AS (SELECT import_id, place, unnest([base, bare, concat(bare, '.ts'), concat(bare, '.tsx'), concat(bare, '.mts'), concat(bare, '.cts'), concat(bare, '.d.ts'), concat(bare, '.js'), concat(bare, '.jsx'), concat(bare, '.mjs'), concat(bare, '.cjs'), concat(bare, '/index.ts'), concat(bare, '/index.tsx')]) AS path, unnest(range(13)) AS nth FROM c)
+        SELECT import_id, arg_min(path, place * 100 + nth) AS path FROM t WHERE path IN (SELECT path FROM artifacts) GROUP BY import_id""",
     "canonical_records": """WITH o AS (SELECT DISTINCT o_orderkey AS id FROM orders), b(batch, id, h) AS (SELECT 0, id, 'a' FROM o WHERE id % 3 = 0 UNION ALL SELECT 1, id, 'a' FROM o WHERE id % 3 = 1 OR id % 6 = 0 UNION ALL SELECT 1, id, 'b' FROM o WHERE id % 9 = 0 UNION ALL SELECT 2, id, 'a' FROM o UNION ALL SELECT 2, id, 'c' FROM o WHERE id % 15 = 2),
         g AS (SELECT batch, id, count(DISTINCT h) AS kinds, min(h) AS h, count(*) AS n FROM b GROUP BY 1, 2), ok AS (SELECT id, min(batch) AS batch, arg_min(h, batch) AS h FROM g WHERE kinds = 1 GROUP BY id),
         s AS (SELECT g.batch, count(*) FILTER (ok.batch = g.batch) AS appended, CAST(coalesce(sum(g.n) FILTER (g.kinds > 1 OR ok.batch < g.batch AND ok.h <> g.h), 0) AS BIGINT) AS conflicts FROM g LEFT JOIN ok USING (id) GROUP BY g.batch)
