@@ -354,9 +354,9 @@ SQL |= {
         UNION ALL SELECT path, 'reference', 'secret_reference', """ + _SECRETS.format(n="'prod'", p="'vault'", i="concat('s', p_size)") + " FROM s WHERE p_partkey % 3 = 0 UNION ALL SELECT path, 'limitation', 'limitation', 'computed_configuration_key' FROM s WHERE p_partkey % 3 = 0",
     "event_bindings": f"""WITH s AS (SELECT p_partkey, p_size, {_PATHS} FROM part) SELECT path, 'kafka' AS provider, 'producer' AS role, 'topic' AS kind, CAST(NULL AS VARCHAR) AS namespace, concat('orders-', p_size) AS destination FROM s UNION ALL SELECT path, 'kafka', 'consumer', 'topic', NULL, concat('orders-', p_partkey) FROM s
         UNION ALL SELECT path, 'aws_sqs', 'producer', 'queue', concat('aws:eu-west-1:', p_partkey), 'jobs' FROM s WHERE p_partkey % 2 = 0 UNION ALL SELECT path, 'aws_sns', 'consumer', 'topic', 'aws:us-east-1:7', concat('t', p_size) FROM s WHERE p_partkey % 3 = 0 UNION ALL SELECT path, 'gcp_pubsub', 'producer', 'topic', NULL, concat('g', p_size) FROM s WHERE p_partkey % 3 = 0""",
-    "module_exports": f"""WITH s AS (SELECT p_partkey, p_size, {_PATHS} FROM part) SELECT path, 'export' AS role, concat('make', p_partkey) AS name, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS imported FROM s UNION ALL SELECT path, 'export', concat('outer', p_size), NULL, NULL FROM s UNION ALL SELECT path, 'export', 'plain', NULL, NULL FROM s
-        UNION ALL SELECT path, 'reexport', '*', concat('./m', p_size), '*' FROM s WHERE p_partkey % 2 = 0 UNION ALL SELECT path, 'import', concat('./m', p_size), concat('./m', p_size), NULL FROM s WHERE p_partkey % 2 = 0 UNION ALL SELECT path, 'reexport', 'B', 'lib', 'A' FROM s WHERE p_partkey % 3 = 0
-        UNION ALL SELECT path, 'import', x, x, NULL FROM (SELECT path, p_partkey, unnest(['lib', './y']) AS x FROM s) WHERE p_partkey % 3 = 0""",
+    "module_exports": f"""WITH s AS (SELECT p_partkey, p_size, {_PATHS} FROM part) SELECT path, 'export' AS role, concat('make', p_partkey) AS name, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS imported, CAST(NULL AS VARCHAR) AS kind FROM s UNION ALL SELECT path, 'export', concat('outer', p_size), NULL, NULL, NULL FROM s UNION ALL SELECT path, 'export', 'plain', NULL, NULL, NULL FROM s
+        UNION ALL SELECT path, 'reexport', '*', concat('./m', p_size), '*', 'static' FROM s WHERE p_partkey % 2 = 0 UNION ALL SELECT path, 'import', concat('./m', p_size), concat('./m', p_size), NULL, 'static' FROM s WHERE p_partkey % 2 = 0 UNION ALL SELECT path, 'reexport', 'B', 'lib', 'A', 'static' FROM s WHERE p_partkey % 3 = 0
+        UNION ALL SELECT path, 'import', x, x, NULL, 'static' FROM (SELECT path, p_partkey, unnest(['lib', './y']) AS x FROM s) WHERE p_partkey % 3 = 0 UNION ALL SELECT path, 'import', x, x, NULL, k FROM (SELECT path, p_partkey, unnest(['./lazy', 'old']) AS x, unnest(['dynamic', 'require']) AS k FROM s) WHERE p_partkey % 5 = 0""",
     "reexport_closure": "SELECT concat('src/p', a.p_partkey, '.ts') AS path, concat('own', b.p_partkey) AS name, concat('src/p', b.p_partkey, '.ts') AS declared_in, CAST(a.p_partkey - b.p_partkey AS INTEGER) AS steps FROM part a JOIN part b ON b.p_partkey <= a.p_partkey AND a.p_partkey // 10 = b.p_partkey // 10",
     "symbol_overloads": "SELECT CASE WHEN p_size % 2 = 0 THEN 'type' ELSE 'value' END AS space, p_type AS name, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS overloads FROM part GROUP BY 1, 2",
     "api_operations": f"""WITH s AS (SELECT p_partkey, p_size, {_PATHS} FROM part) SELECT path, 'operation' AS kind, concat('make', p_partkey) AS name, '' AS detail FROM s WHERE p_partkey % 3 = 0 UNION ALL SELECT path, 'limitation', 'YamlError', NULL FROM s WHERE p_partkey % 3 <> 0 AND p_partkey % 7 = 0

@@ -722,7 +722,7 @@ def event_bindings(spark, sf_dir):
 
 
 def module_exports(spark, sf_dir):
-    text = F.concat_ws("\n", _say("export async function make%s() {}", "p_partkey"), _say("export { inner as outer%s, plain };", "p_size"), F.when(C("p_partkey") % 2 == 0, _say("export * from './m%s';", "p_size")), F.when(C("p_partkey") % 3 == 0, "export type { A as B } from 'lib';\nimport x from './y';"))
+    text = F.concat_ws("\n", _say("export async function make%s() {}", "p_partkey"), _say("export { inner as outer%s, plain };", "p_size"), F.when(C("p_partkey") % 2 == 0, _say("export * from './m%s';", "p_size")), F.when(C("p_partkey") % 3 == 0, "export type { A as B } from 'lib';\nimport x from './y';"), F.lit("// export const hidden = 1;\n/* import 'gone';\nexport * from 'gone' */\nconst s = \"export const text = 'import(1)'\";\nconst t = `export class Template {}\nrequire('gone')`;"), F.when(C("p_partkey") % 5 == 0, "const lazy = () => import('./lazy'); const old = require(\"old\"); // import 'no'"))
     return extract.module_symbols(_sources(spark, sf_dir, text))
 
 

@@ -179,25 +179,45 @@ def event_manifests(files: DataFrame, schema: str = "events") -> DataFrame:
 _IDENTIFIER = r"[A-Za-z_$][\w$]*"
 
 
+#: Comments and literals of source text, none of which can backtrack: a line, a block (to the end if it is open), quoted
+#: text on one line, a template. What stands in a regular expression's literal is not told from code.
+_OPAQUE = r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'|\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+
+
+def masked(text: Column) -> tuple[Column, Column]:
+    """Source text in one pass with comments as a space and every literal as its number in quotes, and the list that the
+    numbers mean: nothing inside either can look like code."""
+    hits = F.regexp_extract_all(text, F.lit(_OPAQUE), F.lit(0))
+    quote = lambda h: F.substring(h, 1, 1)
+    told = F.transform(hits, lambda h, i: F.when(quote(h) == "/", F.lit(" ")).otherwise(F.concat(quote(h), i.cast("string"), quote(h))))
+    code = F.transform(F.arrays_zip(F.split(text, _OPAQUE, -1).alias("gap"), told.alias("told")), lambda x: F.concat(x["gap"], F.coalesce(x["told"], F.lit(""))))
+    return F.array_join(code, ""), F.transform(hits, lambda h: F.substr(h, F.lit(2), F.length(h) - 2))
+
+
 def module_symbols(files: DataFrame) -> DataFrame:
     """Exported names, re-exports and imports of modules, by a bounded set of forms rather than a grammar (X1):
-    role, name, source (of a re-export or import) and imported, the name there (`*` for all)."""
-    text = C("text")
+    role, name, source (of a re-export or import), imported, the name there (`*` for all), and kind: how an import is
+    made, static, dynamic or by require. Comments and literals are masked first."""
+    code, literals = masked(C("text"))
+    files = files.select("path", code.alias("text"), literals.alias("literals"))
+    text, called = C("text"), lambda n: F.get(C("literals"), n.try_cast("int"))
     own = _matches(text, rf"\bexport\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|const|let|var|interface|type|enum|namespace)\s+({_IDENTIFIER})", 1, 2)
     default = F.regexp_extract_all(text, F.lit(r"\bexport\s+(default)\b"), F.lit(1))
-    stars = F.regexp_extract_all(text, F.lit(r"""\bexport\s*\*\s*from\s*['"]([^'"]+)['"]"""), F.lit(1))
-    lists = _matches(text, r"""\bexport\s+(?:type\s+)?\{([^}]*)\}(?:\s*from\s*['"]([^'"]+)['"])?""", 1, 2)
-    brought = F.regexp_extract_all(text, F.lit(r"""(?:\bfrom|\bimport\(|\brequire\(|\bimport)\s*['"]([^'"]+)['"]"""), F.lit(1))
+    stars = F.regexp_extract_all(text, F.lit(r"""\bexport\s*\*\s*from\s*['"](\d+)['"]"""), F.lit(1))
+    lists = _matches(text, r"""\bexport\s+(?:type\s+)?\{([^}]*)\}(?:\s*from\s*['"](\d+)['"])?""", 1, 2)
+    brought = _matches(text, r"""(\bfrom|\bimport\s*\(|\brequire\s*\(|\bimport)\s*['"](\d+)['"]""", 1, 2)
     none = F.lit(None).cast("string")
-    row = lambda role, name, source=none, imported=none: F.struct(F.lit(role).alias("role"), name.alias("name"), source.alias("source"), imported.alias("imported"))
+    row = lambda role, name, source=none, imported=none, kind=none: F.struct(F.lit(role).alias("role"), name.alias("name"), source.alias("source"), imported.alias("imported"), kind.alias("kind"))
     pairs = lambda m: F.transform(F.filter(F.transform(F.split(m["g0"], ","), lambda x: F.trim(x)), lambda n: n != ""), lambda n: F.struct(n.alias("n"), m["g1"].alias("from")))
     each = F.flatten(F.transform(lists, pairs))
     outer = lambda n: F.regexp_extract(n, rf"({_IDENTIFIER})\s*$", 1)
     inner = lambda n: F.regexp_extract(n, rf"^(?:type\s+)?({_IDENTIFIER})", 1)
+    way = lambda m: F.when(m["g0"].startswith("require"), "require").when(m["g0"].endswith("("), "dynamic").otherwise("static")
+    static = F.lit("static")
     found = F.concat(
-        F.transform(own, lambda m: row("export", m["g1"])), F.transform(default, lambda n: row("export", n)), F.transform(stars, lambda s: row("reexport", F.lit("*"), s, F.lit("*"))),
+        F.transform(own, lambda m: row("export", m["g1"])), F.transform(default, lambda n: row("export", n)), F.transform(stars, lambda s: row("reexport", F.lit("*"), called(s), F.lit("*"), static)),
         F.transform(F.filter(each, lambda p: p["from"] == ""), lambda p: row("export", outer(p["n"]))),
-        F.transform(F.filter(each, lambda p: p["from"] != ""), lambda p: row("reexport", outer(p["n"]), p["from"], inner(p["n"]))), F.transform(brought, lambda s: row("import", s, s)),
+        F.transform(F.filter(each, lambda p: p["from"] != ""), lambda p: row("reexport", outer(p["n"]), called(p["from"]), inner(p["n"]), static)), F.transform(brought, lambda m: row("import", called(m["g1"]), called(m["g1"]), none, way(m))),
     )
     return files.select("path", F.explode(found).alias("m")).select("path", "m.*").where("name <> ''").distinct()
 
