@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import hash_text
 from ..functions.identity import uniform
 from ..functions.stats import wilson
 from .evaluation import metric_rules, metric_set, pull_request_metrics
+from .validation import set_hash
 
 C = F.col
 
@@ -124,17 +126,13 @@ SUBSETS = ["historical", "executable_replay", "mutation", "forward_shadow"]
 
 
 def corpus_manifest(cases: DataFrame, eligible: int, subsets: list[str] = SUBSETS) -> DataFrame:
-    """Counts of every subset, also of empty ones, how many cases may be published, a hash of all case ids in
-    order, and whether the cases' pull requests are no more than the population they come from (A20)."""
+    """Counts of every subset, also of empty ones, how many cases may be published, a hash of the set of all case
+    ids that no order changes (set_hash(): 240 bits, summed where the cases lie), and whether the cases' pull requests are no more than the population they come from (A20)."""
     public = (C("releaseability") == "public") & C("research_consent") & C("evaluation_consent")
-    ids = F.sha2(F.array_join(F.array_sort(F.collect_list(C("_part"))), ","), 256)
-    # Ids are hashed in a thousand parts, and the parts in order, so no row holds all of them.
-    parts = cases.withColumn("_bucket", F.pmod(F.xxhash64("case_id"), F.lit(1000))).groupBy("_bucket").agg(
-        *(F.count_if(C("subset") == s).alias(s) for s in subsets), F.count("*").alias("cases"), F.count_if(public).alias("public_cases"),
-        F.sum(F.xxhash64("case_id").cast("decimal(38,0)")).cast("string").alias("_part"),
-    )
+    counts = [F.count_if(C("subset") == s).alias(s) for s in subsets]
+    ids = set_hash(hash_text(C("case_id").cast("string")))
     sizes = F.broadcast(cases.agg(F.count_distinct("pull_request").alias("pull_requests")))  # one row
-    out = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*subsets, "cases", "public_cases")), ids.alias("case_ids_hash")).join(sizes)
+    out = cases.agg(*counts, F.count("*").alias("cases"), F.count_if(public).alias("public_cases"), ids.alias("case_ids_hash")).join(sizes)
     return out.withColumn("population_valid", C("pull_requests") <= eligible)
 
 

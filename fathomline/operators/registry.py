@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import alias_value, gateway_rewrite, valid_at
@@ -55,6 +55,20 @@ def overlapping_aliases(aliases: DataFrame) -> DataFrame:
     return a.join(b, [*same, meets]).select(F.col("a.service").alias("service"), F.col("b.service").alias("other"), F.col("a.value").alias("value"))
 
 
+def overlapping_services(services: DataFrame) -> DataFrame:
+    """Versions of a service (id, valid_from, valid_until) that begin before one that began earlier, or at the same
+    time, has ended, each once (J5). Published, a version is held against the one listed before it alone; here
+    against all."""
+    end = F.coalesce("valid_until", F.lit("9999-12-31").cast("date"))
+    before = Window.partitionBy("id").orderBy("valid_from", end).rowsBetween(Window.unboundedPreceding, -1)
+    return services.withColumn("_before", F.max(end).over(before)).where(C("valid_from") < C("_before")).select("id", "valid_from").distinct()
+
+
+def empty_intervals(rows: DataFrame) -> DataFrame:
+    """Rows whose validity ends before, or when, it begins."""
+    return rows.where(C("valid_until") <= C("valid_from"))
+
+
 def dangling(child: DataFrame, parent: DataFrame, key: list[tuple[str, str]], name: str) -> DataFrame:
     """Rows of child without their parent, as counted violations."""
     on = [child[c] == parent[p] for c, p in key]

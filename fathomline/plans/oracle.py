@@ -31,6 +31,8 @@ def _hmac(key: bytes, message: str) -> str:
     return f"sha256({pads[1]} || unhex(sha256({pads[0]} || {message})))"
 
 
+#: Sums of four pieces of the hashes of case ids.
+_LANES = ", ':', ".join(f"coalesce(sum(CAST(concat('0x', substr(sha256(CAST(case_id AS VARCHAR)), {at}, 15)) AS HUGEINT)), 0)" for at in (1, 16, 31, 46))
 _SECRET = b"a shared secret"
 AT = "DATE '2000-06-30'"
 CHANGES = """, changes AS (
@@ -327,7 +329,8 @@ SQL |= {
         m AS (SELECT *, before IS NOT NULL AND v <> before AND NOT c AS changed FROM o), n AS (SELECT *, coalesce(lag(ok AND NOT changed) OVER (PARTITION BY stratum ORDER BY sequence), false) AS was FROM m)
         SELECT stratum, sequence, CASE WHEN changed THEN 'UNMEASURED' WHEN ok THEN 'PROMOTED' WHEN was THEN 'DEMOTED' ELSE 'PREVIEW' END AS state, CASE WHEN changed THEN 'reset_unmeasured' WHEN ok THEN 'promote' WHEN was THEN 'demote' ELSE 'remain_preview' END AS decision, CASE WHEN changed THEN 'incompatible_version_change' WHEN ok THEN '' ELSE 'x' END AS reasons FROM n"""),
     "population_sample": _with("cases", f"\nSELECT case_id, CASE WHEN detector_output IN ('candidate', 'abstained') THEN 1.0 ELSE 0.5 END::DOUBLE AS inclusion_probability, CASE WHEN detector_output IN ('candidate', 'abstained') THEN 1.0 ELSE 2.0 END::DOUBLE AS sampling_weight FROM cases WHERE detector_output IN ('candidate', 'abstained') OR CAST(concat('0x', substr(sha256(concat('\"seed', '\\u0000', pull_request, '\"')), 1, 13)) AS BIGINT) / 4503599627370496.0 < 0.5"),
-    "corpus_manifest": _with("all_cases", "\nSELECT " + ", ".join(f"count(*) FILTER (subset = '{x}') AS {x}" for x in ("historical", "executable_replay", "mutation", "forward_shadow")) + ", count(*) AS cases, count(*) FILTER (releaseability = 'public' AND research_consent AND evaluation_consent) AS public_cases, count(DISTINCT pull_request) AS pull_requests, count(DISTINCT pull_request) <= 1000 AS population_valid FROM all_cases"),
+    "service_overlaps": _with("services", "\n, v AS (SELECT id, valid_from, coalesce(valid_until, valid_from + 1000) AS valid_until FROM services UNION ALL SELECT id, valid_from + CAST(id % 11 * 250 AS INTEGER), CASE WHEN id % 3 = 0 THEN valid_from + CAST(id % 11 * 250 AS INTEGER) + 400 ELSE DATE '9999-12-31' END FROM services), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY valid_from, valid_until) AS n FROM v)\nSELECT DISTINCT b.id, strftime(b.valid_from, '%Y-%m-%d') AS valid_from FROM n a JOIN n b ON a.id = b.id AND a.n < b.n AND b.valid_from < a.valid_until"),
+    "corpus_manifest": _with("all_cases", "\nSELECT " + f"concat('sha256:', sha256(concat(count(*), ':', {_LANES}))) AS case_ids_hash, " + ", ".join(f"count(*) FILTER (subset = '{x}') AS {x}" for x in ("historical", "executable_replay", "mutation", "forward_shadow")) + ", count(*) AS cases, count(*) FILTER (releaseability = 'public' AND research_consent AND evaluation_consent) AS public_cases, count(DISTINCT pull_request) AS pull_requests, count(DISTINCT pull_request) <= 1000 AS population_valid FROM all_cases"),
     "replay_labels": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'breaking' WHEN o_orderkey % 4 = 0 AND o_custkey % 3 <> 0 THEN 'compatible' ELSE 'indeterminate' END AS label FROM orders",
     "webhook_route": f"""WITH w AS (SELECT event_id, user_id, event_type AS t, CASE event_id % 5 WHEN 0 THEN 'index_generation' WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'reconcile_provider' ELSE 'analyze_pull_request' END WHEN 2 THEN 'record_review' WHEN 3 THEN 'reconcile_provider' END AS job FROM events)
         SELECT event_id, job, CASE job WHEN 'analyze_pull_request' THEN {_hash({"workspaceId": "'wsp-1'", "repositoryId": "concat('github:', user_id)", "kind": "job", "pullRequestNumber": ("n", "user_id % 9 + 1")})}

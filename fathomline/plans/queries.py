@@ -68,6 +68,15 @@ def alias_overlap(spark, sf_dir):
     return registry.overlapping_aliases(relation(spark, sf_dir, "aliases"))
 
 
+def service_overlaps(spark, sf_dir):
+    """Services with a second version each, some of which begin before the first has ended."""
+    s = relation(spark, sf_dir, "services").select("id", "valid_from", "valid_until")
+    start = F.date_add("valid_from", (C("id") % 11 * 250).cast("int"))
+    later = s.select("id", start.alias("valid_from"), F.when(C("id") % 3 == 0, F.date_add(start, 400)).alias("valid_until"))
+    first = s.withColumn("valid_until", F.coalesce("valid_until", F.date_add("valid_from", 1000)))
+    return registry.overlapping_services(first.unionByName(later)).select("id", C("valid_from").cast("string").alias("valid_from"))
+
+
 def fk_violations(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     checks = [("lineitem_order", "lineitem", "orders", "l_orderkey", "o_orderkey"), ("order_customer", "orders", "customer", "o_custkey", "c_custkey"), ("label_document", "labels", "documents", "doc_id", "doc_id")]
@@ -513,7 +522,7 @@ def population_sample(spark, sf_dir):
 
 
 def corpus_manifest(spark, sf_dir):
-    return governance.corpus_manifest(relation(spark, sf_dir, "all_cases"), 1_000).drop("case_ids_hash")
+    return governance.corpus_manifest(relation(spark, sf_dir, "all_cases"), 1_000)
 
 
 def replay_labels(spark, sf_dir):

@@ -555,3 +555,11 @@ def test_entry_point_imports_without_a_session():
     root = Path(tables.__file__).parents[2]
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_versions_of_a_service_overlap(spark):
+    d = dt.date
+    rows = [("a", d(2000, 1, 1), d(2001, 1, 1)), ("a", d(2001, 1, 1), None), ("b", d(2000, 1, 1), None), ("b", d(2005, 1, 1), d(2006, 1, 1)), ("c", d(2000, 1, 1), d(2010, 1, 1)), ("c", d(2001, 1, 1), d(2002, 1, 1)), ("c", d(2003, 1, 1), d(2004, 1, 1)), ("d", d(2000, 1, 1), d(2000, 1, 1))]
+    services = spark.createDataFrame(rows, "id string, valid_from date, valid_until date")
+    assert {tuple(r) for r in registry.overlapping_services(services).collect()} == {("b", d(2005, 1, 1)), ("c", d(2001, 1, 1)), ("c", d(2003, 1, 1))}
+    assert [r.id for r in registry.empty_intervals(services).collect()] == ["d"]
