@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
 
+from .common import per_worker
+
 #: Characters that only the library itself encodes here: ASCII separators, the mark of a word's end, and all
 #: beyond the Latin blocks; for a vocabulary with word ends also superscripts and fractions.
 _LIBRARY = re.compile("[\x01\x1c-\x1fɐ-\U0010ffff]")
@@ -67,7 +69,7 @@ class Encoder:
     that drops white space and case and marks the ends of words. Of two generations of up to `limit` chunks
     in the memo the older is forgotten when the younger is full, so what is frequent stays."""
 
-    def __init__(self, path: str, word_ends: bool, limit: int = 150_000):
+    def __init__(self, path: str, word_ends: bool, limit: int = 100_000):
         self.path, self.word_ends, self.limit, self.library = path, word_ends, limit, None
         ranks = _ranks(path, "</w>" if word_ends else "")
         with open(path, encoding="utf-8") as f:
@@ -166,11 +168,6 @@ class Encoder:
         return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, word_ends: bool) -> Encoder:
-    """One per worker process and vocabulary."""
-    if (path, word_ends) not in _ENCODERS:
-        _ENCODERS[path, word_ends] = Encoder(path, word_ends)
-    return _ENCODERS[path, word_ends]
+    """One per worker process and vocabulary, until the process works for another operator."""
+    return per_worker(f"encoder {path} {word_ends}", lambda: Encoder(path, word_ends))
