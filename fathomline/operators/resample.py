@@ -4,8 +4,8 @@ The published generator is a linear congruence of 32 bits, one number after the
 is an affine map, so n steps are one too, and any place of the sequence is reached in the logarithm of n: a task
 computes its own stretch of a draw, whatever came before it. A drawn number picks an element by its place in a
 list; places are given by the order of the elements over range partitions, counted in two levels. A task sends,
-for each stretch of a draw and each chunk of the list, how often it picked which place; they meet the chunk's
-values, and only their sums go on: one row a draw.
+for each stretch of a draw and each chunk of the list, which places it picked; all draws' picks of a chunk meet its
+values once, and only their sums go on: one row a draw.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ C = F.col
 #: Multipliers and increments of the two generators, and how many draws are made.
 CLUSTER_STEP, CLUSTER_DRAWS = (1_664_525, 1_013_904_223), 1000
 AGREEMENT_STEP, AGREEMENT_DRAWS = (1_103_515_245, 12_345), 500
-#: Places of a chunk of the list, picks of a stretch, and picks made at once.
+#: Places of a chunk of the list (at most 1 << 16, as picks are two bytes), picks of a stretch, and picks made at once.
 CHUNK, STRETCH, BLOCK = 1 << 14, 1 << 20, 1 << 16
 _MASK = (1 << 32) - 1
 
@@ -96,7 +96,9 @@ def numbered(rows: DataFrame, order: str) -> tuple[DataFrame, int]:
 
 
 def draw_sums(placed: DataFrame, values: list[str], total: int, step: tuple[int, int], seed: int, draws: int) -> DataFrame:
-    """draw and the sum of each value over the elements that the draw picks, one row a draw; placed(place, values)."""
+    """draw and the sum of each value over the elements that the draw picks, one row a draw; placed(place, values).
+    A chunk meets all picks of its places in one group: two bytes a pick, one a place and draw on the average. Neither
+    side is ever broadcast: Spark takes the picks for as small as the numbers of the stretches they are made of."""
     spark = placed.sparkSession
     parts = max(1, -(-total // STRETCH))
 
@@ -106,33 +108,28 @@ def draw_sums(placed: DataFrame, values: list[str], total: int, step: tuple[int,
             for unit in b.column(0).to_pylist():
                 draw, part = divmod(unit, parts)
                 start, end = part * total // parts, (part + 1) * total // parts
-                seen: dict[int, np.ndarray] = {}
-                for states in stretch(step, seed, draw * total + start, end - start, rungs):
-                    places = np.floor(states.astype(np.float64) / 4294967296.0 * total).astype(np.int64)
-                    chunk = places // CHUNK
-                    for k in np.unique(chunk).tolist():
-                        times = np.bincount(places[chunk == k] - k * CHUNK, minlength=CHUNK)
-                        seen[k] = seen.get(k, 0) + times
-                for k, times in sorted(seen.items()):
-                    at = np.flatnonzero(times)
-                    yield pa.RecordBatch.from_arrays([pa.array([draw]), pa.array([k]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([times[at].astype(np.int32).tobytes()], pa.binary())], names=["draw", "chunk", "at", "times"])
-
-    def summed(batches):
-        for b in batches:
-            draw = b.column(0)
-            out = np.zeros((b.num_rows, len(values)))
-            for i in range(b.num_rows):
-                at, times = (np.frombuffer(b.column(k)[i].as_py(), np.int32) for k in (1, 2))
-                held = np.array(b.column(3)[i].as_py(), np.float64).reshape(-1, len(values))
-                out[i] = (held[at] * times[:, None]).sum(0)
-            yield pa.RecordBatch.from_arrays([draw, *(pa.array(out[:, j]) for j in range(len(values)))], names=["draw", *values])
-
-    units = spark.range(draws * parts).select("id").mapInArrow(picked, "draw long, chunk long, at binary, times binary")
-    row = F.struct("place", F.array(*(C(v).cast("double") for v in values)).alias("v"))
-    chunks = placed.groupBy(F.floor(C("place") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(row)).alias("of"))
-    chunks = chunks.select("chunk", F.flatten(F.transform("of", lambda x: x["v"])).alias("held"))
-    met = units.join(chunks, "chunk").select("draw", "at", "times", "held")
-    sums = met.mapInArrow(summed, "draw long, " + ", ".join(f"{v} double" for v in values))
+                if start == end:
+                    continue
+                blocks = stretch(step, seed, draw * total + start, end - start, rungs)
+                places = np.sort(np.concatenate([np.floor(states.astype(np.float64) / 4294967296.0 * total).astype(np.int64) for states in blocks]))
+                chunks, first = np.unique(places // CHUNK, return_index=True)
+                at = [(own - k * CHUNK).astype(np.uint16).tobytes() for k, own in zip(chunks.tolist(), np.split(places, first[1:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), draw)), pa.array(chunks), pa.array(at, pa.binary())], names=["draw", "chunk", "at"])
+
+    def summed(picks: pa.Table, elements: pa.Table) -> pa.Table:
+        place = elements["place"].to_numpy() % CHUNK
+        held = np.zeros((CHUNK, len(values)))
+        for j, v in enumerate(values):
+            held[place, j] = elements[v].to_numpy()
+        out = np.zeros((picks.num_rows, len(values)))
+        for i, at in enumerate(picks["at"]):
+            out[i] = np.bincount(np.frombuffer(at.as_py(), np.uint16), minlength=CHUNK) @ held
+        return pa.table([picks["draw"], *(pa.array(out[:, j]) for j in range(len(values)))], names=["draw", *values])
+
+    picks = spark.range(draws * parts).select("id").mapInArrow(picked, "draw long, chunk long, at binary")
+    elements = placed.select("place", *(F.coalesce(C(v).cast("double"), F.lit(0.0)).alias(v) for v in values), F.floor(C("place") / CHUNK).alias("chunk"))
+    met = picks.groupBy("chunk").cogroup(elements.groupBy("chunk"))
+    sums = met.applyInArrow(summed, "draw long, " + ", ".join(f"{v} double" for v in values))
     return sums.groupBy("draw").agg(*(F.sum(v).alias(v) for v in values))
 
 

@@ -99,3 +99,12 @@ def test_places_follow_the_order(spark):
     df = spark.createDataFrame([(int(x),) for x in np.random.default_rng(3).permutation(500)], "v long").repartition(9)
     placed, total = resample.numbered(df, "v")
     assert total == 500 and all(r.v == r.place for r in placed.collect())
+
+
+def test_picks_are_never_broadcast(spark):
+    """They are as many as elements times draws; Spark takes them for a few numbers."""
+    placed = spark.range(3000).select(F.col("id").alias("place"), F.lit(1.0).alias("one"), F.col("id").alias("v"))
+    sums = resample.draw_sums(placed, ["one", "v"], 3000, resample.AGREEMENT_STEP, 7, 20)
+    rows = sums.collect()
+    assert len(rows) == 20 and all(r.one == 3000 for r in rows)
+    assert "Broadcast" not in sums._jdf.queryExecution().explainString(sums.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
