@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.canonical import hash_record, whole
+from ..sources.tables import shared_dir
 
 C = F.col
 
@@ -110,26 +113,92 @@ def breaker(attempts: DataFrame, key: list[str], order: list[str], threshold: in
     return streak.withColumn("open", C("streak") >= threshold).drop("_run")
 
 
+#: State of a breaker that has seen nothing: failures in a row, and until when it is open.
+CLOSED = (0, 0)
+
+
+def _after(state: tuple, at, outcome, threshold: int, cooldown_ms: int) -> tuple[tuple, str]:
+    """A breaker's state after an attempt, and what became of that. Failures beyond the threshold are not counted on."""
+    n, until = state
+    if at is not None and at < until:
+        return state, "circuit_open"
+    if outcome == "provider_failure":
+        n = min(n + 1, threshold)
+        if n >= threshold and at is not None:
+            return (n, at + cooldown_ms), "opened"
+    elif outcome == "ok":
+        n, until = 0, until if at is None else 0
+    return (n, until), "tried"
+
+
 def breaker_with_cooldown(attempts: DataFrame, key: list[str], order: list[str], threshold: int, cooldown_ms: int) -> DataFrame:
     """What becomes of each attempt(at_ms, outcome: ok, provider_failure or other) behind a breaker (ST10): while
     it is open an attempt isn't made, and changes nothing; a failure of the provider that makes `threshold` in
-    a row, or follows on as many, opens it for the cooldown; a success closes it. A provider's attempts are a
-    sequence, folded in order."""
-    rest = [c for c in ("at_ms", "outcome") if c not in order]
-    listed = attempts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("xs"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("until"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        open_ = x["at_ms"] < acc["until"]
-        n = F.when(open_, acc["n"]).when(x["outcome"] == "provider_failure", acc["n"] + 1).when(x["outcome"] == "ok", 0).otherwise(acc["n"])
-        trips = ~open_ & (x["outcome"] == "provider_failure") & (n >= threshold)
-        until = F.when(trips, x["at_ms"] + cooldown_ms).when(~open_ & (x["outcome"] == "ok"), F.lit(0).cast("long")).otherwise(acc["until"])
-        said = F.when(open_, "circuit_open").when(trips, "opened").otherwise("tried")
-        return F.struct(n.alias("n"), until.alias("until"), F.concat(acc["out"], F.array(said)).alias("out"))
-
-    said = listed.withColumn("out", F.aggregate("xs", zero, step, lambda acc: acc["out"]))
-    each = said.select(*key, F.explode(F.arrays_zip("xs", "out")).alias("z"))
-    return each.select(*key, *(C(f"z.xs.{c}") for c in order), C("z.out").alias("result"))
+    a row, or follows on as many, opens it for the cooldown; a success closes it.
+
+    A provider's attempts are a sequence, but no task folds a whole one: attempts are laid out by ranges of key and
+    order, all ranges are folded at once from a closed breaker, and a range whose provider began in the range before
+    is folded again from the state that one ended in, until every state is what it was taken for. A success, or a
+    pause, makes states agree, so two or three rounds are usual; at worst a round settles one more range. The driver
+    sees a range's ends, and of them only states."""
+    spark = attempts.sparkSession
+    shared_dir(spark)
+    by = list(dict.fromkeys([*key, *order, "at_ms", "outcome"]))
+    # Checkpoints keep partitions and their order, which files that are read again do not.
+    laid = attempts.select(*by).repartitionByRange(*by).sortWithinPartitions(*by).checkpoint()
+    laid = laid.select(F.spark_partition_id().alias("_part"), *by)
+    at, outcome, keys = by.index("at_ms") + 1, by.index("outcome") + 1, range(1, len(key) + 1)
+    kept = [by.index(c) + 1 for c in (*key, *order)]
+
+    def folded(batches, entries):
+        """For each batch: its range, the first and last key so far, the state, and what became of the attempts."""
+        part = first = last = state = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if part is None:
+                part = b.column(0)[0].as_py()
+            said = []
+            for own, when, what in zip(zip(*(b.column(i).to_pylist() for i in keys)), b.column(at).to_pylist(), b.column(outcome).to_pylist(), strict=True):
+                if own != last or state is None:
+                    state = entries.get(part, CLOSED) if state is None else CLOSED
+                    first, last = own if first is None else first, own
+                state, result = _after(state, when, what, threshold, cooldown_ms)
+                said.append(result)
+            yield b, part, first, last, state, said
+
+    def ends(entries):
+        def run(batches):
+            end = None
+            for end in folded(batches, entries):
+                pass
+            if end is not None:
+                _, part, first, last, state, _ = end
+                row = [part, repr(first), repr(last), *entries.get(part, CLOSED), *state]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "first", "last", "n", "until", "end_n", "end_until"])
+
+        return run
+
+    def told(entries):
+        def run(batches):
+            for b, *_, said in folded(batches, entries):
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(said, pa.string())], names=[*key, *order, "result"])
+
+        return run
+
+    span, known, entries, asked = {}, {}, {}, None
+    while asked is None or asked:
+        rows = laid if asked is None else laid.where(C("_part").isin(sorted(asked)))
+        for r in rows.mapInArrow(ends(asked or {}), "part long, first string, last string, n long, until long, end_n long, end_until long").collect():
+            span[r["part"]] = (r["first"], r["last"])
+            known.setdefault(r["part"], {})[r["n"], r["until"]] = (r["end_n"], r["end_until"])
+        asked, state, before = {}, CLOSED, None
+        for part, (first, last) in sorted(span.items()):
+            entries[part] = entry = state if first == before else CLOSED
+            if first == last and entry not in known[part]:
+                asked[part] = entry
+            state, before = known[part].get(entry, next(iter(known[part].values()))), last
+    return laid.mapInArrow(told(entries), StructType([*attempts.select(*key, *order).schema, StructField("result", StringType())]))
 
 
 def revoke(disclosures: DataFrame, revisions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import hmac
 import json
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -563,3 +564,35 @@ def test_versions_of_a_service_overlap(spark):
     services = spark.createDataFrame(rows, "id string, valid_from date, valid_until date")
     assert {tuple(r) for r in registry.overlapping_services(services).collect()} == {("b", d(2005, 1, 1)), ("c", d(2001, 1, 1)), ("c", d(2003, 1, 1))}
     assert [r.id for r in registry.empty_intervals(services).collect()] == ["d"]
+
+
+def test_breakers_fold_over_ranges(spark):
+    """Against a plain fold: providers over many ranges, ranges over many providers, pauses that reach over a range."""
+    r = np.random.default_rng(4)
+    kinds = ["provider_failure", "ok", "other"]
+    rows = [(k, i, int(10 * i + r.integers(-40, 40)), kinds[r.choice(3, p=(0.6, 0.2, 0.2))]) for k, size in ((0, 600), (1, 3), (2, 1), (3, 400), (None, 50)) for i in range(size)]
+    rows += [(9, i, 10 * i, "provider_failure") for i in range(300)]  # no success: phases never agree of themselves
+    df = spark.createDataFrame(rows, "k int, i long, at_ms long, outcome string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(x.k, x.i): x.result for x in queues.breaker_with_cooldown(df, ["k"], ["i"], 3, 230).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, state = {}, {}
+    for k, i, at, outcome in rows:
+        n, until = state.get(k, (0, 0))
+        if at < until:
+            want[k, i] = "circuit_open"
+            continue
+        n = n + 1 if outcome == "provider_failure" else 0 if outcome == "ok" else n
+        trips = outcome == "provider_failure" and n >= 3
+        state[k] = (n, at + 230 if trips else 0 if outcome == "ok" else until)
+        want[k, i] = "opened" if trips else "tried"
+    assert got == want
+
+
+def test_a_breaker_is_no_array(spark):
+    """A provider's attempts are never gathered in one row."""
+    a = spark.range(50).select(F.lit("a").alias("k"), F.col("id").alias("at_ms"), F.lit("ok").alias("outcome"))
+    plan = queues.breaker_with_cooldown(a, ["k"], ["at_ms"], 2, 10)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
