@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import secret_reference
 from ..functions.identity import route_template
 from . import yaml_subset
+from .tables import materialise
 
 C = F.col
 
@@ -55,6 +56,11 @@ def _target(literal: Column) -> tuple[Column, Column]:
     return host, F.when((quote != "`") | ~F.contains(template, F.lit("${")), route_template(template))
 
 
+def spread(files: DataFrame, *by: str) -> DataFrame:
+    """Files over all tasks of a shuffle. Reading deals out bytes, and millions of small texts are one task's."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def http_contracts(files: DataFrame) -> DataFrame:
     """Routes that files(path, text) serve, calls that they make, and limitations (X6): role, method, host, route.
     A route whose path is computed is a limitation, a call whose URL is computed has no route."""
@@ -70,19 +76,20 @@ def http_contracts(files: DataFrame) -> DataFrame:
         F.transform(serve, lambda m: row("definition", m["g1"], m["g2"])), F.transform(axios, lambda m: row("reference", m["g0"], m["g1"])),
         F.transform(client, lambda m: row("reference", m["g1"], m["g2"])), F.transform(fetch, lambda m: row("reference", named(m["g1"]), m["g0"])),
     )
-    rows = files.select("path", F.explode(found).alias("m")).select("path", "m.*")
-    host, route = _target(C("url"))
-    rows = rows.select("path", "role", "method", host.alias("host"), route.alias("route"))
     computed = rf"(?i)\b(?:fetch|axios\.(?:{METHODS})|[A-Za-z_$][\w$]*\.(?:get|post|put|patch|delete))\s*\(\s*(?!['\"`])"
     marks = {
         "dynamic_url": text.rlike(computed), "proxy_rewrite_unsupported": text.rlike(r"(?i)\b(?:use|register)\s*\([^)]*(?:proxy|rewrite)"),
         "mounted_router_prefix_unresolved": text.rlike(r"""(?i)\b(?:app|router)\.use\s*\(\s*['"`][^'"`]+['"`]\s*,"""), "runtime_route_registration": text.rlike(rf"(?i)\b(?:{ROUTERS})\.route\s*\("),
     }
-    whole_file = files.select("path", F.explode(_marked(marks)).alias("limitation"))
-    bad = rows.select("path", F.when((C("role") == "definition") & (C("route").isNull() | C("host").isNotNull()), "dynamic_route_registration").when(C("method").isNull(), "dynamic_http_method").when(C("route").isNull(), "dynamic_url").alias("limitation"))
-    limits = whole_file.unionByName(bad.where("limitation is not null")).distinct()
-    good = rows.where("method is not null and (role = 'reference' or route is not null and host is null)")
+    # A text is looked through once: what is found, and what is found wanting in all of it, are rows of one table.
     nothing = F.lit(None).cast("string")
+    marked = F.transform(_marked(marks), lambda m: F.struct(F.lit("limitation").alias("role"), m.alias("method"), nothing.alias("url")))
+    host, route = _target(C("url"))
+    rows = spread(files, "path").select("path", F.explode(F.concat(found, marked)).alias("m")).select("path", "m.*")
+    rows = materialise(rows.select("path", "role", "method", host.alias("host"), route.alias("route")), "http-contracts")
+    bad = F.when(C("role") == "limitation", C("method")).when((C("role") == "definition") & (C("route").isNull() | C("host").isNotNull()), "dynamic_route_registration").when(C("method").isNull(), "dynamic_http_method").when(C("route").isNull(), "dynamic_url")
+    limits = rows.select("path", bad.alias("limitation")).where("limitation is not null").distinct()
+    good = rows.where("role <> 'limitation' and method is not null and (role = 'reference' or route is not null and host is null)")
     return good.unionByName(limits.select("path", F.lit("limitation").alias("role"), C("limitation").alias("method"), nothing.alias("host"), nothing.alias("route")))
 
 

@@ -117,3 +117,19 @@ def test_composed_segments_and_paths(spark):
     paths = [("a/b.ts", True), ("caf\u00e9.ts", True), ("cafe\u0301.ts", False), ("C:x", False), ("/a", False), ("a//b", False), ("a/../b", False), ("a\\b", False)]
     df = spark.createDataFrame([(p,) for p, _ in paths], "x string").coalesce(1)
     assert [r.ok for r in df.select(identity.valid_repo_path(F.col("x")).alias("ok")).collect()] == [w for _, w in paths]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_routes_are_looked_for_once_and_by_many_tasks(spark, monkeypatch):
+    """Many small files in one part of a table are spread, and their texts looked through once for all rows."""
+    seen, keep = [], extract.materialise
+    monkeypatch.setattr(extract, "materialise", lambda df, label: seen.append(_plan(df)) or keep(df, label))
+    texts = ["app.get('/a/:id', h); fetch(url);", "app.get('/a/:id', h); fetch(url);", "x.use('/p', proxy())"]
+    out = extract.http_contracts(spark.createDataFrame([(f"f{i % 2}", t) for i, t in enumerate(texts)], "path string, text string").coalesce(1))
+    assert len(seen) == 1 and "RepartitionByExpression" in seen[0] and "Generate" not in _plan(out)
+    assert sorted((r.path, r.role, r.method, r.route) for r in out.collect()) == [
+        ("f0", "definition", "GET", "/a/{}"), ("f0", "limitation", "dynamic_url", None), ("f0", "limitation", "proxy_rewrite_unsupported", None), ("f1", "definition", "GET", "/a/{}"), ("f1", "limitation", "dynamic_url", None),
+    ]
