@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -465,18 +466,36 @@ _CONSTRAINT = re.compile(r"^(?:primary|foreign|unique|check|constraint|exclude)\
 
 def replay_migrations(files: DataFrame) -> DataFrame:
     """Tables, columns and enums after replaying files(namespace, path, text) in order of path (X5, W6). A
-    statement depends on those before it, so a namespace is replayed as one group, each apart."""
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("path")
-        state: dict[tuple[str, str], str] = {}
-        for text in frame["text"]:
-            for s in split_statements(text or ""):
-                _apply(s, state)
-        rows = [(frame["namespace"].iloc[0], k, n, v) for (k, n), v in sorted(state.items())]
-        return pd.DataFrame(rows, columns=["namespace", "kind", "name", "shape"])
-
-    return files.select("namespace", "path", "text").groupBy("namespace").applyInPandas(replay, "namespace string, kind string, name string, shape string")
+    statement depends on those before it, so a namespace is replayed by one task, which goes through the sorted files
+    of many, one text after the other."""
+
+    def replay(batches):
+        last, state, rows = None, None, []
+
+        def close():
+            rows.extend((last, k, n, v) for (k, n), v in sorted(state.items()))
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows, strict=True)], names=["namespace", "kind", "name", "shape"])
+
+        for b in batches:
+            for namespace, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if state is None or namespace != last:
+                    if state is not None:
+                        close()
+                    last, state = namespace, {}
+                for s in split_statements(text or ""):
+                    _apply(s, state)
+            if rows:
+                yield told()
+                rows.clear()
+        if state is not None:
+            close()
+        if rows:
+            yield told()
+
+    laid = spread(files.select("namespace", "path", "text"), "namespace").sortWithinPartitions("namespace", F.asc_nulls_last("path"), "text")
+    return laid.select(C("namespace").cast("string").alias("namespace"), "text").mapInArrow(replay, "namespace string, kind string, name string, shape string")
 
 
 def _column(table: str, text: str, state: dict) -> None:

@@ -133,3 +133,18 @@ def test_routes_are_looked_for_once_and_by_many_tasks(spark, monkeypatch):
     assert sorted((r.path, r.role, r.method, r.route) for r in out.collect()) == [
         ("f0", "definition", "GET", "/a/{}"), ("f0", "limitation", "dynamic_url", None), ("f0", "limitation", "proxy_rewrite_unsupported", None), ("f1", "definition", "GET", "/a/{}"), ("f1", "limitation", "dynamic_url", None),
     ]
+
+
+def test_namespaces_are_replayed_by_many_tasks(spark):
+    """No frame a namespace, texts in order of path, and namespaces that end within and between batches."""
+    rows = [(f"n{i % 700}", str(i // 700), ["CREATE TABLE t (a int)", "ALTER TABLE t RENAME TO u"][i // 700]) for i in range(1400)]
+    files = spark.createDataFrame(rows[::-1], "namespace string, path string, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = extract.replay_migrations(files)
+        assert "FlatMapGroups" not in _plan(out) and "RepartitionByExpression" in _plan(out)
+        got = sorted((r.namespace, r.kind, r.name) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tables = [g for g in got if g[1] == "table"]
+    assert len({g[0] for g in got}) == 700 and all(g[2] == "u" or g[2].startswith("u.") for g in got), tables[:3]
