@@ -207,7 +207,7 @@ def module_symbols(files: DataFrame) -> DataFrame:
     role, name, source (of a re-export or import), imported, the name there (`*` for all), and kind: how an import is
     made, static, dynamic or by require. Comments and literals are masked first."""
     code, literals = masked(C("text"))
-    files = files.select("path", code.alias("text"), literals.alias("literals"))
+    files = spread(files.select("path", "text"), "path").select("path", code.alias("text"), literals.alias("literals"))
     text, called = C("text"), lambda n: F.get(C("literals"), n.try_cast("int"))
     own = _matches(text, rf"\bexport\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|const|let|var|interface|type|enum|namespace)\s+({_IDENTIFIER})", 1, 2)
     default = F.regexp_extract_all(text, F.lit(r"\bexport\s+(default)\b"), F.lit(1))

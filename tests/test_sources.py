@@ -148,3 +148,8 @@ def test_namespaces_are_replayed_by_many_tasks(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     tables = [g for g in got if g[1] == "table"]
     assert len({g[0] for g in got}) == 700 and all(g[2] == "u" or g[2].startswith("u.") for g in got), tables[:3]
+
+
+def test_modules_are_read_by_many_tasks(spark):
+    out = extract.module_symbols(spark.createDataFrame([("a.ts", "export const x = 1;")], "path string, text string").coalesce(1))
+    assert "RepartitionByExpression" in _plan(out) and [(r.role, r.name) for r in out.collect()] == [("export", "x")]
