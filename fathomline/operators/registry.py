@@ -32,14 +32,16 @@ def resolve_aliases(requests: DataFrame, aliases: DataFrame, services: DataFrame
         "service", "kind", "environment", alias_value(C("kind"), C("value")).alias("_value"), C("value").alias("_raw"), C("path_prefix").alias("_prefix"),
         F.struct("valid_from", "valid_until").alias("_alias"), F.struct("_from", "_until").alias("_service"),
     )
+    # Of aliases that hold under the same conditions, however many, the least and the greatest service say all.
+    owned = owned.groupBy(*(c for c in owned.columns if c != "service")).agg(F.min("service").alias("_low"), F.max("service").alias("_high"))
     asked = requests.select("request_id", "kind", "environment", alias_value(C("kind"), C("value")).alias("_value"), "path", "at")
     hit = asked.join(owned, ["kind", "environment", "_value"], "left")
     live = valid_at(C("_alias.valid_from"), C("_alias.valid_until"), C("at")) & valid_at(C("_service._from"), C("_service._until"), C("at"))
     behind = gateway_rewrite(C("path"), C("_prefix"))
-    fits = C("service").isNotNull() & live & (C("path").isNull() | behind.isNotNull())
+    fits = C("_low").isNotNull() & live & (C("path").isNull() | behind.isNotNull())
     best = F.struct((-F.coalesce(F.length("_prefix"), F.lit(0))).alias("_rank"), C("_raw").alias("_tie"), F.when(C("path").isNotNull(), behind).alias("rewritten_path"))
     found = hit.groupBy("request_id").agg(
-        F.min(F.when(fits, C("service"))).alias("low"), F.max(F.when(fits, C("service"))).alias("high"), F.min(F.when(fits, best)).alias("best")
+        F.min(F.when(fits, C("_low"))).alias("low"), F.max(F.when(fits, C("_high"))).alias("high"), F.min(F.when(fits, best)).alias("best")
     )
     state = F.when(C("low").isNull(), "not_found").when(C("low") != C("high"), "ambiguous").otherwise("resolved")
     one = C("low") == C("high")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import identity
-from fathomline.sources import tables, trees
+from fathomline.sources import extract, tables, trees
 from fathomline.streaming.ledger import LedgerSink
 
 SHA, OTHER = "a" * 40, "b" * 64
@@ -131,7 +131,7 @@ def test_routes_are_looked_for_once_and_by_many_tasks(spark, monkeypatch):
     out = extract.http_contracts(spark.createDataFrame([(f"f{i % 2}", t) for i, t in enumerate(texts)], "path string, text string").coalesce(1))
     assert len(seen) == 1 and "RepartitionByExpression" in seen[0] and "Generate" not in _plan(out)
     assert sorted((r.path, r.role, r.method, r.route) for r in out.collect()) == [
-        ("f0", "definition", "GET", "/a/{}"), ("f0", "limitation", "dynamic_url", None), ("f0", "limitation", "proxy_rewrite_unsupported", None), ("f1", "definition", "GET", "/a/{}"), ("f1", "limitation", "dynamic_url", None),
+        ("f0", "definition", "GET", "/a/{param}"), ("f0", "limitation", "dynamic_url", None), ("f0", "limitation", "proxy_rewrite_unsupported", None), ("f1", "definition", "GET", "/a/{param}"), ("f1", "limitation", "dynamic_url", None),
     ]
 
 

@@ -1,6 +1,7 @@
 """Queries do the whole job: brute force over small tables, where SQL is too slow to compare with."""
 
 import datetime as dt
+import os
 from collections import defaultdict
 
 import pytest
@@ -71,3 +72,28 @@ def test_only_files_beyond_two_mebibytes_are_oversized(spark, tmp_path):
         assert (got[path].classification, got[path].line_count) == ("source", 1) and got[path].content_hash
     total = plans.coverage_rollup(spark, str(tmp_path)).first()
     assert (total.limited, total.processed, total.lines) == (1, 3, 3)
+
+
+def test_the_join_reads_its_references_once(spark):
+    """Selected references and states are written once; what is joined does not read lines and orders again."""
+    from fathomline.plans import analyze
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    edges, problems = analyze.joined(spark, "/root/testdata/sf0.001")
+    for df in (edges, problems):
+        assert not [f for f in df.inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_aliases_of_equal_conditions_are_one_row(spark):
+    """A request meets conditions, not services: as many aliases as there are add nothing to the join."""
+    from fathomline.operators import registry
+
+    always = ["cast('2000-01-01' as date) as valid_from", "cast(null as date) as valid_until"]
+    services = spark.range(300).selectExpr("id", *always)
+    aliases = spark.range(300).selectExpr("id as service", "'host' as kind", "'svc' as value", "cast(null as string) as path_prefix", "'prod' as environment", *always)
+    asked = spark.sql("select 'r' as request_id, 'host' as kind, 'SVC.' as value, 'prod' as environment, cast(null as string) as path, cast('2001-01-01' as date) as at")
+    both = registry.resolve_aliases(asked, aliases, services)
+    assert [r.state for r in both.collect()] == ["ambiguous"] and "min(service" in both._jdf.queryExecution().optimizedPlan().toString()
+    one = registry.resolve_aliases(asked, aliases.where("service = 7"), services).first()
+    assert (one.state, one.service) == ("resolved", 7)
