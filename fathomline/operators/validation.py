@@ -335,18 +335,23 @@ def _sealed(rows: int, lanes: list) -> str:
     return f"sha256:{hashlib.sha256(text.encode()).hexdigest()}"
 
 
-def materialise_references(references: DataFrame) -> DataFrame:
-    """One reference of each generation and stable identity: that of the smallest path, of equals the first (X11)."""
-    named = references.withColumn("stable_id", stable_reference_id(C("contract_kind"), C("canonical_key"), C("unresolved_pattern"), C("semantic_owner"), C("evidence_stratum")))
-    rest = [c for c in named.columns if c not in ("generation_id", "stable_id", "path", "position")]
-    least = named.groupBy("generation_id", "stable_id").agg(F.min(F.struct("path", "position", *rest)).alias("of"))
-    return least.select("generation_id", "stable_id", "of.*")
+def materialise_references(references: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """One reference of each generation and stable identity: that of the smallest path, of equals the first (X11), with
+    all columns or those that are `kept` beside path and position. References are grouped by what the identity is
+    made of, which is shorter than the identity; that is made of one row a group."""
+    target = F.coalesce("canonical_key", "unresolved_pattern")
+    there = lambda c: F.when(target.isNotNull(), c)
+    own = {"_kind": there(C("contract_kind")), "_target": target, "_owner": there(F.coalesce("semantic_owner", F.lit("module"))), "_stratum": there(C("evidence_stratum"))}
+    rest = [c for c in (references.columns if kept is None else kept) if c not in ("generation_id", "path", "position")]
+    least = references.withColumns(own).groupBy("generation_id", *own).agg(F.min(F.struct("path", "position", *rest)).alias("of"))
+    stable = stable_reference_id(C("_kind"), C("_target"), F.lit(None).cast("string"), C("_owner"), C("_stratum"))
+    return least.select("generation_id", stable.alias("stable_id"), "of.*")
 
 
 def observe_generations(extractions: DataFrame, definitions: DataFrame, references: DataFrame) -> DataFrame:
     """What is observed of each generation (X11): extractions(generation_id, state, items), its definitions, and its
     references once each: coverage state, counts and a hash that no order changes."""
-    once = materialise_references(references)
+    once = materialise_references(references, ["content_hash"])
     state = observation_state(extractions, ["generation_id"]).withColumnRenamed("state", "coverage_state")
     named = ["contract_kind", "canonical_key", "path", "content_hash", "shape_hash"]
     d = definitions.withColumn("_d", item_digest(named)).groupBy("generation_id").agg(F.count("*").alias("definitions"), set_hash(C("_d")).alias("_dh"))

@@ -144,7 +144,7 @@ def checked_write(spark, sf_dir):
 
 
 def materialised_references(spark, sf_dir):
-    return v.materialise_references(relation(spark, sf_dir, "given_references").withColumnRenamed("result_id", "generation_id")).select("generation_id", "stable_id", "path", "position")
+    return v.materialise_references(relation(spark, sf_dir, "given_references").withColumnRenamed("result_id", "generation_id"), []).select("generation_id", "stable_id", "path", "position")
 
 
 def observed_generations(spark, sf_dir):

@@ -118,3 +118,12 @@ def test_text(spark):
     assert [r.c for r in rows[:6]] == ["abc", "caf\u00e9", "caf\u00e9", "\u00c5", "\uac00", "\uac00"]
     assert [r["is"] for r in rows[:7]] == [True, True, False, False, True, False, True] and rows[7]["is"] is None
     assert (rows[9].t, rows[8].u, rows[7].u) == ("a", 3, None)
+
+
+def test_references_once_by_what_their_identity_is_made_of(spark):
+    rows = [(1, "k", "a", None, None, "s", "b.ts", 1), (1, "k", "a", None, "module", "s", "a.ts", 2), (1, "k", None, "a", None, "s", "c.ts", 3), (1, "k", None, None, None, "s", "z.ts", 4), (1, "m", None, None, "o", "t", "y.ts", 5), (2, "k", "a", None, None, "s", "b.ts", 6)]
+    df = spark.createDataFrame(rows, "generation_id long, contract_kind string, canonical_key string, unresolved_pattern string, semantic_owner string, evidence_stratum string, path string, position long")
+    out = v.materialise_references(df, [])
+    assert out.columns == ["generation_id", "stable_id", "path", "position"]
+    assert sorted((r.generation_id, r.stable_id is None, r.path, r.position) for r in out.collect()) == [(1, False, "a.ts", 2), (1, True, "y.ts", 5), (2, False, "b.ts", 6)]
+    assert v.materialise_references(df).where("position = 6").first().contract_kind == "k"
