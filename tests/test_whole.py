@@ -97,3 +97,16 @@ def test_aliases_of_equal_conditions_are_one_row(spark):
     assert [r.state for r in both.collect()] == ["ambiguous"] and "min(service" in both._jdf.queryExecution().optimizedPlan().toString()
     one = registry.resolve_aliases(asked, aliases.where("service = 7"), services).first()
     assert (one.state, one.service) == ("resolved", 7)
+
+
+def test_paths_by_blocks_and_slices(spark, folder, monkeypatch):
+    """Whatever the blocks of starts and slices of ends are, the paths are the same; the last step is taken in tasks, so
+    the many paths to one end are no rows."""
+    path, _ = folder
+    once = plans.transitive(spark, path)
+    assert "FlatMapCoGroupsInArrow" in once._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(graph, "BLOCK_PATHS", 5)
+    monkeypatch.setattr(graph, "SLICE_HOPS", 9)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(plans.transitive(spark, path))
+    assert got == rows(once) and len(got) > 100
