@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: JSON's own escapes of control characters; the others are written by their number.
 _SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+#: Characters, each followed by its escape.
+_ESCAPES = ["\\", "\\\\", '"', '\\"', *(x for c in map(chr, range(32)) for x in (c, _SHORT.get(c, f"\\u{ord(c):04x}")))]
 
 
 @dataclass(frozen=True)
@@ -29,9 +31,9 @@ def whole(column: Column) -> Whole:
 
 def json_text(value: Column) -> Column:
     """A text as a JSON string."""
-    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for code in range(32):
-        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(_SHORT.get(chr(code), f"\\u{code:04x}")))
+    # One look-up a character, and not a replacement for each of 34: where many texts make a record, the code of those is
+    # too long for the JVM to compile.
+    escaped = F.array_join(F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(F.create_map(*map(F.lit, _ESCAPES)), c), c)), "")
     plain = ~value.rlike(r'[\x00-\x1f"\\]')
     return F.concat(F.lit('"'), F.when(plain, value).otherwise(escaped), F.lit('"'))
 

@@ -88,6 +88,13 @@ def joined(changes: DataFrame, definitions: DataFrame, references: DataFrame, se
     return defined, met
 
 
+def written(evidence: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What joined() gives, written once with the columns that violations() and edges_of() read."""
+    defined, met = evidence
+    columns = ["position", *KEY, "d_repository", "d_generation_id", "r_repository", "r_generation_id", "r_stable_id", "r_position", "_foreign", "_misnamed"]
+    return materialise(defined.select("_unsound"), "v2-defined"), materialise(met.select(*columns), "v2-met")
+
+
 def edges_of(met: DataFrame, workspace: str, revision: str) -> DataFrame:
     """One edge of each key, consumer and reference: that of the last change and the last reference by position."""
     text = lambda c: C(c).cast("string")
@@ -95,9 +102,13 @@ def edges_of(met: DataFrame, workspace: str, revision: str) -> DataFrame:
         "workspaceId": F.lit(workspace), "producerRepositoryId": text("d_repository"), "consumerRepositoryId": text("r_repository"), "producerGenerationId": text("d_generation_id"), "consumerGenerationId": text("r_generation_id"),
         "definitionKey": C("canonical_key"), "stableReferenceId": C("r_stable_id"), "family": C("family"), "registryRevision": F.lit(revision), "protocol": 2,
     }
-    payload = F.struct("position", "r_position", F.concat(F.lit("edg_"), hash_record(record)).alias("edge_id"), "family", "contract_kind", C("d_repository").alias("producer"), C("d_generation_id").alias("producer_generation"), C("r_generation_id").alias("consumer_generation"))
-    last = met.groupBy("canonical_key", C("r_repository").alias("consumer"), C("r_stable_id").alias("stable_id")).agg(F.max(payload).alias("of"))
-    return last.select("of.edge_id", "of.family", "of.contract_kind", "canonical_key", "of.producer", "consumer", "of.producer_generation", "of.consumer_generation", "stable_id", F.lit("exact").alias("basis"))
+    # Edges are named after the last one is known, so no name is made or shuffled for the others.
+    last = met.groupBy("canonical_key", "r_repository", "r_stable_id").agg(F.max(F.struct("position", "r_position", "family", "contract_kind", "d_repository", "d_generation_id", "r_generation_id")).alias("of"))
+    last = last.select("canonical_key", "r_repository", "r_stable_id", "of.*")
+    return last.select(
+        F.concat(F.lit("edg_"), hash_record(record)).alias("edge_id"), "family", "contract_kind", "canonical_key", C("d_repository").alias("producer"), C("r_repository").alias("consumer"),
+        C("d_generation_id").alias("producer_generation"), C("r_generation_id").alias("consumer_generation"), C("r_stable_id").alias("stable_id"), F.lit("exact").alias("basis"),
+    )
 
 
 def violations(changes: DataFrame, defined: DataFrame, met: DataFrame, selections: DataFrame, scope: DataFrame, workspace: str) -> DataFrame:
@@ -113,12 +124,12 @@ def violations(changes: DataFrame, defined: DataFrame, met: DataFrame, selection
     return out.where("n > 0")
 
 
-def join_changed_contracts(changes: DataFrame, definitions: DataFrame, references: DataFrame, selections: DataFrame, scope: DataFrame, workspace: str, revision: str, scope_revision: str | None = None) -> DataFrame:
-    """Edges, or Refused. The scope is the repositories that a capability lets be read, and the revision it is bound to."""
+def join_changed_contracts(changes: DataFrame, definitions: DataFrame, references: DataFrame, selections: DataFrame, scope: DataFrame, workspace: str, revision: str, scope_revision: str | None = None, evidence: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Edges, or Refused. The scope is the repositories that a capability lets be read, and the revision it is bound to.
+    evidence is what written() gave of these inputs, if they were joined before."""
     if scope_revision is not None and scope_revision != revision:
         raise Refused({"registry_revision": 1})
-    defined, met = joined(changes, definitions, references, selections, workspace)
-    met = materialise(met, "v2-met")
+    defined, met = evidence or written(joined(changes, definitions, references, selections, workspace))
     counts = {r["rule"]: r["n"] for r in violations(changes, defined, met, selections, scope, workspace).collect()}  # six at most
     if counts:
         raise Refused(counts)

@@ -65,10 +65,10 @@ def v2_violations(spark, sf_dir):
     definitions = definitions.withColumns({"compatibility_version": C("compatibility_version") + F.when(C("position") % 43 == 0, 1).otherwise(0), "commit_sha": F.when(C("position") % 47 == 0, "none").otherwise(C("commit_sha"))})
     references = references.withColumns({"adapter_id": F.when(C("position") % 53 == 0, "acme.other").otherwise(C("adapter_id")), "stable_id": F.when(C("position") % 59 == 0, "ref_other").otherwise(C("stable_id"))})
     scope = scope.where("repository % 19 <> 6")
-    defined, met = e.joined(changes, definitions, references, selections, WORKSPACE)
-    counts = e.violations(changes, defined, met, selections, scope, WORKSPACE)
+    evidence = e.written(e.joined(changes, definitions, references, selections, WORKSPACE))
+    counts = e.violations(changes, *evidence, selections, scope, WORKSPACE)
     try:
-        e.join_changed_contracts(changes, definitions, references, selections, scope, WORKSPACE, REVISION)
+        e.join_changed_contracts(changes, definitions, references, selections, scope, WORKSPACE, REVISION, evidence=evidence)
     except e.Refused:
         return counts
     return counts.where("false")

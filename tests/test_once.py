@@ -23,3 +23,11 @@ def from_tables(df):
 def test_findings_are_read_once_for_all_scopes(spark):
     rows = relation(spark, SF, "candidates").withColumn("adapter_rule_ids", F.array_distinct(F.array("rule_one", "rule_two")))
     assert not from_tables(governance.match_suppressions(rows, plans._rules(spark, SF)))
+
+
+def test_texts_are_escaped_by_one_look_up(spark):
+    """A replacement for each of 34 characters made the code of a record too long to be compiled."""
+    texts = [chr(i) for i in range(32)] + ['a"b\\c', "\\u000B", "", "é\U0001f600\x0b\\", None, "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", canonical.json_text(F.col("t")).alias("j"))
+    assert "replace(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.j == (None if r.t is None else json.dumps(r.t, ensure_ascii=False)) for r in df.collect())
