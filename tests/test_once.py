@@ -31,3 +31,8 @@ def test_texts_are_escaped_by_one_look_up(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", canonical.json_text(F.col("t")).alias("j"))
     assert "replace(" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert all(r.j == (None if r.t is None else json.dumps(r.t, ensure_ascii=False)) for r in df.collect())
+
+
+@needs_tables
+def test_faults_are_counted_over_evidence_joined_once(spark):
+    assert not from_tables(plans.protocol2.v2_violations(spark, SF))
