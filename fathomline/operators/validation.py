@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import hash_record, hash_text, stable_reference_id
 from ..functions.text import is_nfc, trimmed, units
+from ..sources.tables import materialise
 from .artifacts import observation_state
 
 C = F.col
@@ -301,13 +302,18 @@ class Written:
 CODES = ("invalid_output", "invalid_manifest", "invalid_hash", "invalid_path", "invalid_id", "invalid_coverage", "invalid_diagnostic", "incompatible_output_version", "unsupported_manifest_schema")
 
 
+def checked_once(records: DataFrame, check, columns: list[str]) -> DataFrame:
+    """records with `violation` and `_digest`, written once: for those that are given to write_checked() more than once."""
+    return materialise(with_violation(records, check).withColumn("_digest", item_digest(columns)), "checked")
+
+
 def write_checked(checked: DataFrame, columns: list[str], path: str, partition_by: list[str] | None = None) -> Written:
     """Write records with `violation` as Parquet at a path that does not exist yet. Counts by code and the set's hash
     are observed in the very pass that writes, to a folder beside the path; that is renamed if all are clean and
     deleted, with Refused, if any is not, so a reader never meets a record that was not checked."""
     spark = checked.sparkSession
     counts, hashes = Observation(), Observation()
-    rows = checked.withColumn("_digest", item_digest(columns))
+    rows = checked if "_digest" in checked.columns else checked.withColumn("_digest", item_digest(columns))
     rows = rows.observe(counts, F.count("*").alias("rows"), *(F.count_if(C("violation.code") == c).alias(c) for c in CODES), F.count("violation").alias("any"))
     rows = rows.observe(hashes, *(x.alias(f"lane{i}") for i, x in enumerate(_lanes(C("_digest")))))
     beside = f"{path.rstrip('/')}.unchecked-{uuid.uuid4().hex}"

@@ -131,8 +131,8 @@ def comparable_extractions(spark, sf_dir):
 
 def checked_write(spark, sf_dir):
     """All references are refused; those without a violation are written, with what was observed on the way."""
-    checked = v.with_violation(relation(spark, sf_dir, "given_references"), v.reference_violation)
     columns, folder = list(v.REFERENCE), f"{shared_dir(spark)}/references-{uuid.uuid4().hex}"
+    checked = v.checked_once(relation(spark, sf_dir, "given_references"), v.reference_violation, columns)
     try:
         v.write_checked(checked, columns, folder)
         counts = {}

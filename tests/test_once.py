@@ -36,3 +36,11 @@ def test_texts_are_escaped_by_one_look_up(spark):
 @needs_tables
 def test_faults_are_counted_over_evidence_joined_once(spark):
     assert not from_tables(plans.protocol2.v2_violations(spark, SF))
+
+
+@needs_tables
+def test_records_written_twice_are_checked_once(spark):
+    from fathomline.operators import validation as v
+
+    checked = v.checked_once(relation(spark, SF, "given_references"), v.reference_violation, list(v.REFERENCE))
+    assert not from_tables(checked) and {"violation", "_digest"} <= set(checked.columns)
