@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import canonical
-from fathomline.operators import governance
+from fathomline.operators import contracts, governance
+from fathomline.plans import analyze
 from fathomline.plans import queries as plans
-from fathomline.sources.tables import relation
+from fathomline.sources.tables import relation, table
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -44,3 +45,24 @@ def test_records_written_twice_are_checked_once(spark):
 
     checked = v.checked_once(relation(spark, SF, "given_references"), v.reference_violation, list(v.REFERENCE))
     assert not from_tables(checked) and {"violation", "_digest"} <= set(checked.columns)
+
+
+def test_lines_that_no_selected_reference_has_go_first(spark):
+    lines = [(o, i, p, 1, "A", None) for i, (o, p) in enumerate([(1, 7), (1, 8), (2, 7), (2, 9), (3, 7), (4, 5), (5, 6), (1, None), (2, 5)])]
+    lines += [(2, i, i, 1, "A", None) for i in range(1000, 2000)]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_shipdate date")
+    orders = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)], "o_orderkey long, o_custkey long")
+    chosen = spark.createDataFrame([(1, 1), (2, 4), (3, None)], "repository long, generation_id long")
+    kept = [(r.o_custkey, r.l_orderkey, r.l_partkey) for r in analyze.asked_lines(lineitem, orders, chosen).collect()]
+    assert {(1, 1, 7), (1, 1, 8), (1, 2, 7), (2, 4, 5)} <= set(kept)
+    assert len(kept) == len(set(kept)) < 200 and all(c in (1, 2) and p is not None for c, _, p in kept)
+
+
+@needs_tables
+def test_references_are_those_of_all_lines(spark):
+    states = analyze.states(spark, SF)
+    whole = contracts.selected_references(relation(spark, SF, "refs"), states)
+    got = analyze.references(spark, SF, states)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*got.columns).collect())) and got.count()
+    lines = analyze.asked_lines(table(spark, SF, "lineitem"), table(spark, SF, "orders"), states)
+    assert lines.count() < table(spark, SF, "lineitem").count() / 3
