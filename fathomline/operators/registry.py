@@ -14,9 +14,10 @@ C = F.col
 def first_by(rows: DataFrame, key: list[str], *order) -> DataFrame:
     """The first row of each key (W2): a least struct, combined before the shuffle, where a window would move
     every row."""
-    names = [f"_o{i}" for i in range(len(order))]
+    named = [o.alias(f"_o{i}") if isinstance(o, Column) else C(o) for i, o in enumerate(order)]
     rest = [c for c in rows.columns if c not in key]
-    least = rows.groupBy(*key).agg(F.min(F.struct(*((o if isinstance(o, Column) else C(o)).alias(n) for n, o in zip(names, order, strict=True)), *rest)).alias("_first"))
+    held = [o for o in order if isinstance(o, str)]
+    least = rows.groupBy(*key).agg(F.min(F.struct(*named, *(c for c in rest if c not in held))).alias("_first"))
     return least.select(*key, *(C(f"_first.{c}").alias(c) for c in rest)).select(*rows.columns)
 
 

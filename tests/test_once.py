@@ -66,3 +66,19 @@ def test_references_are_those_of_all_lines(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*got.columns).collect())) and got.count()
     lines = analyze.asked_lines(table(spark, SF, "lineitem"), table(spark, SF, "orders"), states)
     assert lines.count() < table(spark, SF, "lineitem").count() / 3
+
+
+@needs_tables
+def test_edges_are_sorted_once_and_made_once(spark):
+    """Combined before they were dealt out, edges were sorted in the tasks that made them, and each copy's lines were read anew."""
+    plan = plans.edge_dedupe(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+    above = plan[: plan.index("Generate explode")]
+    assert above.count("Sort [") == 1 and above.count("Exchange ") == 1
+
+
+def test_dedupe_keeps_ties_and_nulls(spark):
+    rows = [("k", 1, "r", "heuristic", "a"), ("k", 1, "r", "exact", "z"), ("k", 1, "r", "exact", "y"), ("k", None, "r", None, "b"), (None, 1, "s", "registry_resolved", "d"), (None, 1, "s", "heuristic", "c")]
+    edges = spark.createDataFrame(rows, "canonical_key string, consumer long, reference_id string, basis string, edge_id string")
+    got = contracts.dedupe_edges(edges)
+    assert got.columns == edges.columns and {tuple(r) for r in got.collect()} == {rows[2], rows[3], rows[5]}
