@@ -22,6 +22,10 @@ from .contracts import asked_keys, decide, decided_edges, dedupe_edges
 C = F.col
 BUCKETS = 64
 KEY = ["contract_kind", "canonical_key"]
+#: What edges are made of; a store holds no more of a reference.
+REFERENCE = [
+    "reference_id", "consumer", "generation_id", "contract_kind", "canonical_key", "constrained_key", "context_basis", "first_observed", "last_observed", "stratum", "alias_state", "alias_service", "_only", "_ambiguous",
+]
 _ID = {"changes": KEY, "references": [*KEY, "reference_id"], "edges": KEY}
 
 
@@ -31,7 +35,7 @@ def bucket_of(buckets: int) -> Column:
 
 def keyed(references: DataFrame) -> DataFrame:
     """References with their alias's state (with_alias_state()) as they are stored: by the keys they may mean."""
-    return asked_keys(references).withColumnRenamed("key", "canonical_key").drop("_only", "_ambiguous")
+    return asked_keys(references.select(*REFERENCE)).withColumnRenamed("key", "canonical_key").drop("_only", "_ambiguous")
 
 
 def joined(changes: DataFrame, references: DataFrame, workspace: str, revision: str) -> DataFrame:

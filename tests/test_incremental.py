@@ -96,3 +96,10 @@ def test_repair_joins_buckets_anew(spark, tmp_path):
     assert edges_of(store.edges()) != before
     store.repair([1, 2, 5])
     assert edges_of(store.edges()) == before
+
+
+def test_a_store_holds_what_edges_are_made_of(spark, tmp_path):
+    store = incremental.RejoinStore(spark, f"file://{tmp_path}/s", "w", "rev", buckets=2)
+    refs = refs_of(spark, [("r1", 1, "kind0", "k0", None, None, None, 0)]).withColumn("target_path", F.lit("/api"))
+    store.create(spark.createDataFrame([("kind0", "k0", 1, "changed", "breaking", 0, "g", "s")], CHANGE), refs)
+    assert not {"target_path", "unresolved_pattern"} & set(store.read("references").columns) and store.edges().count() == 1
