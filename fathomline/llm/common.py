@@ -28,10 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+#: Bytes of rows that Spark gathers for a Python worker at a time. Its bound on rows alone lets a batch grow with
+#: its texts, and executor and worker each hold a batch of every running task, in memory they seldom give back.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches for Python workers close at BATCH bytes, or earlier if the session says so."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not given or int(given[1]) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a later stage that loses an
     executor re-reads the table rather than the whole lineage, and nothing is computed twice."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -209,7 +223,9 @@ def trimmed(made):
 
 def forget() -> None:
     """Drop what an earlier operator left in this worker process."""
-    _KEPT.clear()
+    if _KEPT:
+        _KEPT.clear()
+        release()
 
 
 def per_worker(token: str, make):
@@ -217,4 +233,5 @@ def per_worker(token: str, make):
     if token not in _KEPT:
         _KEPT.clear()
         _KEPT[token] = make()
+        release()  # what was kept before, and what the making took
     return _KEPT[token]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, trimmed
+from .common import forget, materialise, slices, trimmed
 from .tokens import encoder
 
 #: Tokens of a sequence, the id that ends a document, items dealt to one group, groups joined in a round.
@@ -30,6 +30,10 @@ CAPACITY, END_ID, GROUP, FAN_IN = 2048, 0, 8_000, 16
 #: A bin with at most this many free tokens is emitted before the last round.
 NEARLY = 2
 
+#: Bytes of texts that a worker encodes together, and chunks of each generation that it remembers: what it holds
+#: beside its vocabulary is some 70 MB.
+TOGETHER, REMEMBERED = 1 << 19, 50_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,9 +48,9 @@ def tokenised_pieces(docs: DataFrame, path: str, word_ends: bool = False, end_id
     end = np.array([end_id], "<u4").tobytes()
 
     def made(batches):
-        known = encoder(path, word_ends)
+        known = encoder(path, word_ends, REMEMBERED)
         for b in batches:
-            for first, rows in slices(b.column(1)):
+            for first, rows in slices(b.column(1), TOGETHER):
                 ids, at = known.encode_all(b.column(1).slice(first, rows))
                 raw, at = memoryview(ids.tobytes()), (4 * at).tolist()
                 out = []
@@ -94,6 +98,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan_in:
     """items(item long, unique; length long, 1 to capacity) with sequence_id and offset."""
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        forget()
         frame = frame.sort_values("item")
         bins, offsets, fills = best_fit(frame["length"].to_numpy(), capacity)
         first = frame["item"].to_numpy()[np.unique(bins, return_index=True)[1]]  # a bin is named for one of its items

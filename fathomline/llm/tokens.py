@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,8 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _ranks(path: str, end: str) -> dict[bytes, int]:
-    """Bytes of each token, the end of a word written as _MARK."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+def _ranks(path: str, model: dict, end: str) -> dict[bytes, int]:
+    """Bytes of each token of a file's model, the end of a word written as _MARK."""
     byte_of = _byte_of()
     special = re.compile(r"<\|\w+\|>")
     out = {}
@@ -67,13 +66,15 @@ def _ranks(path: str, end: str) -> dict[bytes, int]:
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, for a byte-level vocabulary or, with word_ends, for one
     that drops white space and case and marks the ends of words. Of two generations of up to `limit` chunks
-    in the memo the older is forgotten when the younger is full, so what is frequent stays."""
+    in the memo the older is forgotten when the younger is full, so what is frequent stays. Of chunks that are
+    new at once `limit` are remembered."""
 
     def __init__(self, path: str, word_ends: bool, limit: int = 100_000):
         self.path, self.word_ends, self.limit, self.library = path, word_ends, limit, None
-        ranks = _ranks(path, "</w>" if word_ends else "")
         with open(path, encoding="utf-8") as f:
-            added = [re.escape(t["content"]) for t in json.load(f).get("added_tokens") or []]
+            known = json.load(f)
+        ranks = _ranks(path, known["model"], "</w>" if word_ends else "")
+        added = [re.escape(t["content"]) for t in known.get("added_tokens") or []]
         self.added = re.compile("|".join(added), re.I) if added else None
         pattern = f"[^{_MARK}\\n]+{_MARK}|\\n" if word_ends else _BYTE_LEVEL
         self.merges = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -107,7 +108,7 @@ class Encoder:
         rest = [c for c in rest if c not in found]
         if rest:
             found.update(zip(rest, self._learn(rest), strict=True))
-        self.memo.update(found)
+        self.memo.update(islice(found.items(), self.limit))
         return [found[c] if r is None else r for c, r in zip(chunks, out, strict=True)]
 
     def by_library(self, text: str) -> bytes:
@@ -168,6 +169,6 @@ class Encoder:
         return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
 
-def encoder(path: str, word_ends: bool) -> Encoder:
-    """One per worker process and vocabulary, until the process works for another operator."""
-    return per_worker(f"encoder {path} {word_ends}", lambda: Encoder(path, word_ends))
+def encoder(path: str, word_ends: bool, limit: int = 100_000) -> Encoder:
+    """One per worker process, vocabulary and limit, until the process works for another operator."""
+    return per_worker(f"encoder {path} {word_ends} {limit}", lambda: Encoder(path, word_ends, limit))
