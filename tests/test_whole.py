@@ -110,3 +110,36 @@ def test_paths_by_blocks_and_slices(spark, folder, monkeypatch):
     rows = lambda df: sorted(map(tuple, df.collect()))
     got = rows(plans.transitive(spark, path))
     assert got == rows(once) and len(got) > 100
+
+
+def test_paths_are_shuffled_packed(spark, monkeypatch):
+    """A block of starts and a slice of ends are one row each: hops are not shuffled once a block, nor paths once a slice;
+    and a start's second path counts where the first one leads through the end."""
+    n = 60
+    monkeypatch.setattr(graph, "BLOCK_PATHS", 400)
+    monkeypatch.setattr(graph, "SLICE_HOPS", 60)
+    pairs = [(p, (p * 7 + 11 * k) % n) for p in range(n) for k in range(1, 8)] + [(p, 1000 + (p + k) % 90) for p in range(n) for k in range(20)]
+    edges = {(p, c): f"{(p * 31 + c * 17) % 997:03d}-{p}-{c}" for p, c in pairs if p != c}
+    e = spark.createDataFrame([(i, p, c) for (p, c), i in edges.items()], "edge_id string, producer long, consumer long")
+    out = graph.bounded_paths(e, spark.range(0, n, 2).withColumnRenamed("id", "start"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def records():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = records()
+    got = {(r.start, r.consumer, r.depth): tuple(r.via) for r in out.collect()}
+    shuffled, after, want = records() - before, defaultdict(set), {}
+    for p, c in edges:
+        after[p].add(c)
+    for s in range(0, n, 2):
+        paths = [[s]]
+        for depth in (1, 2, 3):
+            paths = [[*x, c] for x in paths for c in after[x[-1]] if c not in x]
+            for x in paths if depth > 1 else []:
+                key, via = (s, x[-1], depth), tuple(edges[h] for h in zip(x, x[1:], strict=False))
+                want[key] = min(want.get(key, via), via)
+    assert got == want and len(got) > 3000
+    assert shuffled < len(edges)
